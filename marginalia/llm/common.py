@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -60,3 +61,8 @@ def normalized(text: Column) -> Column:
 def id_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def wider(df: DataFrame, carry: list[str], more: str) -> StructType:
+    """Schema of df[carry] with the fields of a DDL string."""
+    return StructType(df.select(*carry).schema.fields + StructType.fromDDL(more).fields)

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, near_dedup, secret_scan
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_language_id": language_id.op6_language_id,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
