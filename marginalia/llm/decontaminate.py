@@ -83,8 +83,12 @@ class Index:
         band = diagonal // (self.edits[item] + 1)
         group = np.repeat(row, times) * len(self.ids) + item
         low, high = int(band.min()) - 1, int(band.max())
-        key = group * (high - low + 1) + band - low
-        kind, n = np.unique(key, return_counts=True)  # half bands; a band is a half and the next one
+        span = int(self.size.max())
+        key = (group * (high - low + 1) + band - low) * span + self.place[each]
+        key.sort()
+        kind = key[vectext.runs(key)] // span  # an item's q-gram counts once, however often the text repeats it
+        first = vectext.runs(kind)
+        kind, n = kind[first], np.diff(np.append(first, len(kind)))  # half bands; a band is a half and the next one
         group, band = kind // (high - low + 1), kind % (high - low + 1) + low
         joined = np.concatenate((kind, kind[band > low] - 1))
         total = np.concatenate((n, n[band > low]))
@@ -134,11 +138,9 @@ def _search(index_of, carry: list[str]):
             found: list[dict[int, tuple]] = [{} for _ in texts]
             rows, items, diagonals = index.regions(points, at)
             for r, i, d in zip(rows.tolist(), items.tolist(), diagonals.tolist(), strict=True):
-                if found[r].get(i, (1,))[0] == 0:
-                    continue
-                place = texts[r].find(index.texts[i], max(0, d))
-                hit = (0, place, place + len(index.texts[i])) if 0 <= place < d + 2 * (index.edits[i] + 1) else index.align(points[at[r] : at[r + 1]], i, d)
-                if hit and (i not in found[r] or hit < found[r][i]):
+                if i not in found[r] and (place := texts[r].find(index.texts[i])) >= 0:
+                    found[r][i] = (0, place, place + len(index.texts[i]))  # no alignment can be better
+                elif found[r].get(i, (1,))[0] and (hit := index.align(points[at[r] : at[r + 1]], i, d)) and (i not in found[r] or hit < found[r][i]):
                     found[r][i] = hit
             spans = [[{"item_id": index.ids[i], "begin": b, "stop": e, "edits": n} for i, (n, b, e) in sorted(f.items())] for f in found]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(spans, kind)], names=[*carry, "_found"])
