@@ -96,3 +96,10 @@ def runs(values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(0, np.int64)
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def runs_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Begin of each run of equal neighbouring pairs."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
