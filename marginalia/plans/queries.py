@@ -1,10 +1,6 @@
-"""Registered queries of the corpus, retrieval, answer and history operators."""
+"""All registered queries but those of the training-data operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import answer_queries, corpus_queries  # noqa: F401  they register themselves
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
