@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import answer_queries, corpus_queries  # noqa: F401  they register themselves
+from . import answer_queries, corpus_queries, stream_queries  # noqa: F401  they register themselves
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
