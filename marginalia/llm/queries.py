@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, license_scan, mixing, near_dedup, secret_scan, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_decontaminate": decontaminate.op4_decontaminate,
