@@ -74,9 +74,9 @@ class Neighbours:
         x = self.vectors(row[used], term[used], tf[used], n)
         some = np.flatnonzero(x.any(1))
         self.bare = (self.y[~x.any(1)].sum() + share) / ((~x.any(1)).sum() + 1) if n else 0.0
-        order = some[np.lexsort((some, x[some].argmax(1)))]  # like next to like, so that block maxima are tight
+        order = some[np.lexsort((some, x[some].argmax(1)))] if len(some) else some  # like next to like, so that block maxima are tight
         self.x, self.y, self.ids = x[order], self.y[order], self.ids[order]
-        self.most = np.array([self.x[b : b + BLOCK].max(0) for b in range(0, len(order), BLOCK)]).reshape(-1, len(best)).T
+        self.most = np.array([self.x[b : b + BLOCK].max(0) for b in range(0, len(order), BLOCK)]).reshape(-(-len(order) // BLOCK), len(best)).T
         self.steps = (np.zeros(1), np.array([share]))
         if len(order):
             near, sim = self.nearest(self.x, k + 1, own=np.arange(len(order)))
