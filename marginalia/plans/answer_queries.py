@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -207,14 +207,19 @@ def outcome_codes(spark, d):
 
 
 # Conversations as questions: the first user turn asks, assistant turns are documents, system turns FAQ.
-CONTENT = F.concat(F.when(F.col("turn") % 2 == 1, F.concat(F.lit("intro\n## "), F.col("role"), F.lit("\n"))).otherwise(F.lit("")), F.col("text"))
+
+
+def content_() -> Column:
+    return F.concat(F.when(F.col("turn") % 2 == 1, F.concat(F.lit("intro\n## "), F.col("role"), F.lit("\n"))).otherwise(F.lit("")), F.col("text"))
+
+
 CONTENT_SQL = "CASE WHEN turn % 2 = 1 THEN 'intro' || chr(10) || '## ' || role || chr(10) ELSE '' END || text"
 
 
 def talk(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     c = load(spark, d, "conversations")
     q = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("text"))
-    base = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), (1.0 / (1 + F.col("turn"))).alias("score"), F.concat(F.lit("talk <"), F.col("role"), F.lit("> & co")).alias("doc_name"), CONTENT.alias("content"), F.col("role"), F.col("text"))
+    base = c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("id"), (1.0 / (1 + F.col("turn"))).alias("score"), F.concat(F.lit("talk <"), F.col("role"), F.lit("> & co")).alias("doc_name"), content_().alias("content"), F.col("role"), F.col("text"))
     return q, base.filter("role <> 'assistant'").withColumnsRenamed({"text": "answer"}).withColumn("question", F.col("doc_name")), base.filter("role = 'assistant'")
 
 
@@ -233,7 +238,7 @@ def pack_context(spark, d):
 
 @query("chapter_title", f"SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN role ELSE '' END AS title FROM conversations")
 def chapter_title(spark, d):
-    return load(spark, d, "conversations").select("conv_id", "turn", tx.chapter_title(CONTENT).alias("title"))
+    return load(spark, d, "conversations").select("conv_id", "turn", tx.chapter_title(content_()).alias("title"))
 
 
 @query("format_context", f"""WITH s AS (SELECT conv_id AS query_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, '来源：talk <' || role || '> & co' || chr(10) || '内容：' || {CONTENT_SQL} AS x FROM conversations WHERE role = 'assistant'), a AS (SELECT query_id, string_agg(x, chr(10) || chr(10) ORDER BY r) AS x FROM s WHERE r <= 5 GROUP BY query_id)
@@ -336,20 +341,25 @@ def issue_report(spark, d):
 
 
 # Answers that cite 3 before 1, doubt 2 and name an unknown source.
-ORDER = F.concat(F.col("text"), F.lit(" [3] then [1] and [2·存疑] or [9], [3·存疑] again [1]"))
+
+
+def order_() -> Column:
+    return F.concat(F.col("text"), F.lit(" [3] then [1] and [2·存疑] or [9], [3·存疑] again [1]"))
+
+
 ORDER_SQL = "text || ' [3] then [1] and [2·存疑] or [9], [3·存疑] again [1]'"
 
 
 @query("citation_extract", f"SELECT doc_id AS answer_id, unnest([1, 2, 3])::BIGINT AS n, unnest(['3', '1', '2']) AS ref_id FROM documents")
 def citation_extract(spark, d):
-    said = docs(spark, d).select(F.col("doc_id").alias("answer_id"), ORDER.alias("answer"))
+    said = docs(spark, d).select(F.col("doc_id").alias("answer_id"), order_().alias("answer"))
     return citations.extract_citations(said, sources(spark, d)).select("answer_id", "n", "ref_id")
 
 
 @query("citation_renumber", """SELECT doc_id AS answer_id, md5(text || ' [1] then [2] and [3·存疑] or [9], [1·存疑] again [2]') AS digest,
  chr(10) || '---' || chr(10) || '**引用来源：**' || chr(10) || '[1] 《' || source || '》' || c || '（引用存疑）' || chr(10) || '[2] 《' || source || '》' || c || chr(10) || '[3] 《' || source || '》' || c || '（引用存疑）' AS footer FROM (SELECT *, CASE WHEN lang = 'en' THEN '· chapter' ELSE '' END AS c FROM documents)""")
 def citation_renumber(spark, d):
-    said = docs(spark, d).select(F.col("doc_id").alias("answer_id"), ORDER.alias("answer"))
+    said = docs(spark, d).select(F.col("doc_id").alias("answer_id"), order_().alias("answer"))
     return citations.renumber_citations(said, sources(spark, d)).select("answer_id", F.md5("answer").alias("digest"), "footer")
 
 

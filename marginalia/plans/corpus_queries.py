@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,7 +14,12 @@ from ..sources import files
 from .registry import load, query
 
 # Names of a document in a corpus folder; the same text in SQL below.
-PATH = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/Doc "), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", F.lit(".TXT")).when(F.col("lang") == "fr", F.lit(".v2.md")).otherwise(F.lit("")))
+
+
+def path_() -> Column:
+    return F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/Doc "), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", F.lit(".TXT")).when(F.col("lang") == "fr", F.lit(".v2.md")).otherwise(F.lit("")))
+
+
 PATH_SQL = "'/corpus/' || source || '/Doc ' || doc_id || CASE lang WHEN 'en' THEN '.TXT' WHEN 'fr' THEN '.v2.md' ELSE '' END"
 TRIM_SQL = r"regexp_replace({0}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 
@@ -69,7 +74,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 @query("corpus_scan", f"""SELECT regexp_replace(regexp_extract({PATH_SQL}, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS doc_name,
  lower(regexp_extract(regexp_extract({PATH_SQL}, '([^/]*)$', 1), '.(\\.[^.]+)$', 1)) AS ext, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY 1, 2""")
 def corpus_scan(spark, d):
-    return docs(spark, d).groupBy(tx.doc_name(PATH).alias("doc_name"), tx.doc_ext(PATH).alias("ext")).agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    return docs(spark, d).groupBy(tx.doc_name(path_()).alias("doc_name"), tx.doc_ext(path_()).alias("ext")).agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
 @query("doc_name_from_path", """SELECT page_id, regexp_replace(regexp_extract(p, '([^/]*)/*$', 1), '(.)\\.[^.]*$', '\\1') AS doc_name,
@@ -183,12 +188,13 @@ def question_guard(spark, d):
     return docs(spark, d).select("doc_id", tx.valid_question(F.col("text")).alias("valid"))
 
 
-TOPIC = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("哪一年 ", "评价 ", "关系 ", "说说 ", "")]), (F.col("item_id") % 5 + 1).cast("int")), F.col("text"))
+def topic_() -> Column:
+    return F.concat(F.element_at(F.array(*[F.lit(x) for x in ("哪一年 ", "评价 ", "关系 ", "说说 ", "")]), (F.col("item_id") % 5 + 1).cast("int")), F.col("text"))
 
 
 @query("query_class", """SELECT item_id, ['fact','opinion','relation','explore','other'][item_id % 5 + 1] AS category, ['faq','hybrid','hybrid','doc','hybrid'][item_id % 5 + 1] AS route, [1.0,0.8,0.8,0.6,0.5][item_id % 5 + 1]::DOUBLE AS weight FROM benchmark""")
 def query_class(spark, d):
-    return load(spark, d, "benchmark").select("item_id", tx.classify_query(TOPIC).alias("c")).select("item_id", "c.*")
+    return load(spark, d, "benchmark").select("item_id", tx.classify_query(topic_()).alias("c")).select("item_id", "c.*")
 
 
 @query("answer_blocklist", "SELECT conv_id, turn, contains(text, 'qu') OR contains(text, 'sch') AS blocked FROM conversations")
@@ -234,7 +240,12 @@ def clean_ocr_join(spark, d):
 
 
 # Noise put into every text, alike in SQL.
-NOISY = F.concat(F.lit("RN(7)pp《4 ===== @press\n(Page#12)"), F.col("text"), F.lit("\n\n\nfilename: x.zip\n(Page#3)第十四章武装叛乱的失获485 卷首语；end"))
+
+
+def noisy_() -> Column:
+    return F.concat(F.lit("RN(7)pp《4 ===== @press\n(Page#12)"), F.col("text"), F.lit("\n\n\nfilename: x.zip\n(Page#3)第十四章武装叛乱的失获485 卷首语；end"))
+
+
 NOISY_SQL = "'RN(7)pp《4 ===== @press' || chr(10) || '(Page#12)' || text || chr(10) || chr(10) || chr(10) || 'filename: x.zip' || chr(10) || '(Page#3)第十四章武装叛乱的失获485 卷首语；end'"
 NOISE_SQL = ("RN[（(《][0-9]+[）)）。]", "RN\\([0-9]+\\)\\)", "pp[《<][0-9]+", "(?s)@.*?\\(Page#[0-9]+\\)", "\\(Page#[0-9]+\\)", "={5,}", "第[一二三四五六七八九十百]+章[^\\s0-9,，.。;；:：\\-—]{2,}[0-9]+", "总序站\\)|卷首语[;；]|急挡“标准属”", "(?i)Document\\s*generated\\s*by\\s*Anna''s\\s*Archive.*", "(?i)Some\\s*stats\\s*\\(more\\s*in\\s*the\\s*PDF\\s*attachments\\).*", "(?i)filename[:_].*zip")
 
@@ -247,7 +258,7 @@ def denoise_sql(c: str) -> str:
 
 @query("clean_denoise", f"SELECT doc_id, {denoise_sql(NOISY_SQL)} AS clean FROM documents")
 def clean_denoise(spark, d):
-    return docs(spark, d).select("doc_id", tx.denoise(NOISY).alias("clean"))
+    return docs(spark, d).select("doc_id", tx.denoise(noisy_()).alias("clean"))
 
 
 RULES = (("the ", "THE "), ("que", "QUE"), ("", "x"), ("QUE ", "que-"))
@@ -276,7 +287,7 @@ def markdown_tidy(spark, d):
  p AS (SELECT doc_id, para, string_agg(line, '' ORDER BY i) AS t FROM g GROUP BY doc_id, para), j AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY para) AS t FROM p GROUP BY doc_id)
  SELECT doc_id, md5({trim_sql("regexp_replace(replace(" + denoise_sql('t') + ", 'the ', 'THE '), '\\n+', chr(10), 'g')")}) AS digest FROM j""")
 def clean_pipeline(spark, d):
-    return docs(spark, d).select("doc_id", F.md5(tx.clean_text(NOISY, False, RULES[:1], ENDS)).alias("digest"))
+    return docs(spark, d).select("doc_id", F.md5(tx.clean_text(noisy_(), False, RULES[:1], ENDS)).alias("digest"))
 
 
 # --- structure and quality -----------------------------------------------------------------------
@@ -307,7 +318,12 @@ def doc_quality(spark, d):
 # --- chunks --------------------------------------------------------------------------------------
 
 # Documents as Markdown books: a heading for the source and one for each line break.
-BOOK = F.concat(F.lit("preface of "), F.col("source"), F.lit("\n# "), F.col("source"), F.lit("\n## part\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## part\n")))
+
+
+def book_() -> Column:
+    return F.concat(F.lit("preface of "), F.col("source"), F.lit("\n# "), F.col("source"), F.lit("\n## part\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n## part\n")))
+
+
 BOOK_SQL = "'preface of ' || source || chr(10) || '# ' || source || chr(10) || '## part' || chr(10) || replace(text, chr(10), chr(10) || '## part' || chr(10))"
 PARENTS_SQL = f"""l AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line, generate_subscripts(string_split(b, chr(10)), 1) AS i FROM (SELECT doc_id, {BOOK_SQL} AS b FROM documents)),
  s AS (SELECT *, length(regexp_extract(line, '^(#{{1,2}})[ \\t]+(.*)$', 1)) AS lv FROM l), n AS (SELECT *, sum((lv > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM s),
@@ -316,7 +332,7 @@ PARENTS_SQL = f"""l AS (SELECT doc_id, unnest(string_split(b, chr(10))) AS line,
 
 
 def books(spark, d):
-    return docs(spark, d).select("doc_id", "source", BOOK.alias("text"))
+    return docs(spark, d).select("doc_id", "source", book_().alias("text"))
 
 
 @query("split_parents", f"WITH {PARENTS_SQL} SELECT * FROM parents")
