@@ -99,3 +99,24 @@ def corpus_coverage(chunks: DataFrame) -> DataFrame:
 
 def list_documents(chunks: DataFrame, key: Column | str = "doc_name") -> DataFrame:
     return chunks.select(F.col(key).alias("doc_name") if isinstance(key, str) else key.alias("doc_name")).filter("doc_name is not null").distinct().orderBy("doc_name")
+
+
+def append_corpus(new: DataFrame, path: str) -> None:
+    """Append chunks; partitions are the batches."""
+    new.write.mode("append").parquet(path)
+
+
+def write_faq_jsonl(faq: DataFrame, path: str) -> None:
+    """FAQ records as JSON lines; characters stay as they are."""
+    meta = F.struct(*[c for c in ("source_doc", "category", "source_page", "confidence", "created_by") if c in faq.columns])
+    faq.select("question", "answer", meta.alias("metadata")).write.mode("overwrite").json(path)
+
+
+def append_telemetry(events: DataFrame, path: str, ts: str = "timestamp") -> None:
+    """Append events as JSON lines in one folder a day."""
+    events.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyyMMdd")).write.mode("append").partitionBy("day").json(path)
+
+
+def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+    """One row: chunks, chunks with a parent, documents, tokens."""
+    return chunks.agg(F.count("*").alias("n_chunks"), F.count("parent_text").alias("n_parents"), F.countDistinct("doc_name").alias("n_documents"), F.sum(F.size(tx.tokenize(F.col(text_col)))).alias("n_tokens"))

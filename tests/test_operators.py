@@ -217,3 +217,29 @@ def test_evaluation(spark):
     relevant = spark.createDataFrame([(1, 6), (1, 8), (3, 1)], "query_id long, id long")
     r = evaluation.evaluate_retrieval(hits, relevant, 5).first()
     assert (r["n_queries"], r["precision"], r["recall"], r["hit_rate"], r["mrr"]) == (2, 0.25, 0.25, 0.5, 0.25)
+
+
+def test_batched_embed(spark):
+    from marginalia.operators.embedding import batched_embed
+
+    def load():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError
+            return [[len(t), 1] for t in texts]
+
+        return model
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "four")], "id long, text string").coalesce(1)
+    assert {r["id"]: r["chunk_vector"] for r in batched_embed(df, "text", load, 3).collect()} == {1: [1, 1], 2: None, 3: None, 4: [4, 1]}
+
+
+def test_sinks(spark, tmp_path):
+    faq = spark.createDataFrame([("问?", "答", "book")], "question string, answer string, source_doc string")
+    files.write_faq_jsonl(faq, str(tmp_path / "faq"))
+    assert "问?" in spark.read.text(str(tmp_path / "faq")).first()[0]
+    assert [r["source_doc"] for r in files.merge_faq_shapes(files.load_faq_jsonl(spark, str(tmp_path / "faq"))[0]).collect()] == ["book"]
+    events = spark.createDataFrame([("2024-01-02 03:04:05", "x"), ("2024-01-03 00:00:00", "y")], "timestamp string, event_type string")
+    files.append_telemetry(events, str(tmp_path / "log"))
+    files.append_telemetry(events, str(tmp_path / "log"))
+    assert sorted((r["day"], r["count"]) for r in spark.read.json(str(tmp_path / "log")).groupBy("day").count().collect()) == [(20240102, 2), (20240103, 2)]
