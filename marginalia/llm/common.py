@@ -16,6 +16,8 @@ ROOT = Path(__file__).resolve().parents[2]
 
 #: White space of all contracts here.
 WS = r"[\x20\x09-\x0D]"
+#: Its runs that are not one space already; single spaces between words need no replacement.
+LONG_WS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +37,18 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of keys for a join with texts: broadcast if it has at most `most` rows, else as it is (the join then shuffles)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Rows that a Python worker gets at once. Texts are long, so the usual 10000 rows are much memory.
+BATCH_ROWS = 1000
+
+
 def workers_ready(spark: SparkSession) -> None:
-    """Send this package to the Python workers where they can't import it by path."""
+    """Bound the Arrow batches, and send this package to the Python workers where they can't import it by path."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
     if str(ROOT) in known or getattr(spark.sparkContext, "_marginalia_sent", False):
         return
@@ -55,7 +67,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def normalized(text: Column) -> Column:
     """Null counts as empty; each run of white space becomes one space."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{WS}+", " ")
+    return F.regexp_replace(F.coalesce(text, F.lit("")), LONG_WS, " ")
 
 
 def id_bucket(doc_id: Column, n: int) -> Column:

@@ -131,7 +131,7 @@ def _search(index_of, carry: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_of()
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
-        for part in vectext.parts(batches, "_simple", 2 << 20):
+        for part in vectext.parts(batches, "_simple", 1 << 20):
             texts = part.column("_simple").to_pylist()
             points = _points(texts)
             at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))

@@ -74,21 +74,35 @@ def assign(docs: DataFrame, index: DataFrame) -> DataFrame:
     return keys.join(index.select("hash", "text_sha256", "keep_id", "group_size"), ["hash", "text_sha256"])
 
 
-def mark_exact(docs: DataFrame, **options: int) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    found = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build_index(docs, **options)).drop("text", "hash")
+def marks(docs: DataFrame, **options: int) -> DataFrame:
+    """doc_id, hash, text_sha256, keep_id, group_size, kept of each row of docs(doc_id, text); texts are not shuffled again."""
+    found = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build_index(docs, **options)).drop("text")
     first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     once = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
-    marked = found.filter(first).withColumn("kept", once).unionByName(found.filter(~first).withColumn("kept", F.lit(False)))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return found.filter(first).withColumn("kept", once).unionByName(found.filter(~first).withColumn("kept", F.lit(False)))
+
+
+def mark_exact(docs: DataFrame, **options: int) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return marks(docs, **options).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without copies, with its own columns."""
-    index = build_index(docs, **options)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = assign(own, index).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return kept.dropDuplicates(["text_sha256", "doc_id"]).select("row.*")
+    """docs without copies, with its own columns.
+
+    What goes is told by (doc_id, hash). These keys are narrow and only those of copies, so the texts usually
+    meet a broadcast of checked size; beyond that size they are shuffled. Rows that repeat a kept row are few
+    and reduced to one by themselves.
+    """
+    keys = marks(docs, **options).filter("group_size > 1").groupBy("doc_id", "hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = common.stored(keys.filter("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "kept"), "exact-keys")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(common.normalized(F.col("text"))).alias("_h"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash"))
+    rest = own.join(common.small_side(keys), same, "left_anti").select("row.*")
+    repeats = common.stored(keys.filter("kept"), "exact-repeats")
+    if not repeats.limit(1).count():
+        return rest
+    return rest.unionByName(own.join(common.small_side(repeats), same, "left_semi").dropDuplicates(["_doc", "_h"]).select("row.*"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

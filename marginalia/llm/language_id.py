@@ -127,15 +127,15 @@ def predict(docs: DataFrame, model: Model, carry: list[str], margin: float = 0.0
     languages = np.array([*model.languages, UNKNOWN])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in vectext.parts(batches, "_lower", 2 << 20):
+        for part in vectext.parts(batches, "_lower", 1 << 20):
             n = part.num_rows
             spoken = part.column("_spoken").to_numpy(zero_copy_only=False).astype(bool) & bool(model.languages)
             pick, sure, unsure = np.full(n, len(languages) - 1), np.zeros(n), np.ones(n, bool)
-            for k in range(0, n, 1024):
-                rows = np.flatnonzero(spoken[k : k + 1024]) + k
+            for k in range(0, n, 512):
+                rows = np.flatnonzero(spoken[k : k + 512]) + k
                 if not len(rows):
                     continue
-                loss = model.losses(features(part.column("_lower").slice(k, 1024))[rows - k])
+                loss = model.losses(features(part.column("_lower").slice(k, 512))[rows - k])
                 order = np.argsort(loss, axis=1, kind="stable")
                 best = loss[np.arange(len(rows)), order[:, 0]]
                 p = np.exp(-4 * (loss - best[:, None]))

@@ -143,7 +143,7 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     plan = common.stored(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "plan"), "mix-plan")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_src"), word_count(F.col("text")).alias("_size"))
     meets = own["_id"].eqNullSafe(plan["_d"]) & own["_src"].eqNullSafe(plan["_s"]) & (own["_size"] == plan["_n"])
-    found = own.join(plan, meets)
+    found = own.join(common.small_side(plan), meets)
     single = found.filter(F.size("plan") == 1).filter(F.get("plan", F.lit(0))["idx"] == 1)
     repeats = sizes_repeat(plan)
     if not repeats:

@@ -171,7 +171,7 @@ def score_texts(docs: DataFrame, model: Neighbours, carry: list[str], evidence:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = send.value
-        for part in vectext.parts(batches, "_lower", 2 << 20):
+        for part in vectext.parts(batches, "_lower", 1 << 20):
             for b in range(0, part.num_rows, 4096):
                 piece = part.slice(b, 4096)
                 score, place, sim = model.score(model.vectors(*term_counts(piece.column("_lower")), piece.num_rows))

@@ -34,17 +34,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a part holds about `most` bytes of text, or one row; bounds the memory of NumPy passes."""
+    """Join and cut batches so that a part holds about `most` bytes of text, or one row; bounds the memory of NumPy passes."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, at = text_bytes(batch.column(column))
-        begin = 0
-        while begin < batch.num_rows:
-            end = int(np.searchsorted(at, at[begin] + most, "right")) - 1
-            end = min(max(end, begin + 1), batch.num_rows)
-            yield batch.slice(begin, end - begin)
-            begin = end
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.column(column).nbytes for b in held) >= most // 2:
+                yield from _cut(pa.concat_batches(held) if len(held) > 1 else held[0], column, most)
+                held = []
+    if held:
+        yield from _cut(pa.concat_batches(held) if len(held) > 1 else held[0], column, most)
+
+
+def _cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    _, at = text_bytes(batch.column(column))
+    begin = 0
+    while begin < batch.num_rows:
+        end = int(np.searchsorted(at, at[begin] + most, "right")) - 1
+        end = min(max(end, begin + 1), batch.num_rows)
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def mix(x: np.ndarray) -> np.ndarray:
