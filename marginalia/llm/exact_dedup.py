@@ -77,9 +77,8 @@ def assign(docs: DataFrame, index: DataFrame) -> DataFrame:
 def marks(docs: DataFrame, **options: int) -> DataFrame:
     """doc_id, hash, text_sha256, keep_id, group_size, kept of each row of docs(doc_id, text); texts are not shuffled again."""
     found = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), build_index(docs, **options)).drop("text")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     once = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("group_size")) == 1
-    return found.filter(first).withColumn("kept", once).unionByName(found.filter(~first).withColumn("kept", F.lit(False)))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & once)
 
 
 def mark_exact(docs: DataFrame, **options: int) -> DataFrame:
