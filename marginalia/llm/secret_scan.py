@@ -32,10 +32,13 @@ ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 BASE = ("assign", "access", "hex")
+# A private key is its header, header fields, and either all up to the footer or, where that is cut off, the base64 lines.
+_GAP = r"(?:\s|\\+[nr])"
+PEM = rf"""-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_GAP}*[A-Za-z][A-Za-z-]{{2,30}}:(?:(?!-----)[^\n\\])*+)*+(?:([A-Za-z0-9+/=\s\\"',;.#>*]*+)-----END [A-Z ]{{0,30}}PRIVATE KEY-----|((?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+(?:{_GAP}*+[A-Za-z0-9+/]++(?:={{1,2}}|={{0,2}}(?=\s*\Z)))?))"""
 # Further kinds, reported only where ownership says that they look live.
 EXTRA = {
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "pem": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    "pem": PEM,
     "vendor": r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
     "random": r"[A-Za-z0-9+/_-]{32,}={0,2}",
 }
@@ -68,12 +71,26 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def key_body(m: re.Match) -> str:
+    """The base64 characters of a private key: equal for equal keys, however they are wrapped, quoted or escaped."""
+    return re.sub(r"\\+[nr]|[^A-Za-z0-9+/=]", "", m[1] if m[1] is not None else m[2])
+
+
+def _plain(kind: int, value: str) -> bool:
+    """A placeholder by its wording. A key body is long enough to hold such letters by chance, so there it is a body of few or hardly any different characters."""
+    if KINDS[kind] == "pem":
+        return _bits(value) < 3 or len(value) < 64 and bool(PLACEHOLDER.search(value))
+    return bool(PLACEHOLDER.search(value))
+
+
 def extra_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Further candidates that overlap no span so far."""
+    """Further candidates that overlap no span so far; a private key may hold or meet spans of the base kinds, which don't replace it."""
     out = list(taken)
     for k, kind in enumerate(KINDS[len(BASE) :], len(BASE)):
         for m in _EXTRA[kind].finditer(text):
-            if (kind != "random" or _random(m[0])) and all(m.end() <= b or m.start() >= e for b, _, e, _ in out):
+            if kind == "pem":
+                out.append((m.start(), k, m.end(), key_body(m)))
+            elif (kind != "random" or _random(m[0])) and all(m.end() <= b or m.start() >= e for b, _, e, _ in out):
                 out.append((m.start(), k, m.end(), m[0]))
     return sorted(out[len(taken) :])
 
@@ -115,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[k, i] += 1
             if base:
                 digest[i] = hashlib.sha256(",".join(f"{BASE[k]}:{b}:{e}" for b, k, e, _ in base).encode()).hexdigest()
-            found[i] = [{"kind": k, "begin": b, "stop": e, "value": _value(v), "plain": bool(PLACEHOLDER.search(v))} for b, k, e, v in sorted(base + extra_spans(t, base))]
+            found[i] = [{"kind": k, "begin": b, "stop": e, "value": _value(v), "plain": _plain(k, v)} for b, k, e, v in sorted(base + extra_spans(t, base))]
         yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("owner"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(found, schema.field("found").type)], schema=schema)
 
 
