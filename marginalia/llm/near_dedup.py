@@ -10,13 +10,16 @@
    too). A bucket of n members gives at most leaders * n pairs; pairs whose samples agree too seldom
    are dropped.
 4. Remaining pairs are verified by exact weighted Jaccard similarity of the whole shingle sets.
-5. Links give classes as connected components.
+5. Links give classes as connected components. What leaders can't see is settled by a second pass: in
+   every bucket that still holds several classes, all pairs of different classes that leaders did not
+   settle go through steps 3 and 4 as well. Pairs within a class can't change it, so no class loses a
+   link of its buckets, and a near-copy group of any size stays linear.
 
 The weight of a shingle is 1 + damping * ln(N / df) / ln N: damped, so that a passage or a copy group
 that many documents share counts less than rare wording, yet copies of a large group stay similar.
 
 Buckets are never gathered: leaders are a map-side combined minimum, members join them by key, and
-skewed keys are split by adaptive execution. The sketch has a fixed size, so its broadcast does too.
+skewed keys are split by adaptive execution; the second pass deals large buckets as pairs of blocks. The sketch has a fixed size, so its broadcast does too.
 
 Defined results: null and blank texts have no shingle; they form one class of their own kind; texts of
 one to four words have one shingle of all their words; equal texts are always in one class; a null
@@ -205,6 +208,69 @@ def candidate_pairs(nodes: DataFrame, leaders: int = 4, least: float = 0.5) -> D
     return met.mapInArrow(_likely(least), "a long, b long").distinct()
 
 
+def _apart(least: float):
+    """Pairs of different roots within each (bucket, p, q) of partitions sorted by these and root."""
+
+    def pairs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
+        bucket, p, q, block, root, node = (part.column(c).to_numpy() for c in ("bucket", "p", "q", "block", "root", "node"))
+        marks = np.frombuffer(vectext.text_bytes(part.column("samples"))[0].tobytes(), np.uint16).reshape(n, -1)
+        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        ends = lambda begin: np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
+        other = ends(np.flatnonzero(new | np.concatenate(([True], root[1:] != root[:-1]))))
+        count = ends(np.flatnonzero(new)) - other
+        done = np.cumsum(count)
+        lo = 0
+        while lo < n:
+            base = done[lo] - count[lo]
+            hi = max(lo + 1, int(np.searchsorted(done, base + (1 << 18), "right")))
+            i = np.repeat(np.arange(lo, hi), count[lo:hi])
+            j = other[i] + np.arange(len(i)) - np.repeat(done[lo:hi] - count[lo:hi] - base, count[lo:hi])
+            keep = (p[i] == q[i]) | (block[i] != block[j])  # two members of a block meet where it is alone
+            i, j = i[keep], j[keep]
+            keep = (marks[i] == marks[j]).mean(1) >= least
+            i, j = i[keep], j[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 1 << 15:
+                continue
+            part = pa.concat_batches(held)
+            last = np.ones(part.num_rows, bool)
+            for c in ("bucket", "p", "q"):
+                x = part.column(c).to_numpy()
+                last &= x == x[-1]
+            cut = part.num_rows - int(last.sum())
+            if cut:
+                yield from pairs(part.slice(0, cut))
+            held = [part.slice(cut)]
+        held = [b for b in held if b.num_rows]
+        if held:
+            yield from pairs(pa.concat_batches(held))
+
+    return run
+
+
+def pairs_apart(nodes: DataFrame, roots: DataFrame, least: float = 0.5, block: int = 1024) -> DataFrame:
+    """Distinct (a, b), a < b, of nodes(node, bands, samples) that share a bucket but have different roots in roots(node, root).
+
+    A bucket over `block` members is dealt in blocks, and each pair of blocks is one group; the bucket's most
+    common root has blocks of its own, which need not meet each other.
+    """
+    member = nodes.join(roots.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "samples", F.explode("bands").alias("bucket"))
+    sizes = member.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.select("bucket", F.col("top.root").alias("top"), (F.col("n") > block).alias("large"), parts(F.col("n") - F.col("top.n")).alias("rest"), parts(F.col("top.n")).alias("tops"))
+    hashed, is_top = F.xxhash64("node", F.lit(9)), F.col("root") == F.col("top")
+    met = member.join(sizes, "bucket").select("bucket", "node", "root", "samples", F.when(~F.col("large"), 0).when(is_top, F.col("rest") + F.pmod(hashed, F.col("tops"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int").alias("block"), F.when(~F.col("large"), 0).when(is_top, F.col("rest") - 1).otherwise(F.col("rest") + F.col("tops") - 1).alias("most"))
+    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("most")))).select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "root", "node", "samples")
+    return met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "root").mapInArrow(_apart(least), "a long, b long").distinct()
+
+
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, elements as sorted 32-bit numbers) of nodes(node, key): texts fetched by key and checked by content key."""
 
@@ -252,25 +318,33 @@ def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int
     """(documents, links) of docs(doc_id, text).
 
     documents: key (a hash of id and text), doc_id, class_id (smallest doc_id of its class), class_key (that
-    document's key), class_size, n_links (verified links of its text). links: (a, b, similarity) of nodes.
+    document's key), class_size. links: (a, b, similarity) of nodes, verified and enough to join the classes;
+    pairs of documents within a class are not listed in full, as a class of n has up to n * n / 2.
     """
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(row_key(), doc_id.alias("doc_id"), "text")
     ln_w = element_weights(docs, damping)
     signed = common.stored(signatures(docs, ln_w, bands, rows), "near-signed")
     nodes = signed.groupBy("node", "node2").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
-    pairs = common.stored(candidate_pairs(nodes.filter(F.size("bands") > 0), leaders), "near-pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = common.stored(signed.groupBy("node").agg(F.min("key").alias("key")).join(needed, "node"), "near-keys")
-    sets = common.stored(shingle_sets(docs, keys), "near-sets")
-    links = common.stored(verified(pairs, sets, ln_w, threshold), "near-links")
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    roots = common.stored(graph.components(links.select("a", "b"), "near-roots").join(ends, "node"), "near-classes")
-    placed = signed.select("key", "doc_id", "node").join(roots, "node", "left")
-    placed = placed.select("key", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = nodes.filter(F.size("bands") > 0)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        keys = common.stored(signed.groupBy("node").agg(F.min("key").alias("key")).join(needed, "node"), "near-keys")
+        sets = common.stored(shingle_sets(docs, keys), "near-sets")
+        return common.stored(verified(pairs, sets, ln_w, threshold), "near-links")
+
+    pairs = common.stored(candidate_pairs(nodes, leaders), "near-pairs")
+    links = checked(pairs)
+    roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")
+    rest = common.stored(pairs_apart(nodes, roots).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    if rest.limit(1).count():
+        links = links.unionByName(checked(rest))
+        roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")
+    placed = signed.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
     sizes = placed.groupBy("root").agg(first, F.count("*").alias("class_size"))
-    return placed.join(sizes, "root").select("key", "doc_id", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"), "class_size", "n_links"), links
+    return placed.join(sizes, "root").select("key", "doc_id", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"), "class_size"), links
 
 
 def row_key() -> Column:

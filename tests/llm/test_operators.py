@@ -1,6 +1,7 @@
 """The numbered operators against brute force, on a fixture with nulls, blanks, ties, repeats and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -98,6 +99,30 @@ def shingles(text, width=5):
     return Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else Counter()
 
 
+def test_near_dedup_within_large_bucket(spark):
+    """Twins in a bucket of many texts that are unlike its leaders keep their link."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, rows = words(400), []
+    for i in range(40):
+        own = words(120)
+        rows += [(2 * i, f"{passage} {own}"), (2 * i + 1, f"{passage} {own} more")]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1)[0].collect()}
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(40)) >= 38 and all(c // 2 == i // 2 for i, c in got.items())
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_pairs_apart(spark, block):
+    rng = np.random.default_rng(2)
+    marks = rng.integers(0, 3, (60, 6), dtype=np.uint16)
+    root = [0 if i < 30 else i // 2 for i in range(60)]
+    bands = [[i % 2, 2 + i % 3] for i in range(60)]
+    nodes = spark.createDataFrame([(i, bands[i], marks[i].tobytes()) for i in range(60)], "node long, bands array<long>, samples binary")
+    roots = spark.createDataFrame(list(enumerate(root)), "node long, root long")
+    got = sorted((r["a"], r["b"]) for r in near_dedup.pairs_apart(nodes, roots, 0.5, block).collect())
+    assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and set(bands[i]) & set(bands[j]) and (marks[i] == marks[j]).mean() >= 0.5]
+
+
 def test_near_dedup(spark, tricky):
     docs = table(spark, tricky)
     got = defaultdict(set)
