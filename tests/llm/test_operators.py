@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,19 @@ def test_license_scan(spark, tricky):
     assert (diff["n_missing"], diff["added"]) == (0, "old")
 
 
+def test_license_wrapped_neighbours_and_full_texts():
+    scanner = license_scan.Scanner()
+    names = lambda t: [f["license"] for f in scanner.scan(t)[0]]
+    for name, template in license_scan.TEMPLATES:
+        for mark in ("", "# ", " * ", "// "):
+            lines = textwrap.wrap(template, 60, break_on_hyphens=False)
+            assert names("some prose here.\n" + "\n".join(mark + x for x in lines) + "\nand then code") == [name]
+    assert names("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    filler = " ".join(f"licenses and license terms number{i} apply." for i in range(300))
+    assert names(f"{filler} Released under the MIT License. {filler} SPDX-License-Identifier: ISC {filler}") == ["MIT", "ISC"]
+    assert names(filler) == []
+
+
 def shingles(text, width=5):
     words = (text or "").split()
     return Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else Counter()
