@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,9 +22,11 @@ LONG_WS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where that is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-marginalia-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -38,7 +41,7 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A stored table of keys for a join with texts: broadcast if it has at most `most` rows, else as it is (the join then shuffles)."""
+    """A stored table of a few numbers a row: broadcast if it has at most `most` rows (some 50 MB), else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

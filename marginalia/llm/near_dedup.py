@@ -1,30 +1,38 @@
 """MinHash near-dedup (operator 3): improved consistent weighted sampling over TF-IDF word shingles.
 
-1. Document frequencies of five-word shingles over all documents, in a count sketch of fixed size.
+1. Document frequencies of five-word shingles over all documents: a count sketch of fixed size finds the
+   few that may be in more than a share `floor` of the documents, and these are counted exactly.
 2. Per document, `bands * rows` consistent weighted samples; the k-th occurrence of a shingle is an
    element of its own, so that element weights are idf only and the sum is tf-idf. Documents with the
    same shingles collapse to one node (128-bit content key).
 3. Nodes that agree on a band share a bucket. Each member meets `leaders` of its bucket: the first
    ones by hash orders, half of which are the same in all buckets (so that bands propose the same
    pairs) and half the bucket's own (so that a member which no common leader resembles meets others
-   too). A bucket of n members gives at most leaders * n pairs; pairs whose samples agree too seldom
-   are dropped.
-4. Remaining pairs are verified by exact weighted Jaccard similarity of the whole shingle sets.
+   too). A bucket of n members gives at most leaders * n pairs.
+4. Pairs are verified by exact weighted Jaccard similarity of the whole shingle sets.
 5. Links give classes as connected components. What leaders can't see is settled by a second pass: in
    every bucket that still holds several classes, all pairs of different classes that leaders did not
-   settle go through steps 3 and 4 as well. Pairs within a class can't change it, so no class loses a
-   link of its buckets, and a near-copy group of any size stays linear.
+   settle are verified as well. Pairs within a class can't change it, so no class loses a link of its
+   buckets, and a near-copy group of any size stays linear.
 
-The weight of a shingle is 1 + damping * ln(N / df) / ln N: damped, so that a passage or a copy group
-that many documents share counts less than rare wording, yet copies of a large group stay similar.
+The weight of a shingle in a share s of the documents is its smoothed idf, scaled to the floor:
+1 + ln(1 / max(s, floor)) / ln(1 / floor), from 1 (in every document) to 2 (in at most one of 1 / floor).
+It depends on shares only, so it is the same at every size of the corpus.
+
+The samples of two texts agree with a chance equal to their similarity; of pairs that share a bucket,
+those are verified that agree in `least` of all samples or more (70 samples: a pair of similarity 0.8 is
+missed by that with a chance of about 0.001, by having no bucket with 0.004; both fall fast above 0.8).
 
 Buckets are never gathered: leaders are a map-side combined minimum, members join them by key, and
-skewed keys are split by adaptive execution; the second pass deals large buckets as pairs of blocks. The sketch has a fixed size, so its broadcast does too.
+skewed keys are split by adaptive execution; the second pass deals large buckets as pairs of blocks. What
+is broadcast is the sketch's truth values, and the frequent shingles with their counts: as their shares
+add up to the mean number of shingles of a text, they are at most that number / floor.
 
 Defined results: null and blank texts have no shingle; they form one class of their own kind; texts of
 one to four words have one shingle of all their words; equal texts are always in one class; a null
-doc_id takes part but never names a class unless all members are null; repeated rows count each; an
-empty table gives an empty result.
+doc_id takes part but never names a class unless all members are null; ties go to the smallest doc_id;
+repeated rows count each; texts of any length are taken whole; an empty table gives an empty result; other
+columns are ignored, also where their names clash with columns here.
 """
 
 from __future__ import annotations
@@ -37,11 +45,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, graph, vectext
+from . import common, graph, sketch, vectext
 from .vectext import U64
 
-SLOTS = 1 << 18  # counters of the frequency sketch
-CHUNK = 4096
+SLOTS = 1 << 20  # counters in each of the two rows of the frequency sketch
 _STEP, _NTH = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 _LOW48 = U64((1 << 48) - 1)
 
@@ -83,39 +90,52 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.slice(k, 1 << 16)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros(SLOTS, np.int64), 0
-    for part in _rows(batches):
-        total += np.bincount((elements(part.column("text"))[1] & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        n += part.num_rows
-    if n:
-        pieces = total.reshape(-1, CHUNK)
-        some = np.flatnonzero(pieces.any(1))
-        codec = pa.Codec("zstd")
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array([*(codec.compress(pieces[k].tobytes(), asbytes=True) for k in some), codec.compress(np.full(CHUNK, n).tobytes(), asbytes=True)], pa.binary())], names=["chunk", "counts"])
-
-
-def _merge(group: pa.Table) -> pa.Table:
-    codec, total = pa.Codec("zstd"), np.zeros(CHUNK, np.int64)
-    for blob in group["counts"]:
-        total += np.frombuffer(codec.decompress(blob.as_py(), CHUNK * 8), np.int64)
-    return pa.table({"chunk": group["chunk"].slice(0, 1), "counts": pa.array([codec.compress(total.tobytes(), asbytes=True)], pa.binary())})
-
-
-def element_weights(docs: DataFrame, damping: float = 0.25) -> np.ndarray:
-    """ln of the weight of each sketch slot; 2**18 floats come to the driver, whatever the input."""
-    kept = docs.select("text").mapInArrow(_sketch, "chunk int, counts binary")
-    for salts in (16, 1):  # task sketches merge in two steps
-        kept = kept.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(salts))).groupBy("chunk", "salt").applyInArrow(_merge, "chunk int, counts binary")
-    codec, df, n = pa.Codec("zstd"), np.zeros((SLOTS // CHUNK, CHUNK), np.int64), 0
-    for r in kept.collect():
-        counts = np.frombuffer(codec.decompress(bytes(r["counts"]), CHUNK * 8), np.int64)
-        if r["chunk"] < 0:
-            n = int(counts[0])
-        else:
-            df[r["chunk"]] = counts
-    share = np.log(np.maximum(n, 2) / np.clip(df.ravel(), 1, max(n, 1))) / np.log(max(n, 2))
-    return np.log1p(damping * np.clip(share, 0, 1)).astype(np.float32)
+class Weights:
+    """ln of element weights: those of frequent elements, and one for all others."""
+
+    def __init__(self, keys: np.ndarray, share: np.ndarray, floor: float) -> None:
+        order = np.argsort(keys)
+        self.keys, self.rare = keys[order], np.float32(np.log(2))
+        self.ln = np.log1p(np.log(np.maximum(share[order], floor)) / np.log(floor)).astype(np.float32)
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[(self.keys & U64(0xFFFF)).astype(np.int64)] = True
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.rare)
+        maybe = np.flatnonzero(self.seen[(h & U64(0xFFFF)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.keys, h[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == h[maybe]
+            out[maybe[hit]] = self.ln[at[hit]]
+        return out
+
+
+def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An element's counters in the two rows of the sketch."""
+    return (h & U64(SLOTS - 1)).astype(np.int64), ((h >> U64(24)) & U64(SLOTS - 1)).astype(np.int64) + SLOTS
+
+
+def element_weights(docs: DataFrame, floor: float = 1e-3) -> Weights:
+    """Weights of all elements of docs(text). Two passes; what comes to the driver is of fixed size or bounded by the floor."""
+    spark = docs.sparkSession
+    n = docs.count()
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for part in _rows(batches):
+            yield np.concatenate(_slots(elements(part.column("text"))[1]))
+
+    heavy = spark.sparkContext.broadcast(np.packbits(sketch.totals(docs.select("text"), slots, 2 * SLOTS) >= max(floor * n, 1)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maybe = np.unpackbits(heavy.value).astype(bool)
+        for part in _rows(batches):
+            h = elements(part.column("text"))[1]
+            a, b = _slots(h)
+            keys, times = np.unique(h[maybe[a] & maybe[b]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times)], names=["h", "n"])
+
+    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > floor * n).toArrow()
+    return Weights(found["h"].to_numpy().astype(U64), found["n"].to_numpy() / max(n, 1), floor)
 
 
 class Sampler:
@@ -160,9 +180,9 @@ def content_keys(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def signatures(docs: DataFrame, ln_w: np.ndarray, bands: int, rows: int, seed: int = 3) -> DataFrame:
+def signatures(docs: DataFrame, weights: Weights, bands: int, rows: int, seed: int = 3) -> DataFrame:
     """docs(key, doc_id, text) -> key, doc_id, node, node2, bands (empty for blank text), samples (two bytes each)."""
-    send = docs.sparkSession.sparkContext.broadcast(ln_w)
+    send = docs.sparkSession.sparkContext.broadcast(weights)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows, seed)
@@ -172,7 +192,7 @@ def signatures(docs: DataFrame, ln_w: np.ndarray, bands: int, rows: int, seed: i
             a, b = content_keys(row, h, n)
             keys, marks = [[]] * n, [b""] * n
             if len(row):
-                which, ids = sampler.samples(row, h, send.value.take((h & U64(SLOTS - 1)).astype(np.int64)))
+                which, ids = sampler.samples(row, h, send.value.of(h))
                 band = ids.reshape(len(which), bands, rows)
                 mixed = band[:, :, 0].copy()
                 for k in range(1, rows):
@@ -186,17 +206,27 @@ def signatures(docs: DataFrame, ln_w: np.ndarray, bands: int, rows: int, seed: i
     return docs.select("key", "doc_id", "text").mapInArrow(compute, "key long, doc_id long, node long, node2 long, bands array<long>, samples binary")
 
 
+def _agree(least: float) -> graph.Test:
+    """Whether samples (two bytes each) agree in a share `least` or more."""
+
+    def test(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        marks = np.ascontiguousarray(marks).view(np.uint16)
+        return (marks[i] == marks[j]).mean(1) >= least
+
+    return test
+
+
 def _likely(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if part.num_rows:
-                x, y = (np.frombuffer(vectext.text_bytes(part.column(c))[0].tobytes(), np.uint16).reshape(part.num_rows, -1) for c in ("samples", "other_samples"))
-                yield part.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+            if n := part.num_rows:
+                both = np.concatenate([vectext.text_bytes(part.column(c))[0].reshape(n, -1) for c in ("samples", "other_samples")])
+                yield part.select(["a", "b"]).filter(pa.array(_agree(least)(both, np.arange(n), np.arange(n, 2 * n))))
 
     return run
 
 
-def candidate_pairs(nodes: DataFrame, leaders: int = 4, least: float = 0.5) -> DataFrame:
+def candidate_pairs(nodes: DataFrame, leaders: int, least: float) -> DataFrame:
     """Distinct (a, b), a < b, of nodes(node, bands, samples): members of a bucket with its leaders."""
     member = nodes.select("node", "samples", F.explode("bands").alias("bucket"))
     order = [F.xxhash64("node", F.lit(k), *([F.col("bucket")] if k % 2 else [])) for k in range(leaders)]
@@ -208,71 +238,8 @@ def candidate_pairs(nodes: DataFrame, leaders: int = 4, least: float = 0.5) -> D
     return met.mapInArrow(_likely(least), "a long, b long").distinct()
 
 
-def _apart(least: float):
-    """Pairs of different roots within each (bucket, p, q) of partitions sorted by these and root."""
-
-    def pairs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = part.num_rows
-        bucket, p, q, block, root, node = (part.column(c).to_numpy() for c in ("bucket", "p", "q", "block", "root", "node"))
-        marks = np.frombuffer(vectext.text_bytes(part.column("samples"))[0].tobytes(), np.uint16).reshape(n, -1)
-        new = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
-        ends = lambda begin: np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
-        other = ends(np.flatnonzero(new | np.concatenate(([True], root[1:] != root[:-1]))))
-        count = ends(np.flatnonzero(new)) - other
-        done = np.cumsum(count)
-        lo = 0
-        while lo < n:
-            base = done[lo] - count[lo]
-            hi = max(lo + 1, int(np.searchsorted(done, base + (1 << 18), "right")))
-            i = np.repeat(np.arange(lo, hi), count[lo:hi])
-            j = other[i] + np.arange(len(i)) - np.repeat(done[lo:hi] - count[lo:hi] - base, count[lo:hi])
-            keep = (p[i] == q[i]) | (block[i] != block[j])  # two members of a block meet where it is alone
-            i, j = i[keep], j[keep]
-            keep = (marks[i] == marks[j]).mean(1) >= least
-            i, j = i[keep], j[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
-            lo = hi
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.num_rows for b in held) < 1 << 15:
-                continue
-            part = pa.concat_batches(held)
-            last = np.ones(part.num_rows, bool)
-            for c in ("bucket", "p", "q"):
-                x = part.column(c).to_numpy()
-                last &= x == x[-1]
-            cut = part.num_rows - int(last.sum())
-            if cut:
-                yield from pairs(part.slice(0, cut))
-            held = [part.slice(cut)]
-        held = [b for b in held if b.num_rows]
-        if held:
-            yield from pairs(pa.concat_batches(held))
-
-    return run
-
-
-def pairs_apart(nodes: DataFrame, roots: DataFrame, least: float = 0.5, block: int = 1024) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes(node, bands, samples) that share a bucket but have different roots in roots(node, root).
-
-    A bucket over `block` members is dealt in blocks, and each pair of blocks is one group; the bucket's most
-    common root has blocks of its own, which need not meet each other.
-    """
-    member = nodes.join(roots.select("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "samples", F.explode("bands").alias("bucket"))
-    sizes = member.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    sizes = sizes.select("bucket", F.col("top.root").alias("top"), (F.col("n") > block).alias("large"), parts(F.col("n") - F.col("top.n")).alias("rest"), parts(F.col("top.n")).alias("tops"))
-    hashed, is_top = F.xxhash64("node", F.lit(9)), F.col("root") == F.col("top")
-    met = member.join(sizes, "bucket").select("bucket", "node", "root", "samples", F.when(~F.col("large"), 0).when(is_top, F.col("rest") + F.pmod(hashed, F.col("tops"))).otherwise(F.pmod(hashed, F.col("rest"))).cast("int").alias("block"), F.when(~F.col("large"), 0).when(is_top, F.col("rest") - 1).otherwise(F.col("rest") + F.col("tops") - 1).alias("most"))
-    met = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("most")))).select("bucket", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "root", "node", "samples")
-    return met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "root").mapInArrow(_apart(least), "a long, b long").distinct()
-
-
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, elements as sorted 32-bit numbers) of nodes(node, key): texts fetched by key and checked by content key."""
+    """(node, elements as sorted 64-bit numbers) of nodes(node, key): texts fetched by key and checked by content key."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _rows(batches):
@@ -280,7 +247,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             row, h = elements(part.column("text"))
             keep = content_keys(row, h, n)[0] == part.column("node").to_numpy()
             at = np.searchsorted(row, np.arange(n + 1))
-            sets = [np.sort(h[at[i] : at[i + 1]].astype(np.uint32)).tobytes() for i in range(n)]
+            sets = [np.sort(h[at[i] : at[i + 1]]).tobytes() for i in range(n)]
             out = pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "elements"])
             yield out.filter(pa.array(keep))
 
@@ -288,24 +255,23 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.select("node", "text").mapInArrow(compute, "node long, elements binary")
 
 
-def weighted_jaccard(x: np.ndarray, y: np.ndarray, ln_w: np.ndarray) -> float:
-    """Of two sorted 32-bit element arrays."""
+def weighted_jaccard(x: np.ndarray, y: np.ndarray, weights: Weights) -> float:
+    """Of two sorted element arrays."""
     both = np.concatenate((x, y))
     both.sort(kind="stable")
-    twice = both[:-1][both[1:] == both[:-1]]
-    w = lambda e: float(np.exp(ln_w.take(e & np.uint32(SLOTS - 1))).sum())
-    shared = w(twice)
-    total = w(both) - shared
+    w = np.exp(weights.of(both).astype(np.float64))
+    shared = float(w[1:][both[:-1] == both[1:]].sum())
+    total = float(w.sum()) - shared
     return shared / total if total else 1.0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, ln_w: np.ndarray, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """pairs(a, b) whose similarity reaches the threshold, with it."""
-    send = pairs.sparkSession.sparkContext.broadcast(ln_w)
+    send = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in vectext.parts(batches, "x", 8 << 20):
-            got = [weighted_jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), send.value) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+            got = [weighted_jaccard(np.frombuffer(x, U64), np.frombuffer(y, U64), send.value) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pc.greater_equal(out.column("similarity"), threshold))
 
@@ -314,7 +280,7 @@ def verified(pairs: DataFrame, sets: DataFrame, ln_w: np.ndarray, threshold: flo
     return y.select("a", "b", "x", "y").mapInArrow(compute, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 3, leaders: int = 4, damping: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 5, leaders: int = 4, least: float = 0.65, floor: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of docs(doc_id, text).
 
     documents: key (a hash of id and text), doc_id, class_id (smallest doc_id of its class), class_key (that
@@ -323,8 +289,8 @@ def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int
     """
     doc_id = F.col("doc_id").cast("long")
     docs = docs.select(row_key(), doc_id.alias("doc_id"), "text")
-    ln_w = element_weights(docs, damping)
-    signed = common.stored(signatures(docs, ln_w, bands, rows), "near-signed")
+    weights = element_weights(docs, floor)
+    signed = common.stored(signatures(docs, weights, bands, rows), "near-signed")
     nodes = signed.groupBy("node", "node2").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
     nodes = nodes.filter(F.size("bands") > 0)
 
@@ -332,19 +298,22 @@ def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int
         needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         keys = common.stored(signed.groupBy("node").agg(F.min("key").alias("key")).join(needed, "node"), "near-keys")
         sets = common.stored(shingle_sets(docs, keys), "near-sets")
-        return common.stored(verified(pairs, sets, ln_w, threshold), "near-links")
+        return common.stored(verified(pairs, sets, weights, threshold), "near-links")
 
-    pairs = common.stored(candidate_pairs(nodes, leaders), "near-pairs")
+    pairs = common.stored(candidate_pairs(nodes, leaders, least), "near-pairs")
     links = checked(pairs)
     roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")
-    rest = common.stored(pairs_apart(nodes, roots).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    member = nodes.join(common.small_side(roots.select("node", "root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("samples").alias("mark"), F.explode("bands").alias("bucket"))
+    rest = common.stored(graph.pairs_apart(member, _agree(least)).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         links = links.unionByName(checked(rest))
         roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")
-    placed = signed.select("key", "doc_id", "node").join(roots, "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root"))
+    placed = common.stored(signed.select("key", "doc_id", "node").join(common.small_side(roots), "node", "left").select("key", "doc_id", F.coalesce("root", "node").alias("root")), "near-placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")
-    sizes = placed.groupBy("root").agg(first, F.count("*").alias("class_size"))
-    return placed.join(sizes, "root").select("key", "doc_id", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("class_key"), "class_size"), links
+    # Classes of one need no partner; the others are stored, so that a hot class is a skewed join that Spark can split.
+    sizes = common.stored(placed.groupBy("root").agg(first, F.count("*").alias("class_size")).filter("class_size > 1"), "near-sizes")
+    out, many = placed.join(sizes, "root", "left"), F.col("class_size").isNotNull()
+    return out.select("key", "doc_id", F.when(many, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("first.key", "key").alias("class_key"), F.coalesce("class_size", F.lit(1)).alias("class_size")), links
 
 
 def row_key() -> Column:

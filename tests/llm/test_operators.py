@@ -1,6 +1,7 @@
 """The numbered operators against brute force, on a fixture with nulls, blanks, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -13,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marginalia.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity, vectext
+from marginalia.llm import decontaminate, exact_dedup, graph, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity, vectext
 from marginalia.llm.queries import QUERIES
 
 PER_ROW = [n for n in QUERIES if not n.startswith("op1_")]
@@ -59,29 +60,69 @@ def test_banded_distance(pairs, edits):
     assert got.tolist() == [min(distance(x, y), edits + 1) for x, y in zip(a, b, strict=True)]
 
 
+def line_classes(lines, budget):
+    """Brute force: smallest place of each line's class, and the linked pairs."""
+    top = {x: x for x in lines}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    links = {(x, y) for i, x in enumerate(lines) for y in lines[:i] if x != y and (t := budget(min(len(x), len(y)))) and abs(len(x) - len(y)) <= t and distance(x, y) <= t}
+    for x, y in links:
+        top[max(find(x), find(y))] = min(find(x), find(y))
+    return {x: find(x) for x in lines}, links
+
+
 def test_line_dedup(spark):
     base = "a line of some length that many documents hold in variants"
-    texts = [base, base + "!", base[:10] + base[11:], base.upper(), "short", "short", base + "!?x", "x" * 40, "x" * 41, None, "", " \n\n " + base + "  ", base.replace("line", "l1ne").replace("hold", "h0ld")]
+    texts = [base, base + "!", base[:10] + base[11:], base.upper(), "short", "short", base + "!?x", "x" * 40, "x" * 41, None, "", " \n\n " + base + "  ", base.replace("line", "l1ne").replace("hold", "h0ld"), "tab\tand  space", "tab and space"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, base)], "doc_id long, text string")
     lines, links = line_dedup.classify_lines(docs)
     got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"]) for r in lines.collect()}
     assert got[1, 0] == got[2, 0] == got[0, 0] == got[11, 2] == got[None, 0] == got[12, 0] == (0, 0)
     assert got[6, 0] == (0, 0)  # by way of document 1
-    assert got[3, 0] == (3, 0) and got[4, 0] == got[5, 0] == (4, 0) and got[8, 0] == got[7, 0] == (7, 0)
-    unique = sorted({" ".join(x.split()) for t in texts if t for x in t.split("\n") if len(x.strip()) >= 24})
-    assert links.count() == sum(distance(a, b) <= 2 for i, a in enumerate(unique) for b in unique[:i])
+    assert got[3, 0] == (3, 0) and got[4, 0] == got[5, 0] == (4, 0) and got[8, 0] == got[7, 0] == (7, 0) and got[14, 0] == (13, 0)
     assert sum(r["kept"] for r in lines.collect()) == len(set(got.values()))
 
 
-def test_line_dedup_heavy_segment(spark):
-    """Thousands of lines that share two of three segments make few candidates and lose no link."""
-    lines = [("m" * 60) + f"{i:05d}" + "n" * 55 for i in range(0, 30000, 10)] + ["m" * 60 + "00011" + "n" * 55]
+@pytest.mark.parametrize("least", [2, 10**9])
+def test_line_dedup_against_brute_force(spark, monkeypatch, least):
+    """Short and long lines, groups of near copies and chains; with all keys heavy and with none."""
+    rng = random.Random(9)
+    lines = {f"short line a{i:02d}" for i in range(40)} | {f"n{i}" for i in range(30)} | {f"number {i:04d} of a group" for i in range(0, 300, 7)}
+    for _ in range(60):
+        x = " ".join("".join(rng.choice("abcde ") for _ in range(rng.randrange(8, 60))).split())
+        for _ in range(5):
+            k = rng.randrange(len(x))
+            lines.add(x)
+            x = " ".join((x[:k] + rng.choice(("", "a", "zz")) + x[k + rng.randrange(2) :]).split()) or "y"
+    lines = sorted(lines)
+    want, links = line_classes(lines, lambda n: min(2, n // 10))
+    monkeypatch.setattr(line_dedup, "heavy_slots", lambda lines, edits, per_edit, f=line_dedup.heavy_slots: f(lines, edits, per_edit, least, 0.0))
+    rows, found = line_dedup.classify_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)] * 2, "doc_id long, text string"))
+    got = {lines[r["doc_id"]]: (lines[r["class_doc"]], r["class_size"]) for r in rows.collect()}
+    size = Counter(want.values())
+    assert {x: c for x, (c, _) in got.items()} == want and all(n == 2 * size[c] for c, n in got.values())
+    assert len(set(want.values())) < len(lines) - 90 and found.count() < len(links)
+
+
+def test_line_dedup_long_lines(spark):
+    """Lines of a megabyte that differ at both ends are compared whole."""
+    words = " ".join(f"w{i}" for i in range(150_000))
+    texts = [f"a{words}b", f"c{words}d", f"e {words} f"]
+    rows = line_dedup.classify_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0].collect()
+    assert {r["doc_id"]: r["class_doc"] for r in rows} == {0: 0, 1: 0, 2: 2}
+
+
+def test_line_dedup_hot_group(spark):
+    """A group of near copies that chains join is one class, and few of its pairs are looked at."""
+    lines = [("m" * 60) + f"{i:05d}" + "n" * 55 for i in range(0, 10000, 10)] + ["m" * 60 + "00011" + "n" * 55]
     df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
-    assert line_dedup.heavy_slots(df, 2, least=1000).any()
-    links = line_dedup.edit_links(df).toPandas()
-    near = Counter(f"{i:05d}"[:k] + "*" + f"{i:05d}"[k + 1 :] for i in range(0, 30000, 10) for k in range(5))
-    assert len(links) > sum(n * (n - 1) // 2 for n in near.values())  # pairs one digit apart, and those two apart
-    assert (3000 in set(links.a)) or (3000 in set(links.b))
+    assert line_dedup.heavy_slots(df, 2, 10, least=300).any()
+    links, roots = line_dedup.edit_links(df)
+    assert len(set(roots.toPandas().root)) == 1 and links.count() < len(lines) ** 2 / 8
 
 
 def test_license_scan(spark, tricky):
@@ -119,9 +160,9 @@ def test_near_dedup_within_large_bucket(spark):
     words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     passage, rows = words(400), []
     for i in range(40):
-        own = words(120)
+        own = words(240)
         rows += [(2 * i, f"{passage} {own}"), (2 * i + 1, f"{passage} {own} more")]
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=1)[0].collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string"), bands=8, rows=1)[0].collect()}
     assert sum(got[2 * i] == got[2 * i + 1] for i in range(40)) >= 38 and all(c // 2 == i // 2 for i, c in got.items())
 
 
@@ -131,43 +172,78 @@ def test_pairs_apart(spark, block):
     marks = rng.integers(0, 3, (60, 6), dtype=np.uint16)
     root = [0 if i < 30 else i // 2 for i in range(60)]
     bands = [[i % 2, 2 + i % 3] for i in range(60)]
-    nodes = spark.createDataFrame([(i, bands[i], marks[i].tobytes()) for i in range(60)], "node long, bands array<long>, samples binary")
-    roots = spark.createDataFrame(list(enumerate(root)), "node long, root long")
-    got = sorted((r["a"], r["b"]) for r in near_dedup.pairs_apart(nodes, roots, 0.5, block).collect())
+    member = spark.createDataFrame([(k, i, root[i], marks[i].tobytes()) for i in range(60) for k in bands[i]], "bucket long, node long, root long, mark binary")
+    got = sorted((r["a"], r["b"]) for r in graph.pairs_apart(member, near_dedup._agree(0.5), block).collect())
     assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and set(bands[i]) & set(bands[j]) and (marks[i] == marks[j]).mean() >= 0.5]
 
 
+def tf_idf_similarity(sets, floor):
+    """Brute force of the operator's weighted Jaccard: the k-th occurrence of a shingle is an element."""
+    each = [{(s, k) for s, n in c.items() for k in range(n)} for c in sets]
+    df = Counter(e for x in each for e in x)
+    w = {e: 1 + math.log(max(n / len(sets), floor)) / math.log(floor) for e, n in df.items()}
+    return lambda i, j: sum(w[e] for e in each[i] & each[j]) / sum(w[e] for e in each[i] | each[j])
+
+
 def test_near_dedup(spark, tricky):
     docs = table(spark, tricky)
     got = defaultdict(set)
     for r in near_dedup.op3_near_dedup(spark, tricky).collect():
         got[r["doc_id"]].add(r["class_id"])
-    sets = [(i, shingles(t)) for i, t, _, _ in docs if i is not None and i not in (5, 6)]
+    sets = [shingles(t) for _, t, _, _ in docs]
+    similar = tf_idf_similarity(sets, 1e-3)
     missed = n = 0
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if a and b:
-                s = sum((a & b).values()) / sum((a | b).values())
-                if s >= 0.88:
-                    n += 1
-                    missed += got[i] != got[j]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and docs[i][0] not in (None, 5, 6) and docs[j][0] not in (None, 5, 6) and similar(i, j) >= 0.8:
+                n += 1
+                missed += got[docs[i][0]] != got[docs[j][0]]
     assert n > 400 and missed == 0
     assert len({next(iter(got[i])) for i in range(2000, 2030)}) == 1
     assert got[1] == {1} and got[10] == {10} and got[4000] == {4000}
 
 
+def test_near_dedup_recall_and_precision(spark):
+    """All pairs of texts with similarities on both sides of 0.8, by brute force: recall 0.98, and every link is right."""
+    rng, rows = random.Random(12), []
+    for g in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(40, 200))]
+        rows.append(" ".join(base))
+        other = list(base)
+        for _ in range(rng.randrange(0, 1 + len(base) // 30)):
+            other[rng.randrange(len(other))] = f"x{g}"
+        rows.append(" ".join(other))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classify(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))[0].collect()}
+    similar = tf_idf_similarity([shingles(t) for t in rows], 1e-3)
+    true = [similar(i, i + 1) >= 0.8 for i in range(0, len(rows), 2)]
+    found = [got[i] == got[i + 1] for i in range(0, len(rows), 2)]
+    assert 40 < sum(true) < 140 and sum(t and f for t, f in zip(true, found, strict=True)) >= 0.98 * sum(true)
+    assert not any(f and not t for t, f in zip(true, found, strict=True)) and all(c // 2 == i // 2 for i, c in got.items())
+
+
+def test_weights_are_exact(spark):
+    """Shares of frequent shingles are counted exactly; weights depend on shares only."""
+    texts = [f"one two three four five a{i} b{i} c{i} d{i} e{i}" for i in range(3000)] + [f"six seven eight nine ten f{i} g{i} h{i} i{i} j{i}" for i in range(30)]
+    for times in (1, 2):
+        w = near_dedup.element_weights(spark.createDataFrame([(t,) for t in texts * times], "text string"), 1e-2 * 0.5)
+        h = near_dedup.elements(pa.array(["one two three four five", "six seven eight nine ten", "rare words of one text"]))[1]
+        share = np.array([3000, 30, 15.15]) / 3030
+        assert np.allclose(np.exp(w.of(h)), 1 + np.log(share) / np.log(5e-3), atol=1e-3)
+        assert len(w.keys) == 2
+
+
 def test_weighted_jaccard_and_samples():
     rng = np.random.default_rng(1)
-    ln_w = rng.random(near_dedup.SLOTS).astype(np.float32)
-    a = np.sort(rng.choice(1 << 30, 300, replace=False).astype(np.uint32))
-    b = np.sort(np.concatenate((a[:250], rng.choice(1 << 30, 50, replace=False).astype(np.uint32))))
-    w = lambda x: np.exp(ln_w[x & np.uint32(near_dedup.SLOTS - 1)]).sum()
+    a = np.sort(rng.choice(1 << 40, 300, replace=False).astype(np.uint64))
+    b = np.sort(np.concatenate((a[:250], rng.choice(1 << 40, 50, replace=False).astype(np.uint64))))
+    weights = near_dedup.Weights(a[::3], rng.random(100), 1e-3)
+    w = lambda x: np.exp(weights.of(x)).sum()
     true = w(np.intersect1d(a, b)) / w(np.union1d(a, b))
-    assert near_dedup.weighted_jaccard(a, b, ln_w) == pytest.approx(true, rel=1e-4)
+    assert near_dedup.weighted_jaccard(a, b, weights) == pytest.approx(true, rel=1e-4)
     sampler = near_dedup.Sampler(600)
     row = np.repeat([0, 1], [len(a), len(b)])
-    h = np.concatenate((a, b)).astype(np.uint64)
-    _, ids = sampler.samples(row, h, ln_w[(h & np.uint64(near_dedup.SLOTS - 1)).astype(int)])
+    h = np.concatenate((a, b))
+    _, ids = sampler.samples(row, h, weights.of(h))
     assert (ids[0] == ids[1]).mean() == pytest.approx(true, abs=0.07)
 
 
