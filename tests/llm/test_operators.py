@@ -439,3 +439,20 @@ def test_words(texts):
     for b, e, r in zip(begin, end, row, strict=True):
         got[int(r)].append(bytes(buf[b:e]).decode())
     assert all(got[i] == re.findall(r"[^ \t\n]+", t or "") for i, t in enumerate(texts))
+
+
+def test_induced_order_against_brute_force():
+    """Windows around anchors of one seed: repeated where an earlier document has the same bytes."""
+    rng = np.random.default_rng(8)
+    n, length, seed = 60, 10, 4
+    text = rng.integers(97, 99, (n, 2 * length - seed)).astype(np.uint8)
+    before = length - seed
+    text[:, before : before + seed] = 97
+    doc, low, high = rng.integers(0, 20, n), rng.integers(0, 3, n), rng.integers(3, before + 1, n)
+    text = np.where((np.arange(2 * length - seed) >= before - high[:, None]) & (np.arange(2 * length - seed) < before - low[:, None] + length), text, suffix_dedup.PAD).astype(np.uint8)
+    got = suffix_dedup.induced(np.zeros(n, np.uint64), doc, low, high, text[:, before:], text[:, :before][:, ::-1], length)
+    window = lambda i, k: text[i, before - k : before - k + length].tobytes()
+    for i in range(n):
+        for k in range(before + 1):
+            assert got[i, k] == (low[i] <= k <= high[i] and any(doc[j] < doc[i] and low[j] <= k <= high[j] and window(j, k) == window(i, k) for j in range(n)))
+    assert 0 < got.sum() < n * before
