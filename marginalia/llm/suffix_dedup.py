@@ -263,7 +263,7 @@ def _states(tables: pa.Table, level: int, width: int = 1) -> np.ndarray:
     return flat if width == 1 else flat.reshape(-1, width)
 
 
-def mark_repeats(docs: DataFrame, length: int = 50, seed: int = 24, block_bytes: int = 3 << 20, per_part: int = 250_000) -> DataFrame:
+def mark_repeats(docs: DataFrame, length: int = 50, seed: int = 24, block_bytes: int = 2 << 20, per_part: int = 250_000) -> DataFrame:
     """One row per document of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     packed = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack(block_bytes), "block long, n int, ids binary, sizes binary, bytes binary"), "suffix-blocks", "none")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
