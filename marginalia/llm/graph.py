@@ -41,8 +41,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-#: Of a bucket's members' marks (n x bytes) and two index arrays: which pairs are worth a look at their texts.
-Test = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Of members' marks (n x bytes), their buckets and two index arrays: which pairs are worth a look at their texts.
+Test = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _apart(test: Test):
@@ -65,7 +65,7 @@ def _apart(test: Test):
             j = other[i] + np.arange(len(i)) - np.repeat(done[lo:hi] - count[lo:hi] - base, count[lo:hi])
             keep = (p[i] == q[i]) | (block[i] != block[j])  # two members of a block meet where it is alone
             i, j = i[keep], j[keep]
-            keep = test(marks, i, j)
+            keep = test(marks, bucket, i, j)
             i, j = i[keep], j[keep]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
             lo = hi

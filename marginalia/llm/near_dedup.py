@@ -20,8 +20,10 @@ The weight of a shingle in a share s of the documents is its smoothed idf, scale
 It depends on shares only, so it is the same at every size of the corpus.
 
 The samples of two texts agree with a chance equal to their similarity; of pairs that share a bucket,
-those are verified that agree in `least` of all samples or more (70 samples: a pair of similarity 0.8 is
-missed by that with a chance of about 0.001, by having no bucket with 0.004; both fall fast above 0.8).
+leaders and members are verified that agree in `least` of all samples or more (70 samples: a pair of
+similarity 0.8 is missed by that with a chance of about 0.001, by having no bucket with 0.004; both fall
+fast above 0.8). The second pass takes `fine` many more samples of the texts of buckets that hold several
+classes, as there pairs just below the threshold are many (400 samples, a share of 0.74: about 0.001).
 
 Buckets are never gathered: leaders are a map-side combined minimum, members join them by key, and
 skewed keys are split by adaptive execution; the second pass deals large buckets as pairs of blocks. What
@@ -141,11 +143,12 @@ def element_weights(docs: DataFrame, floor: float = 1e-3) -> Weights:
 class Sampler:
     """Consistent weighted samples. The random r, ln c and beta of an element come from tables of draws, indexed by bits of its hash."""
 
-    def __init__(self, n: int, seed: int = 3) -> None:
+    def __init__(self, n: int, seed: int = 3, c_bits: int = 16) -> None:
+        self.c_mask = U64((1 << c_bits) - 1)
         rng = np.random.default_rng(seed)
         self.odd = rng.integers(1, 1 << 62, n, dtype=U64) * U64(2) + U64(1)
         self.r = rng.gamma(2, 1, (n, 1 << 12)).astype(np.float32)
-        self.c = np.log(rng.gamma(2, 1, (n, 1 << 16))).astype(np.float32)
+        self.c = np.log(rng.gamma(2, 1, (n, 1 << c_bits))).astype(np.float32)
         self.beta = rng.random((n, 1 << 12)).astype(np.float32)
 
     def samples(self, row: np.ndarray, h: np.ndarray, ln_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +163,7 @@ class Sampler:
             r = self.r[j].take((x >> U64(52)).astype(np.int64))
             beta = self.beta[j].take(((x >> U64(40)) & U64(4095)).astype(np.int64))
             t = np.floor(ln_w / r + beta)
-            ln_a = self.c[j].take(((x >> U64(24)) & U64(65535)).astype(np.int64)) - r * (t - beta + 1)
+            ln_a = self.c[j].take(((x >> U64(24)) & self.c_mask).astype(np.int64)) - r * (t - beta + 1)
             low = np.minimum.reduceat(ln_a, start)
             hit = np.flatnonzero(ln_a == np.repeat(low, size))
             hit = hit[vectext.runs(row[hit])]
@@ -206,12 +209,24 @@ def signatures(docs: DataFrame, weights: Weights, bands: int, rows: int, seed: i
     return docs.select("key", "doc_id", "text").mapInArrow(compute, "key long, doc_id long, node long, node2 long, bands array<long>, samples binary")
 
 
-def _agree(least: float) -> graph.Test:
-    """Whether samples (two bytes each) agree in a share `least` or more."""
+def _agree(marks: np.ndarray, i: np.ndarray, j: np.ndarray, least: float, kind: type) -> np.ndarray:
+    """Whether samples agree in a share `least` or more."""
+    marks, out = np.ascontiguousarray(marks).view(kind), np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):  # in slices, so that memory is bounded
+        out[k : k + (1 << 14)] = (marks[i[k : k + (1 << 14)]] == marks[j[k : k + (1 << 14)]]).mean(1) >= least
+    return out
 
-    def test(marks: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        marks = np.ascontiguousarray(marks).view(np.uint16)
-        return (marks[i] == marks[j]).mean(1) >= least
+
+def _once(samples: int, least: float) -> graph.Test:
+    """Marks are samples, one byte each, and four bytes of each band: a pair is looked at in the first band where it meets."""
+
+    def test(marks: np.ndarray, bucket: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        keep = np.flatnonzero(_agree(marks[:, :samples], i, j, least, np.uint8))
+        bands = np.ascontiguousarray(marks[:, samples:]).view(">u4")
+        first = (bands[i[keep]] == bands[j[keep]]).argmax(1)
+        out = np.zeros(len(i), bool)
+        out[keep] = bands[i[keep], first] == bucket[i[keep]].astype(U64) & U64(0xFFFFFFFF)
+        return out
 
     return test
 
@@ -221,7 +236,7 @@ def _likely(least: float):
         for part in batches:
             if n := part.num_rows:
                 both = np.concatenate([vectext.text_bytes(part.column(c))[0].reshape(n, -1) for c in ("samples", "other_samples")])
-                yield part.select(["a", "b"]).filter(pa.array(_agree(least)(both, np.arange(n), np.arange(n, 2 * n))))
+                yield part.select(["a", "b"]).filter(pa.array(_agree(both, np.arange(n), np.arange(n, 2 * n), least, np.uint16)))
 
     return run
 
@@ -255,6 +270,25 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return wanted.select("node", "text").mapInArrow(compute, "node long, elements binary")
 
 
+def fine_marks(docs: DataFrame, nodes: DataFrame, weights: Weights, samples: int) -> DataFrame:
+    """(node, mark) of nodes(node, key): as many more samples of their texts, one byte each."""
+    send = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(samples, 7, 12)
+        for part in _rows(batches):
+            row, h = elements(part.column("text"))
+            keep = content_keys(row, h, part.num_rows)[0] == part.column("node").to_numpy()
+            which, ids = sampler.samples(row, h, send.value.of(h)) if len(row) else (row, np.zeros((0, samples), U64))
+            marks = [b""] * part.num_rows
+            for w, m in zip(which.tolist(), (ids & U64(0xFF)).astype(np.uint8), strict=True):
+                marks[w] = m.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(marks, pa.binary())], names=["node", "mark"]).filter(pa.array(keep))
+
+    wanted = docs.select("key", "text").join(common.small_side(nodes.select("key", "node")), "key")
+    return wanted.select("node", "text").mapInArrow(compute, "node long, mark binary").dropDuplicates(["node"])
+
+
 def weighted_jaccard(x: np.ndarray, y: np.ndarray, weights: Weights) -> float:
     """Of two sorted element arrays."""
     both = np.concatenate((x, y))
@@ -280,7 +314,7 @@ def verified(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: flo
     return y.select("a", "b", "x", "y").mapInArrow(compute, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 5, leaders: int = 4, least: float = 0.65, floor: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int = 5, leaders: int = 4, least: float = 0.65, fine: tuple[int, float] = (400, 0.74), floor: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """(documents, links) of docs(doc_id, text).
 
     documents: key (a hash of id and text), doc_id, class_id (smallest doc_id of its class), class_key (that
@@ -303,8 +337,15 @@ def classify(docs: DataFrame, threshold: float = 0.8, bands: int = 14, rows: int
     pairs = common.stored(candidate_pairs(nodes, leaders, least), "near-pairs")
     links = checked(pairs)
     roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")
-    member = nodes.join(common.small_side(roots.select("node", "root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("samples").alias("mark"), F.explode("bands").alias("bucket"))
-    rest = common.stored(graph.pairs_apart(member, _agree(least)).join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    member = common.stored(nodes.join(common.small_side(roots.select("node", "root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("bands").alias("bucket")), "near-members")
+    several = member.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+    member = common.stored(member.join(several, "bucket"), "near-apart")
+    open_ = common.stored(nodes.join(common.small_side(common.stored(member.select("node").distinct(), "near-open")), "node"), "near-open")
+    marks = common.stored(fine_marks(docs, open_, weights, fine[0]), "near-marks")
+    four = F.transform("bands", lambda b: F.lpad(F.hex(b.bitwiseAND(0xFFFFFFFF)), 8, "0"))
+    marks = marks.join(open_.select("node", F.unhex(F.array_join(four, "")).alias("four")), "node").select("node", F.concat("mark", "four").alias("mark"))
+    met = member.join(marks, "node").select("bucket", "node", "root", "mark")
+    rest = common.stored(graph.pairs_apart(met, _once(*fine)).join(pairs, ["a", "b"], "left_anti"), "near-rest")
     if rest.limit(1).count():
         links = links.unionByName(checked(rest))
         roots = common.stored(graph.components(links.select("a", "b"), "near-roots"), "near-classes")

@@ -173,7 +173,7 @@ def test_pairs_apart(spark, block):
     root = [0 if i < 30 else i // 2 for i in range(60)]
     bands = [[i % 2, 2 + i % 3] for i in range(60)]
     member = spark.createDataFrame([(k, i, root[i], marks[i].tobytes()) for i in range(60) for k in bands[i]], "bucket long, node long, root long, mark binary")
-    got = sorted((r["a"], r["b"]) for r in graph.pairs_apart(member, near_dedup._agree(0.5), block).collect())
+    got = sorted((r["a"], r["b"]) for r in graph.pairs_apart(member, lambda m, bucket, i, j: near_dedup._agree(m, i, j, 0.5, np.uint16), block).collect())
     assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and set(bands[i]) & set(bands[j]) and (marks[i] == marks[j]).mean() >= 0.5]
 
 
@@ -456,3 +456,19 @@ def test_induced_order_against_brute_force():
         for k in range(before + 1):
             assert got[i, k] == (low[i] <= k <= high[i] and any(doc[j] < doc[i] and low[j] <= k <= high[j] and window(j, k) == window(i, k) for j in range(n)))
     assert 0 < got.sum() < n * before
+
+
+def test_letter_counts_lose_no_pair():
+    rng, passed = random.Random(5), 0
+    for _ in range(200):
+        x = [rng.choice("abcdefgh é中") for _ in range(rng.randrange(3, 40))]
+        y = list(x)
+        for _ in range(2):
+            k = rng.randrange(len(y))
+            y[k : k + rng.randrange(2)] = [rng.choice("abcdefgh")] * rng.randrange(2) or ["z"]
+        z = [rng.choice("ijklmnop") for _ in range(12)] + x
+        c = line_dedup.letter_counts(*line_dedup.points_of(pa.array(["".join(x), "".join(y), "".join(z)])))
+        assert line_dedup.close(c[:1], c[1:2], 2)[0]
+        passed += line_dedup.close(c[:1], c[2:], 2)[0]
+        assert any(not (c[0] ^ c[1]) & line_dedup.share_mask(g, 5) for g in range(5))
+    assert passed < 20  # of texts that are 12 letters longer
