@@ -10,7 +10,11 @@ within the band. e is `rate` of the item's length, less for short items so that
 The index is broadcast; its size is checked: a benchmark of more than `most_chars` characters is dealt
 into slices below that bound, each a pass of its own over the documents. Documents are not shuffled.
 
-Defined results: null texts and items count as empty; items with fewer than q characters are left out
+Bands are counted for ranges of items whose shared q-grams are a bounded number, so that a phrase that is in
+very many items needs no more memory.
+
+Defined results: of several places of an item the one with the fewest edits, then the first, is reported; texts
+of any length are searched whole; null texts and items count as empty; items with fewer than q characters are left out
 (any text would hold them); repeated items count once each; repeated rows are returned each; an empty
 benchmark flags nothing; an empty table gives an empty result; other columns are ignored.
 """
@@ -56,7 +60,8 @@ class Index:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
         self.item, self.place = item[order], place[order]
-        self.grams, self.start, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.grams, self.count = np.unique(key[order], return_counts=True)
+        self.posting = np.repeat(np.arange(len(self.grams)), self.count) * len(self.ids) + self.item  # rising: q-gram, then item
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.grams >> U64(64 - BITS)).astype(np.int64)] = True
 
@@ -74,10 +79,19 @@ class Index:
         row = np.searchsorted(at, where, "right") - 1
         whole = where + self.q <= at[row + 1]
         where, found, row = where[whole], found[whole], row[whole]
-        if not len(where):
-            return none
-        times = self.count[found]
-        each = np.repeat(self.start[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return self._bands(where, found, row, at, 0, len(self.ids)) if len(where) else none
+
+    def _bands(self, where: np.ndarray, found: np.ndarray, row: np.ndarray, at: np.ndarray, begin: int, end: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """regions, for items from begin to end, given the places, q-gram numbers and rows of the q-grams that are in the index."""
+        n = len(self.ids)
+        start, stop = np.searchsorted(self.posting, found * n + begin), np.searchsorted(self.posting, found * n + end)
+        times = stop - start
+        if times.sum() > most and end - begin > 1:
+            half = (begin + end) // 2
+            return tuple(np.concatenate(c) for c in zip(self._bands(where, found, row, at, begin, half, most), self._bands(where, found, row, at, half, end, most), strict=True))
+        if not times.any():
+            return (np.zeros(0, np.int64),) * 3
+        each = np.repeat(start, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         item = self.item[each]
         diagonal = np.repeat(where - at[row], times) - self.place[each]
         band = diagonal // (self.edits[item] + 1)

@@ -11,7 +11,7 @@ Copies are combined on the map side before the shuffle (the grouping key is the
 combine compares bytes too); a group that holds a third of all rows reaches its owner as one row a
 map task.
 
-Defined results: null text counts as empty; a null doc_id sorts last; rows that repeat both the
+Defined results: texts of any length are compared whole; null text counts as empty; a null doc_id sorts last; rows that repeat both the
 text and the smallest doc_id stay once; empty tables give empty results; other columns are ignored.
 """
 

@@ -5,12 +5,13 @@ lower-cased text, predicts that bit. Decoding weighs each bit's loss by how well
 on the training rows and takes the nearest codeword; a second codeword nearly as near flags the text
 as ambiguous.
 
-Training uses a bounded sample: about `per_language` rows of each language, chosen by a hash of the
-id, so the driver gets at most that many feature rows whatever the input. Prediction reads every
+Training uses a bounded sample: about `per_language` rows of each of the `most_languages` languages with the
+most rows, chosen by a hash of id and text, so the driver gets a bounded number of rows whatever the input. Prediction reads every
 whole text in Arrow batches; nothing is shuffled.
 
-Defined results: null text, or text without a letter, gives `und` with score 0; null labels are not
-learned from; with no labelled row everything is `und`; with one language all other text is that
+Defined results: null text, or text without a letter, gives `und` with score 0; null labels and null texts are
+not learned from; ties go to the language that comes first by code point; texts of any length are read whole;
+other columns are ignored, whatever their names; with no labelled row everything is `und`; with one language all other text is that
 language; repeated rows are returned each; an empty table gives an empty result.
 """
 
@@ -97,14 +98,14 @@ def train(x: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> Model:
     return Model(languages, code, w.astype(np.float32), np.log(np.maximum(right, 0.51) / np.maximum(1 - right, 1e-3)))
 
 
-def fit(docs: DataFrame, label: str = "lang", per_language: int = 800) -> Model:
+def fit(docs: DataFrame, label: str = "lang", per_language: int = 800, most_languages: int = 256) -> Model:
     """Model from docs(doc_id, text, label); about per_language rows of each language come to the driver as features."""
-    known = docs.filter(F.col(label).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(label)).agg(F.count("*")).collect()}
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(label)).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(label)).limit(most_languages).collect()}
     if not counts:
         return Model([], np.ones((0, 1)), np.zeros((DIM + 1, 1)), np.ones(1))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     sample = known.filter(draw < F.element_at(share, F.col(label))).select(F.lower("text").alias("text"), F.col(label).alias("label"))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ taken words miss its target by at most half a document.
 A hot source has many blocks, so no task gets a whole source. Blocks are dealt by hash, and chances
 come from hashes of row keys, level and seed: reruns agree on any cluster.
 
-Defined results: null text has size 0; null source is a source, last in order; documents of size 0
+Defined results: texts of any length are counted whole; null text has size 0; other columns are carried, whatever their names; null source is a source, last in order; documents of size 0
 are taken 0 times in words; rows that repeat id, source and size are dealt as so many single rows;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -138,7 +138,9 @@ def document_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of docs that the mix takes, with their columns and `copies` (how often each is taken)."""
+    """The rows of docs that the mix takes, with their columns and `copies` (how often each is taken; `mix_copies` where docs has such a column, and so on)."""
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in ("copies", *("mix_" * k + "copies" for k in range(1, len(taken) + 2))) if n not in taken)
     plan = plan_copies(document_sizes(docs), **options).filter("copies > 0").groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("idx", "copies"))).alias("plan"))
     plan = common.stored(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "plan"), "mix-plan")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_src"), word_count(F.col("text")).alias("_size"))
@@ -147,10 +149,10 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     single = found.filter(F.size("plan") == 1).filter(F.get("plan", F.lit(0))["idx"] == 1)
     repeats = sizes_repeat(plan)
     if not repeats:
-        return single.select("row.*", F.get("plan", F.lit(0))["copies"].alias("copies"))
+        return single.select("row.*", F.get("plan", F.lit(0))["copies"].alias(name))
     nth = F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy(F.xxhash64("row.text")))
-    many = found.withColumn("_nth", nth).select("row", F.expr("filter(plan, p -> p.idx = _nth)[0].copies").alias("copies")).filter("copies > 0")
-    return many.select("row.*", "copies")
+    many = found.withColumn("_nth", nth).select("row", F.expr("filter(plan, p -> p.idx = _nth)[0].copies").alias("_copies")).filter("_copies > 0")
+    return many.select("row.*", F.col("_copies").alias(name))
 
 
 def sizes_repeat(plan: DataFrame) -> bool:

@@ -6,9 +6,12 @@ repositories carry is an example that was copied around, a value that stays with
 live. Only candidates are shuffled, never texts; counts are combined on the map side, so a value
 that a third of the corpus repeats costs a few rows a task.
 
-Defined results: null text is empty; an empty table gives an empty result; repeated rows are
-counted and returned each by itself; rows are told apart by position, not by id, so null and
-repeated ids are kept; other columns of the input are ignored.
+A repository is a distinct text of an owner: exact copies and repeated rows of one owner count once.
+
+Defined results: null text is empty, a null owner is an owner of its own; an empty table gives an empty
+result; repeated rows are returned each by itself; rows are told apart by position, not by id, so null and
+repeated ids are kept; spans that begin together are ordered by kind; texts of any length are scanned whole;
+other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _EXTRA = {k: re.compile(v) for k, v in EXTRA.items()}
 
-FOUND = "doc_id long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,begin:int,stop:int,value:long,plain:boolean>>"
+FOUND = "doc_id long, owner string, repo long, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:int,begin:int,stop:int,value:long,plain:boolean>>"
 
 
 def _bits(text: str) -> float:
@@ -117,7 +120,7 @@ def _hex_rows(column: pa.Array) -> np.ndarray:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     none = hashlib.sha256(b"").hexdigest()
-    schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("value", pa.int64()), ("plain", pa.bool_())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("owner", pa.string()), ("repo", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int32()), ("stop", pa.int32()), ("value", pa.int64()), ("plain", pa.bool_())])))])
     for part in vectext.parts(batches, "text", 8 << 20):
         text = part.column("text").fill_null("")
         look = _hex_rows(text)
@@ -133,23 +136,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if base:
                 digest[i] = hashlib.sha256(",".join(f"{BASE[k]}:{b}:{e}" for b, k, e, _ in base).encode()).hexdigest()
             found[i] = [{"kind": k, "begin": b, "stop": e, "value": _value(v), "plain": _plain(k, v)} for b, k, e, v in sorted(base + extra_spans(t, base))]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("owner"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(found, schema.field("found").type)], schema=schema)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("owner"), part.column("repo"), *(pa.array(c) for c in counts), pa.array(digest), pa.array(found, schema.field("found").type)], schema=schema)
 
 
 def scan_secrets(docs: DataFrame, owner_col: str = "source", max_owners: int = 2, max_repos: int = 20) -> tuple[DataFrame, DataFrame]:
     """(documents, values) for docs(doc_id, text, owner_col).
 
-    A document is a repository of its owner. values: one row per candidate value with n_repos, n_owners
+    values: one row per candidate value with n_repos, n_owners
     and verdict 'live' or 'example' ('example': over max_owners owners or max_repos repositories, or a
     placeholder by its wording). documents: doc_id, the base counts and digest, n_live, n_example and
     spans, which holds all base spans and those of further kinds that look live.
     """
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in docs.columns else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), owner.alias("owner")).mapInArrow(_scan, FOUND)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), owner.alias("owner"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("repo")).mapInArrow(_scan, FOUND)
     rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     some = F.size("found") > 0
     each = rows.filter(some).select("row", "owner", F.explode("found").alias("f")).select("row", "owner", "f.*")
-    by_repo = rows.filter(some).select("owner", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f.value.alias("value"), f.plain.alias("plain"))))).alias("v")).select("owner", "v.*")
+    by_repo = rows.filter(some).select("owner", "repo", F.explode(F.array_distinct(F.transform("found", lambda f: F.struct(f.value.alias("value"), f.plain.alias("plain"))))).alias("v")).select("owner", "repo", "v.*").groupBy("value", "owner", "repo").agg(F.max("plain").alias("plain"))
     by_owner = by_repo.groupBy("value", "owner").agg(F.count("*").alias("n"), F.max("plain").alias("plain"))
     values = by_owner.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"), F.max("plain").alias("plain"))
     values = values.select("value", "n_repos", "n_owners", F.when(F.col("plain") | (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos), "example").otherwise("live").alias("verdict"))

@@ -13,7 +13,7 @@ are exact. Votes weighted by cosine give a share, which leave-one-out votes of t
 
 Every whole text is scored in Arrow batches; nothing is shuffled but the labels of the sample.
 
-Defined results: null counts as empty text, which has no vocabulary term; labels other than 0 and 1 are
+Defined results: texts of any length are scored whole; null counts as empty text, which has no vocabulary term; labels other than 0 and 1 are
 not learned from; without examples every score is 0; repeated rows are returned each; an empty table
 gives an empty result; other columns are ignored.
 """

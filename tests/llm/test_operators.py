@@ -472,3 +472,37 @@ def test_letter_counts_lose_no_pair():
         passed += line_dedup.close(c[:1], c[2:], 2)[0]
         assert any(not (c[0] ^ c[1]) & line_dedup.share_mask(g, 5) for g in range(5))
     assert passed < 20  # of texts that are 12 letters longer
+
+
+def test_regions_of_hot_grams():
+    """A phrase in hundreds of items, met hundreds of times: the same bands from slices of items as at once."""
+    items = [f"which of the following is number {i:03d} of them all" for i in range(300)]
+    index = decontaminate.Index(list(range(300)), items)
+    text = " ".join(items[k] for k in range(0, 300, 3)) + " which of the following is not here"
+    points = decontaminate._points([text])
+    at = np.array([0, len(text)])
+    once = sorted(zip(*(c.tolist() for c in index.regions(points, at)), strict=True))
+    sliced = index._bands
+    index._bands = lambda *a: sliced(*a[:6], 1000)
+    assert sorted(zip(*(c.tolist() for c in index.regions(points, at)), strict=True)) == once
+    assert {i for _, i, _ in once} >= set(range(0, 300, 3))
+
+
+def test_secret_repositories_are_distinct(spark):
+    """Copies of one text are one repository; different texts count each."""
+    text = "x ghp_" + "aB3dE6" * 7
+    docs = spark.createDataFrame([(i, text, "s0") for i in range(30)] + [(100 + i, f"{text} {i}", "s0") for i in range(3)], "doc_id long, text string, source string")
+    assert [(r["n_owners"], r["n_repos"], r["verdict"]) for r in secret_scan.scan_secrets(docs)[1].collect()] == [(1, 4, "live")]
+
+
+def test_mix_with_a_column_named_copies(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", 7, 8) for i in range(6)], "doc_id long, text string, source string, copies int, mix_copies int")
+    rows = mixing.mix(docs).collect()
+    assert rows and all(r["copies"] == 7 and r["mix_copies"] == 8 and r["mix_mix_copies"] >= 1 for r in rows)
+
+
+def test_language_sample_is_bounded(spark):
+    """Many labels and one repeated id: the most common languages are learned, from a bounded number of rows."""
+    docs = spark.createDataFrame([(1, f"the and of number {i}", "en") for i in range(3000)] + [(1, f"le la les des {i}", "fr") for i in range(3000)] + [(i, f"x{i} y", f"noise{i}") for i in range(50)], "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=100, most_languages=2)
+    assert model.languages == ["en", "fr"]
