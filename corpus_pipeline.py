@@ -1,8 +1,9 @@
 """Corpus pipeline: language ID, exact dedup, near dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again
-as the next stage's docs. All but the last return the columns of documents; the last adds `copies`,
-how often the mix takes the document. Models and statistics are learned on the stage's own input.
+as the next stage's docs. All but the last return the columns of documents, whatever their names; the last adds
+`copies` (`mix_copies` where that is a column already), how often the mix takes the document. Empty tables give
+empty results in every stage. Models and statistics are learned on the stage's own input.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from marginalia.llm import common, decontaminate, exact_dedup, language_id, mixi
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter, or whose language is ambiguous."""
+    """Documents go that have no letter (null and blank texts too), or whose language is ambiguous; repeated rows stay each. Without labels all go."""
     common.workers_ready(spark)
     model = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
@@ -23,20 +24,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space the row with the smallest doc_id stays, null ids last; null counts as empty; of repeated rows one stays."""
     common.workers_ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id stays, null ids last; blank and null texts are one class; of repeated rows one stays."""
     common.workers_ready(spark)
     return near_dedup.drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold a benchmark item of 8 characters or more, with some edits; null texts stay, repeated rows each."""
     return decontaminate.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes; null sources are a source; texts without words go, as they hold no words to take; repeated rows are dealt as single ones."""
     return mixing.mix(docs)
 
 
