@@ -153,10 +153,20 @@ def xml_escape(c: Column) -> Column:
     return c
 
 
+# Begins of source lists; each goes on to the end of the text.
+FOOTERS = (
+    r"(?s)\n---+\s*\n?\*\*引用来源：.*\z",
+    r"(?s)\n\*\*引用来源：.*\z",
+    r"(?s)\n来源[：:].*\z",
+    r"(?s)引用来源[：:].*\z",
+    r"(?s)\n参考文献[：:].*\z",
+)
+
+
 def strip_footer(c: Column) -> Column:
     """Without source lists that the writer of an answer added by hand."""
-    for p in (r"(?s)\n---+\s*\n?\*\*引用来源：.*?$", r"(?s)\n\*\*引用来源：.*?$", r"(?s)\n来源[：:].*?$", r"(?s)引用来源[：:].*?$", r"(?s)\n参考文献[：:].*?$"):
-        c = F.regexp_replace(c, p.replace("$", r"\z"), "")
+    for p in FOOTERS:
+        c = F.regexp_replace(c, p, "")
     return trimmed(F.regexp_replace(c, r"\*+\s*\z", ""))
 
 

@@ -21,11 +21,13 @@ class Bm25Index:
     stats: DataFrame
 
 
-def build_bm25(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=tx.latin_tokens) -> Bm25Index:
+def build_bm25(docs: DataFrame, id_col: str = "id", text_col: str = "text", tokenizer=tx.tokenize) -> Bm25Index:
     """Index of docs. Term counts combine on the map side; no document is gathered."""
     tokens = docs.select(F.col(id_col).alias("id"), tokenizer(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")).withColumn("dl", F.size("tokens").cast("long"))
     postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Bm25Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")))
+    # Document frequencies need no postings: distinct terms of each text combine on the map side.
+    terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return Bm25Index(postings, terms, tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens")))
 
 
 def idf_table(index: Bm25Index) -> DataFrame:
@@ -35,11 +37,11 @@ def idf_table(index: Bm25Index) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
 
 
-def score_bm25(queries: DataFrame, index: Bm25Index, tokenizer=tx.latin_tokens) -> DataFrame:
+def score_bm25(queries: DataFrame, index: Bm25Index, tokenizer=tx.tokenize) -> DataFrame:
     """query_id, id, score of queries(query_id, text). Repeated query terms count repeatedly."""
     asked = queries.select("query_id", F.explode(tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     weighted = asked.join(idf_table(index), "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("w"))
-    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats))
+    hits = index.postings.join(asked.select("term").distinct(), "term", "left_semi").join(weighted, "term").crossJoin(F.broadcast(index.stats))
     length = K1 * (1 - B + B * F.col("dl") * F.col("n_docs") / F.col("n_tokens"))
     return hits.select("query_id", "id", (F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("s")).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
 
@@ -56,7 +58,7 @@ def first_per_parent(hits: DataFrame, parent_col: str = "parent_key") -> DataFra
     return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def bm25_topk(queries: DataFrame, index: Bm25Index, parents: DataFrame | None = None, k: int = 10, floor: float = 0.1, tokenizer=tx.latin_tokens) -> DataFrame:
+def bm25_topk(queries: DataFrame, index: Bm25Index, parents: DataFrame | None = None, k: int = 10, floor: float = 0.1, tokenizer=tx.tokenize) -> DataFrame:
     """query_id, id, score, rank. With parents(id, parent_key): twice k hits are taken, then one a parent, then k."""
     hits = score_bm25(queries, index, tokenizer).filter(F.col("score") >= floor)
     if parents is None:
@@ -64,10 +66,10 @@ def bm25_topk(queries: DataFrame, index: Bm25Index, parents: DataFrame | None =
     return best(first_per_parent(best(hits, 2 * k).drop("rank").join(parents, "id")), k)
 
 
-def fulltext_and(queries: DataFrame, index: Bm25Index, k: int = 5, tokenizer=tx.latin_tokens) -> DataFrame:
+def fulltext_and(queries: DataFrame, index: Bm25Index, k: int = 5, tokenizer=tx.tokenize) -> DataFrame:
     """Documents with all terms of a query; score = sum of 1 + ln tf over the query's distinct terms."""
     asked = queries.select("query_id", F.array_distinct(tokenizer(F.col("text"))).alias("terms")).select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    hits = index.postings.join(asked, "term").groupBy("query_id", "n", "id").agg(F.count("*").alias("m"), F.round(F.sum(1 + F.log("tf")), 6).alias("score"))
+    hits = index.postings.join(asked.select("term").distinct(), "term", "left_semi").join(asked, "term").groupBy("query_id", "n", "id").agg(F.count("*").alias("m"), F.round(F.sum(1 + F.log("tf")), 6).alias("score"))
     return best(hits.filter("m = n").select("query_id", "id", "score"), k)
 
 
@@ -79,7 +81,7 @@ def highlight(hits: DataFrame) -> DataFrame:
     return hits.withColumn("matched", terms).withColumn("highlighted", simple)
 
 
-def update_bm25(index: Bm25Index, old: DataFrame, new: DataFrame, tokenizer=tx.latin_tokens) -> Bm25Index:
+def update_bm25(index: Bm25Index, old: DataFrame, new: DataFrame, tokenizer=tx.tokenize) -> Bm25Index:
     """Index without the documents of old and with those of new, both (id, text): only touched rows are tokenised, and counts change by difference."""
     gone, come = build_bm25(old, tokenizer=tokenizer), build_bm25(new, tokenizer=tokenizer)
     postings = index.postings.join(old.select("id"), "id", "left_anti").select("term", "id", "tf", "dl").unionByName(come.postings)

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Tags that go with their content.
-NOISE_TAGS = frozenset("script style nav footer header aside noscript iframe svg canvas form button input select textarea audio video object embed link meta".split())
+NOISE_TAGS = frozenset(
+    ("script", "style", "img", "svg", "nav", "footer", "header", "aside", "form", "input", "button", "iframe", "canvas", "video", "audio", "source", "track", "embed", "object", "noscript", "template")
+)
 VOID = frozenset("br hr img input link meta embed area base col source track wbr".split())
 CHAPTER = re.compile(r"^第[0-9一二三四五六七八九十百零]+[章篇卷部编]$")
 

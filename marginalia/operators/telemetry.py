@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Price per 1000 tokens (prompt, completion) by model.
-PRICES = (("qwen-turbo", 0.002, 0.006), ("qwen-plus", 0.004, 0.012), ("qwen-max", 0.02, 0.06), ("default", 0.001, 0.002))
+PRICES = (("gpt-3.5-turbo", 0.0015, 0.002), ("gpt-4", 0.03, 0.06), ("deepseek-chat", 0.001, 0.002), ("default", 0.001, 0.002))
 
 
 def price_table(spark) -> DataFrame:

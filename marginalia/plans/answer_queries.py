@@ -14,20 +14,23 @@ from .registry import load, query
 # --- vector legs: the halves of an embedding stand for two kinds of vectors of one corpus ---------
 
 
-def vectors(spark, d, part: tuple[int, int] = (1, 64), n_queries: int = 20) -> tuple[DataFrame, DataFrame]:
+EVERY = 20  # every so many-th vector is a query, against all vectors
+
+
+def vectors(spark, d, part: tuple[int, int] = (1, 64)) -> tuple[DataFrame, DataFrame]:
     e = load(spark, d, "embeddings").select("vec_id", F.slice("embedding", part[0], part[1] - part[0] + 1).alias("vector"))
-    return e.filter(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query_id"), "vector"), e.filter(F.col("vec_id") >= n_queries).select(F.col("vec_id").alias("id"), "vector")
+    return e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "vector"), e.select(F.col("vec_id").alias("id"), "vector")
 
 
-def leg(spark, d, part=(1, 64), k=20, n_queries=20) -> DataFrame:
-    return vs.vector_topk(*vectors(spark, d, part, n_queries), k)
+def leg(spark, d, part=(1, 64), k=20) -> DataFrame:
+    return vs.vector_topk(*vectors(spark, d, part), k)
 
 
-def leg_sql(name: str, part=(1, 64), k=20, n_queries=20) -> str:
+def leg_sql(name: str, part=(1, 64), k=20) -> str:
     a, b = part
     return f"""{name} AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(q.embedding[{a}:{b}]::DOUBLE[], c.embedding[{a}:{b}]::DOUBLE[]), 6) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding[{a}:{b}]::DOUBLE[], c.embedding[{a}:{b}]::DOUBLE[]), 6) DESC, c.vec_id) AS rank
-      FROM embeddings q, embeddings c WHERE q.vec_id < {n_queries} AND c.vec_id >= {n_queries} QUALIFY rank <= {k})"""
+      FROM embeddings q, embeddings c WHERE q.vec_id % {EVERY} = 0 QUALIFY rank <= {k})"""
 
 
 A, B = (1, 32), (33, 64)
@@ -50,9 +53,9 @@ def vector_topk(spark, d):
     return leg(spark, d, k=10)
 
 
-@query("faq_topk", f"WITH {leg_sql('a', k=5, n_queries=40)} SELECT * FROM a")
+@query("faq_topk", f"WITH {leg_sql('a', k=5)} SELECT * FROM a")
 def faq_topk(spark, d):
-    return vs.faq_topk(*vectors(spark, d, n_queries=40))
+    return vs.faq_topk(*vectors(spark, d))
 
 
 @query("faq_vector_threshold", f"WITH {leg_sql('a', k=10)} SELECT query_id, id, score, {TOP} FROM a WHERE score > 0.4")
@@ -177,16 +180,17 @@ def hit_term_matrix(spark, d):
 
 
 def routed(spark, d, **options) -> DataFrame:
-    q = load(spark, d, "embeddings").filter("vec_id < 40").select(F.col("vec_id").alias("query_id"))
-    faq = leg(spark, d, k=5, n_queries=40).filter(F.col("query_id") % 8 != 0).withColumn("score", F.least(F.round(F.col("score") * 1.4, 6), F.lit(1.0)))
-    r = routing.route(q, faq.drop("rank"), leg(spark, d, A, 10, 40).drop("rank"), **options)
+    q = load(spark, d, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"))
+    # Each query finds itself, so FAQ scores are lowered by query: all routes occur.
+    faq = leg(spark, d, k=5).filter(F.col("query_id") % 8 != 0).withColumn("score", F.round(F.col("score") * (0.5 + F.col("query_id") % 60 / 100.0), 6))
+    r = routing.route(q, faq.drop("rank"), leg(spark, d, A, 10).drop("rank"), **options)
     return r.select("query_id", "route", "confidence", "confidence_kind", F.array_join("faq", ",").alias("faq"), F.array_join("doc", ",").alias("doc"))
 
 
 def route_sql(high: float, low: str) -> str:
-    return f"""WITH {leg_sql('fa', k=5, n_queries=40)}, {leg_sql('dh', A, 10, 40)}, f AS (SELECT query_id, id, rank, least(round(score * 1.4, 6), 1.0) AS score FROM fa WHERE query_id % 8 <> 0), g AS (SELECT * FROM f WHERE score BETWEEN 0 AND 1),
+    return f"""WITH {leg_sql('fa', k=5)}, {leg_sql('dh', A, 10)}, f AS (SELECT query_id, id, rank, round(score * (0.5 + query_id % 60 / 100.0)::DOUBLE, 6) AS score FROM fa WHERE query_id % 8 <> 0), g AS (SELECT * FROM f WHERE score BETWEEN 0 AND 1),
  h AS (SELECT *, {TOP.replace('AS rank', 'AS rk')} FROM g), x AS (SELECT query_id, max(score) AS sim, string_agg(id, ',' ORDER BY rk) AS faq FROM h GROUP BY query_id), y AS (SELECT query_id, max(score) AS ds, string_agg(id, ',' ORDER BY rank) AS doc FROM dh WHERE rank <= 5 GROUP BY query_id),
- r AS (SELECT vec_id AS query_id, sim, faq, ds, doc, CASE WHEN sim IS NULL OR {low} THEN 'DOC_ONLY' WHEN sim >= {high} THEN 'FAQ_ONLY' ELSE 'HYBRID' END AS route FROM embeddings LEFT JOIN x ON x.query_id = vec_id LEFT JOIN y ON y.query_id = vec_id WHERE vec_id < 40)
+ r AS (SELECT vec_id AS query_id, sim, faq, ds, doc, CASE WHEN sim IS NULL OR {low} THEN 'DOC_ONLY' WHEN sim >= {high} THEN 'FAQ_ONLY' ELSE 'HYBRID' END AS route FROM embeddings LEFT JOIN x ON x.query_id = vec_id LEFT JOIN y ON y.query_id = vec_id WHERE vec_id % {EVERY} = 0)
  SELECT query_id, route, (CASE WHEN route = 'DOC_ONLY' THEN coalesce(ds, 0) ELSE sim END)::DOUBLE AS confidence, CASE WHEN route = 'DOC_ONLY' THEN 'doc' ELSE 'faq' END AS confidence_kind, CASE WHEN route = 'DOC_ONLY' THEN '' ELSE faq END AS faq, CASE WHEN route = 'FAQ_ONLY' THEN '' ELSE coalesce(doc, '') END AS doc FROM r"""
 
 
@@ -419,12 +423,12 @@ def latency_rollup(spark, d):
 
 def usage(spark, d) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    model = F.when(F.col("event_type") == "click", "qwen-turbo").when(F.col("event_type") == "view", "qwen-max").otherwise(F.col("event_type"))
+    model = F.when(F.col("event_type") == "click", "gpt-4").when(F.col("event_type") == "view", "deepseek-chat").otherwise(F.col("event_type"))
     return load(spark, d, "events").select(model.alias("model"), k.alias("prompt_tokens"), F.when(F.col("event_type") != "error", k * 2).alias("completion_tokens"), F.col("user_id").alias("session_id"))
 
 
 @query("token_cost_rollup", """SELECT model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, round(sum((p * i + c * o) / 1000), 4) AS cost, count(DISTINCT user_id) AS n_sessions, floor((sum(p) + sum(c)) / greatest(count(DISTINCT user_id), 1))::BIGINT AS tokens_per_session FROM (
- SELECT user_id, CASE event_type WHEN 'click' THEN 'qwen-turbo' WHEN 'view' THEN 'qwen-max' ELSE event_type END AS model, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS p, CASE WHEN event_type <> 'error' THEN coalesce(json_extract(props, '$.k')::BIGINT * 2, 0) ELSE 0 END AS c, CASE event_type WHEN 'click' THEN 0.002 WHEN 'view' THEN 0.02 ELSE 0.001 END::DOUBLE AS i, CASE event_type WHEN 'click' THEN 0.006 WHEN 'view' THEN 0.06 ELSE 0.002 END::DOUBLE AS o FROM events) GROUP BY model""")
+ SELECT user_id, CASE event_type WHEN 'click' THEN 'gpt-4' WHEN 'view' THEN 'deepseek-chat' ELSE event_type END AS model, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS p, CASE WHEN event_type <> 'error' THEN coalesce(json_extract(props, '$.k')::BIGINT * 2, 0) ELSE 0 END AS c, CASE event_type WHEN 'click' THEN 0.03 WHEN 'view' THEN 0.001 ELSE 0.001 END::DOUBLE AS i, CASE event_type WHEN 'click' THEN 0.06 WHEN 'view' THEN 0.002 ELSE 0.002 END::DOUBLE AS o FROM events) GROUP BY model""")
 def token_cost_rollup(spark, d):
     return telemetry.token_cost_rollup(usage(spark, d), telemetry.price_table(spark))
 

@@ -402,7 +402,8 @@ def corpus_token_stats(spark, d):
     return docs(spark, d).agg(F.count("*").alias("n_docs"), F.sum(F.size(tx.latin_tokens(F.col("text")))).alias("n_tokens"))
 
 
-@query("bm25_index", f"WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT 0 AS query_id, '' AS text), {bm25_sql(1)} SELECT term, df, round(idf, 6) AS idf FROM df JOIN idf USING (term)")
+@query("bm25_index", f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term),
+ raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, (SELECT count(*) AS n FROM documents)), m AS (SELECT 0.25 * avg(r) AS least FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN least ELSE r END, 6) AS idf FROM raw, m""")
 def bm25_index(spark, d):
     return index.idf_table(index.build_bm25(docs(spark, d), "doc_id")).select("term", "df", F.round("idf", 6).alias("idf"))
 

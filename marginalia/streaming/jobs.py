@@ -16,7 +16,13 @@ from ..sources import files
 
 
 class Versions:
-    """Versioned tables of a job: a new version is written beside the old one and named last, so a failed or repeated batch changes nothing."""
+    """Versioned tables of a job: a new version is written beside the old one and named last, so a failed or repeated batch changes nothing.
+
+    Versions are numbered on from the last one named, whatever checkpoint a batch comes from; a batch is known by
+    its checkpoint and number, and is not applied twice. One job at a time may write.
+    """
+
+    LOG = "version string, job string, batch long"
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -27,18 +33,27 @@ class Versions:
 
     def current(self) -> str | None:
         """Name of the last finished version: the greatest one with a mark."""
+        log = self.log()
+        return log and log.agg(F.max("version")).first()[0]
+
+    def log(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("version string").json(f"{self.path}/log").agg(F.max("version")).first()[0]
+            return self.spark.read.schema(self.LOG).json(f"{self.path}/log")
         except Exception as e:  # no log yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             return None
 
-    def write(self, batch: int, tables: dict[str, DataFrame]) -> None:
-        version = f"{batch:012d}-{uuid.uuid4().hex[:8]}"
+    def applied(self, job: str, batch: int) -> bool:
+        log = self.log()
+        return log is not None and log.filter((F.col("job") == job) & (F.col("batch") == batch)).limit(1).count() > 0
+
+    def write(self, job: str, batch: int, tables: dict[str, DataFrame]) -> None:
+        last = self.current()
+        version = f"{int(last.split('-')[0]) + 1 if last else 0:012d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{version}/{name}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        self.spark.createDataFrame([(version, job, batch)], self.LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
 
 
 CORPUS = "doc_name string, ext string, chunk_index long, chunk_text string"
@@ -63,6 +78,8 @@ def ingest_stream(stream: DataFrame, path: str, checkpoint: str, splitter) -> St
     store = Versions(stream.sparkSession, path)
 
     def batch(docs: DataFrame, n: int) -> None:
+        if store.applied(checkpoint, n):
+            return
         docs = docs.persist()
         corpus, seen = store.read("corpus", CORPUS), store.read("seen", SEEN)
         new_corpus, new_seen, changed = ingest(docs, seen, corpus, splitter)
@@ -71,7 +88,7 @@ def ingest_stream(stream: DataFrame, path: str, checkpoint: str, splitter) -> St
         new_texts = splitter(changed).groupBy(key).agg(joined_chunks().alias("text"))
         old = index.Bm25Index(store.read("postings", POSTINGS), store.read("terms", TERMS), store.read("stats", STATS))
         new = index.update_bm25(old, old_texts, new_texts)
-        store.write(n, {"corpus": new_corpus, "seen": new_seen, "postings": new.postings, "terms": new.terms, "stats": new.stats.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))})
+        store.write(checkpoint, n, {"corpus": new_corpus, "seen": new_seen, "postings": new.postings, "terms": new.terms, "stats": new.stats.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))})
         docs.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -212,6 +212,20 @@ def test_ingest_stream(spark, tmp_path):
     assert sorted(map(tuple, store.read("terms", jobs.TERMS).collect())) == sorted(map(tuple, again.terms.collect()))
 
 
+def test_ingest_stream_over_two_checkpoints(spark, tmp_path):
+    """A new checkpoint starts its batches at 0 again; its update is seen all the same, and a batch is applied once."""
+    path, schema = str(tmp_path / "store"), "doc_name string, ext string, text string"
+    split = lambda df: chunking.split_chars(df, 10, 2)
+    for k, names in enumerate((["a", "b"], ["c"])):
+        for n in names:
+            spark.createDataFrame([(n, ".txt", f"text of {n}")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in{k}"))
+        jobs.ingest_stream(stream, path, str(tmp_path / f"check{k}"), split).awaitTermination()
+    store = jobs.Versions(spark, path)
+    assert {r["doc_name"] for r in store.read("seen", jobs.SEEN).collect()} == {"a", "b", "c"}
+    assert store.applied(str(tmp_path / "check1"), 0) and not store.applied(str(tmp_path / "check1"), 1)
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 9, 1)], "query_id long, id long, rank long")
     relevant = spark.createDataFrame([(1, 6), (1, 8), (3, 1)], "query_id long, id long")
