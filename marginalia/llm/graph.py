@@ -74,7 +74,7 @@ def _apart(test: Test):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 1 << 15:
+            if sum(b.num_rows for b in held) < 1 << 13:
                 continue
             part = pa.concat_batches(held)
             last = np.ones(part.num_rows, bool)

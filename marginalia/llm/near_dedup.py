@@ -87,7 +87,7 @@ def elements(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in vectext.parts(batches, "text", 3 << 19):
+    for part in vectext.parts(batches, "text", 1 << 19):
         for k in range(0, part.num_rows, 1 << 16):
             yield part.slice(k, 1 << 16)
 
@@ -304,7 +304,7 @@ def verified(pairs: DataFrame, sets: DataFrame, weights: Weights, threshold: flo
     send = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in vectext.parts(batches, "x", 8 << 20):
+        for part in vectext.parts(batches, "x", 2 << 20):
             got = [weighted_jaccard(np.frombuffer(x, U64), np.frombuffer(y, U64), send.value) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
             out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got, pa.float64())], names=["a", "b", "similarity"])
             yield out.filter(pc.greater_equal(out.column("similarity"), threshold))

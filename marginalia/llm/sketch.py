@@ -27,7 +27,7 @@ def totals(df: DataFrame, slots_of: Callable[[Iterator[pa.RecordBatch]], Iterato
         for slots in slots_of(batches):
             held.append(slots)
             n += len(slots)
-            if n > size:  # a count over all counters costs as much as so many slots
+            if n > size // 4:  # often enough for a bounded list, seldom enough for the cost of all counters
                 total += np.bincount(np.concatenate(held), minlength=size)
                 held, n = [], 0
         if held:
