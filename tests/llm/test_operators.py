@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marginalia.llm import decontaminate, exact_dedup, graph, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity, vectext
 from marginalia.llm.queries import QUERIES
@@ -323,8 +324,11 @@ def test_codewords():
         assert len({tuple(c) for c in code}) == n and all(abs(c.sum()) < n for c in code.T)
 
 
-def test_exact_dedup(spark, tricky):
-    rows = exact_dedup.op7_exact_dedup(spark, tricky).collect()
+@pytest.mark.parametrize("options", [{}, {"capacity": 8, "owner_bytes": 2000, "key": lambda text: F.shiftleft(F.pmod(F.crc32(text.cast("binary")), F.lit(7)), 60)}])
+def test_exact_dedup(spark, tricky, options):
+    """With forced collisions too: seven hashes for all texts, chained in buckets of several owners."""
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    rows = (exact_dedup.mark_exact(docs, **options) if options else exact_dedup.op7_exact_dedup(spark, tricky)).collect()
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = defaultdict(list)
     for i, t, _, _ in table(spark, tricky):
@@ -337,6 +341,18 @@ def test_exact_dedup(spark, tricky):
     assert kept == Counter(dict.fromkeys(groups, 1))
 
 
+def test_index_is_split_and_chained(spark, tricky):
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    index = exact_dedup.build_index(docs, capacity=8, owner_bytes=2000)
+    rows = index.rows.collect()
+    held = Counter(r["bucket"] for r in rows)
+    assert len(held) > 8 and max(held.values()) <= 8 and {r["chain"] for r in rows} == {0}
+    assert all(r["bucket"] == (1 << r["depth"]) | (r["hash"] % (1 << 64)) >> (64 - r["depth"]) for r in rows)
+    assert index.book.agg(F.max("owner")).first()[0] > 3 and index.book.count() == 1 << index.top
+    same = exact_dedup.build_index(docs, capacity=8, key=lambda text: F.lit(5).cast("long")).rows.collect()
+    assert sorted(r["chain"] for r in same) == list(range(len(rows))) and Counter(r["text_sha256"] for r in same) == Counter(r["text_sha256"] for r in rows)
+
+
 def test_directory():
     slots = exact_dedup.directory({0: 10, 1: 10, 2: 1}, 3, 10)
     assert [(s, d) for s, _, d in slots] == [(0, 3), (1, 3), (2, 2), (3, 2), (4, 1), (5, 1), (6, 1), (7, 1)]
