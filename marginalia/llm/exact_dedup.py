@@ -58,7 +58,7 @@ def directory(counts: dict[int, int], max_depth: int, capacity: int) -> list[tup
 
 def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each part of rows (hash, norm, doc_id) one entry a text: hash, norm, keep_id, n."""
-    for part in vectext.parts(batches, "norm", 8 << 20):
+    for part in vectext.parts(batches, "norm", 4 << 20):
         sums = pa.Table.from_batches([part]).group_by(["hash", "norm"]).aggregate([("doc_id", "min"), ("doc_id", "count", pc.CountOptions(mode="all"))])
         yield from sums.select(["hash", "norm", "doc_id_min", "doc_id_count"]).rename_columns(["hash", "norm", "keep_id", "n"]).to_batches()
 
@@ -76,7 +76,7 @@ def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    for part in vectext.parts(batches, "norm", 8 << 20):
+    for part in vectext.parts(batches, "norm", 4 << 20):
         rows = []
         texts = part.column("norm").cast(pa.binary())
         own = zip(*(part.column(c).to_pylist() for c in ("bucket", "depth", "hash", "keep_id", "n")), strict=True)
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame, capacity: int = 4096, max_depth: int = 16, owne
     owner = (before // owner_bytes).astype(np.int64)[bucket_no]
     book = spark.createDataFrame([(*row, int(o)) for row, o in zip(slots, owner, strict=True)], "slot int, bucket int, depth int, owner int")
     top = (len(slots) - 1).bit_length()
-    mine = dealt(entry.drop("bytes"), book, top).repartition(int(owner.max()) + 1, "owner").sortWithinPartitions("bucket", "hash")
+    mine = dealt(entry.drop("bytes"), book, top).repartitionById(int(owner.max()) + 1, "owner").sortWithinPartitions("bucket", "hash")
     index = mine.select("bucket", "depth", "hash", "norm", "keep_id", "n").mapInArrow(chained, "bucket int, depth int, hash long, text_sha256 string, chain int, keep_id long, group_size long")
     return Index(common.stored(index, "exact-index"), book, top)
 
