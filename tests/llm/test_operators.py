@@ -435,14 +435,65 @@ def test_toxicity(spark, tricky):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
 
 
-def test_block_max_is_exact():
+def cosine_votes(rows, terms, idf, k, queries):
+    """Brute force of the votes: dense vectors, all cosines."""
+    n, y = len(rows), np.array([r[1] for r in rows], float)
+
+    def dense(many, weight):
+        x = np.zeros((len(many), len(terms)))
+        for i, (_, _, term, tf) in enumerate(many):
+            for t, c in zip(term, tf, strict=True):
+                if t in terms:
+                    x[i, np.searchsorted(terms, t)] = (1 + np.log(c)) * weight[np.searchsorted(terms, t)]
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    has = dense(rows, np.ones(len(terms))) > 0
+    phi = [0.0 if len(set(h)) < 2 or len(set(y)) < 2 else np.corrcoef(h, y)[0, 1] for h in has.T.astype(float)]
+    weight = idf * np.square(phi)
+    cosines = dense(queries, weight) @ dense(rows, weight).T
+    out = []
+    for c in cosines:
+        near = sorted((i for i in range(n) if c[i] > 1e-12), key=lambda i: (-round(c[i], 12), rows[i][0]))[:k]
+        out.append(((c[near] ** 2 * y[near]).sum() / (c[near] ** 2).sum() if near else y.mean(), [rows[i][0] for i in near], c[near]))
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 40, 400])
+def test_block_max_is_exact(size):
+    """Votes, neighbours and cosines equal brute force over the whole vocabulary, with ties and copies, and don't depend on the batch."""
     rng = np.random.default_rng(3)
-    rows = [(i, int(rng.random() < 0.3), np.sort(rng.choice(60, 12, replace=False)).astype(np.uint64), rng.integers(1, 5, 12)) for i in range(400)]
-    model = toxicity.Neighbours(rows, 7, 0.0, 50)
-    x = model.x[:50]
-    _, sim = model.nearest(x, 7)
-    full = -np.sort(-(x @ model.x.T), axis=1)[:, :7]
-    assert np.allclose(sim, np.maximum(full, 0), atol=1e-6)
+    some = lambda: np.sort(np.unique((rng.random(14) ** 3 * 90).astype(np.uint64)))
+    rows = [(7 * i % size, int(rng.random() < 0.3), t, rng.integers(1, 5, len(t))) for i in range(size) for t in [some()]]
+    rows[-1] = (rows[-1][0], rows[0][1], *rows[0][2:])
+    queries = [(0, 0, t, rng.integers(1, 5, len(t))) for t in [some() for _ in range(60)]] + [(0, 0, np.array([200], np.uint64), np.array([3])), rows[0], (0, 0, *rows[0][2:]), (0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    terms = np.unique(np.concatenate([r[2] for r in rows]))
+    idf = rng.random(len(terms)) + 1
+    index = toxicity.Index(sorted(rows, key=lambda r: r[0]), terms, idf, 7)
+    votes, best, sim = index.votes(*toxicity.flat(queries), len(queries))
+    for v, b, s, (share, ids, cosine) in zip(votes, best, sim, cosine_votes(rows, terms, idf, 7, queries), strict=True):
+        assert index.ids[b[b >= 0]].tolist() == ids and np.allclose(s[b >= 0], cosine) and abs(v - share) < 1e-9
+    alone = [index.votes(*toxicity.flat([q]), 1)[0][0] for q in queries]
+    assert alone == votes.tolist()
+
+
+def test_toxicity_counts_all_documents(spark, tricky):
+    """The idf of a term is taken over every row of documents, not over the labelled ones."""
+    docs = spark.read.parquet(f"{tricky}/documents.parquet").select("doc_id", "text")
+    texts = [r["text"] or "" for r in docs.collect()]
+    terms, want = [], []
+    for word in ("idiot", "moron", "the", "nowhere", "word"):
+        terms.append(int(toxicity.term_counts(pa.array([word]))[1][0]))
+        want.append(np.log((1 + len(texts)) / (1 + sum(bool(re.search(rf"(?<![a-z]){word}(?![a-z])", t.lower(), re.ASCII)) for t in texts))) + 1)
+    order = np.argsort(terms)
+    got = toxicity.inverse_frequencies(docs, np.array(terms, np.uint64)[order])
+    assert np.allclose(got, np.array(want)[order])
+
+
+def test_toxicity_does_not_depend_on_partitions(spark, tricky):
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    labels = spark.read.parquet(f"{tricky}/labels.parquet")
+    runs = [sorted(((r["doc_id"] is None, r["doc_id"], r["score"], str(r["evidence"])) for r in toxicity.score_texts(d, toxicity.fit(d, labels), ["doc_id"]).collect()), key=str) for d in (docs.repartition(1), docs.repartition(13))]
+    assert runs[0] == runs[1]
 
 
 @given(st.lists(st.one_of(st.none(), st.text(" \t\nabé中", max_size=40)), max_size=8))
