@@ -77,8 +77,7 @@ def join_broken_lines(c: Column, ends: Sequence[str] = SENTENCE_ENDS) -> Column:
     """Lines trimmed and joined until one closes a sentence; what is left over is a last paragraph. One pass within the row."""
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.regexp_replace(F.regexp_replace(trimmed(x), "　", ""), "(?<=[一-龥]) (?=[一-龥])", "")), lambda x: x != "")
     closes = lambda x: F.exists(F.array(*[F.lit(e) for e in ends]), lambda e: F.endswith(x, e))
-    # The text so far with a mark where the next line starts a new paragraph.
-    joined = F.aggregate(lines, F.lit(""), lambda acc, x: F.concat(acc, x, F.when(closes(x), F.lit("\n")).otherwise(F.lit(""))))
+    joined = F.array_join(F.transform(lines, lambda x: F.concat(x, F.when(closes(x), F.lit("\n")).otherwise(F.lit("")))), "")
     return F.regexp_replace(joined, "\n$", "")
 
 

@@ -80,13 +80,24 @@ def split_recursive(df: DataFrame, id_col: str, size: int = 1024, overlap: int =
 
 
 def split_lines(df: DataFrame, size: int = 1000, text_col: str = "text") -> DataFrame:
-    """Lines packed greedily into chunks of at most size characters; a longer line stands alone."""
-    pack = F.aggregate(
-        F.split(text_col, "\n"),
-        F.array().cast("array<string>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + 1 + F.length(x) <= size), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n"), x)))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return df.select("*", F.posexplode(pack).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    """Lines packed greedily into chunks of at most size characters; a longer line stands alone. Each line is looked at once, in Arrow batches."""
+
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else ["\n".join(lines) for lines in _packed_lines(t.split("\n"), size)])
+
+    return df.select("*", F.posexplode(packed(text_col)).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def _packed_lines(lines: list[str], size: int) -> Iterator[list[str]]:
+    held, length = [], -1
+    for line in lines:
+        if held and length + 1 + len(line) > size:
+            yield held
+            held, length = [], -1
+        held.append(line)
+        length += 1 + len(line)
+    yield held
 
 
 def split_parents(df: DataFrame, id_col: str, levels: int = 2, min_len: int = 200, text_col: str = "text", opening: str = "开篇") -> DataFrame:

@@ -16,10 +16,10 @@ RELATION = ("关系", "影响", "作用", "联系", "区别", "比较", "意义"
 FALLBACK = "（史料记载）"
 
 
-def cited_sentences(answers: DataFrame) -> DataFrame:
-    """answer_id, pos, sentence, ref_id: one row for each [n] in a sentence of answers(answer_id, answer)."""
-    parts = answers.select("answer_id", F.posexplode(F.split("answer", r"(?<=[。！？\n])\s*")).alias("pos", "part"))
-    return parts.select("answer_id", F.col("pos").cast("long").alias("pos"), tx.trimmed(F.col("part")).alias("sentence"), F.explode(F.regexp_extract_all("part", F.lit(r"\[([0-9]+)\]"), F.lit(1))).alias("ref_id"))
+def cited_sentences(answers: DataFrame, *carry: str) -> DataFrame:
+    """answer_id, carry, pos, sentence, ref_id: one row for each [n] in a sentence of answers(answer_id, answer)."""
+    parts = answers.select("answer_id", *carry, F.posexplode(F.split("answer", r"(?<=[。！？\n])\s*")).alias("pos", "part"))
+    return parts.select("answer_id", *carry, F.col("pos").cast("long").alias("pos"), tx.trimmed(F.col("part")).alias("sentence"), F.explode(F.regexp_extract_all("part", F.lit(r"\[([0-9]+)\]"), F.lit(1))).alias("ref_id"))
 
 
 def fact_terms(sentence: Column, most: int = 15) -> Column:
@@ -55,9 +55,9 @@ def verify_citations(answers: DataFrame, sources: DataFrame, threshold: float =
     answer asks for relations): CRITICAL under 0.1, else WARNING.
     """
     relation = F.exists(F.array(*[F.lit(w) for w in RELATION]), lambda w: F.contains(F.col("answer"), w))
-    limit = answers.select("answer_id", F.when(relation, F.greatest(F.lit(0.15), F.lit(threshold - 0.1))).otherwise(F.lit(threshold)).alias("limit"))
+    limit = F.when(relation, F.greatest(F.lit(0.15), F.lit(threshold - 0.1))).otherwise(F.lit(threshold))
     known = sources.select("answer_id", F.col("ref_id").cast("string").alias("ref_id"), F.coalesce("content", F.lit("")).alias("content"), F.lit(True).alias("known"))
-    cited = cited_sentences(answers).join(known, ["answer_id", "ref_id"], "left").join(limit, "answer_id")
+    cited = cited_sentences(answers.select("answer_id", "answer", limit.alias("limit")), "limit").join(known, ["answer_id", "ref_id"], "left")
     judged = citation_support(cited.withColumn("terms", extractor(F.col("sentence"))))
     short = F.length(tx.trimmed(F.col("content"))) < 20
     severity = F.when(F.col("known").isNull(), "CRITICAL").when(short, "WARNING").when(F.col("score") < 0.1, "CRITICAL").otherwise("WARNING")

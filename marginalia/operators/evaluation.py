@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, id of docs(id, body) whose body contains the text of passages(query_id, text); ids are unique on both sides.
+
+    The second to fourth piece between single spaces of a passage stand in a body that holds it as they are, so
+    they are the join key, and only documents that share it are compared. Passages of fewer than five pieces
+    have no such key; these alone are compared with every body.
+    """
+    pieces = F.split("text", " ")
+    passages = passages.filter(F.col("text").isNotNull()).withColumn("n", F.size(pieces))
+    keyed = passages.filter("n >= 5").select("query_id", F.xxhash64(F.slice(pieces, 2, 3)).alias("key"))
+    words = docs.select("id", F.split("body", " ").alias("w")).filter(F.size("w") >= 5)
+    keys = F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i, 3)))
+    met = words.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select("query_id", "id")
+    long = met.join(docs, "id").join(passages.select("query_id", "text"), "query_id")
+    short = docs.join(passages.filter("n < 5").select("query_id", "text"), F.contains("body", "text"))
+    return long.filter(F.contains("body", "text")).unionByName(short.select(*long.columns)).select("query_id", "id")
+
+
 def evaluate_per_query(hits: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
     """query_id, precision, recall, hit, rr of hits(query_id, id, rank) against relevance(query_id, id)."""
     n = relevance.groupBy("query_id").agg(F.count("*").alias("n_relevant"))

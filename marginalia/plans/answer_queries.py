@@ -161,13 +161,13 @@ RELEVANT = "rel AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JO
  p AS (SELECT round(coalesce(f / h, 0), 6) AS precision, round(coalesce(f, 0) / n, 6) AS recall, (coalesce(f, 0) > 0)::BIGINT AS hit, round(coalesce(1.0 / first, 0), 6) AS rr FROM n LEFT JOIN m USING (query_id))
  SELECT count(*) AS n_queries, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr FROM p""")
 def retrieval_eval(spark, d):
-    """Relevant: documents that hold the passage; found by the passage's first words as a key, then compared."""
+    """Relevant: documents that hold the passage."""
     return evaluation.evaluate_retrieval(doc_hits(spark, d), holders(spark, d))
 
 
 def holders(spark, d) -> DataFrame:
-    """query_id, id of documents that hold a passage. The passages are a stated query set of fixed size."""
-    return docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("body")).join(F.broadcast(asked(spark, d)), F.contains("body", "text")).select("query_id", "id")
+    """query_id, id of documents that hold a passage."""
+    return evaluation.containing(asked(spark, d), docs(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("body")))
 
 
 @query("hit_term_matrix", f"WITH {DOC_HITS} SELECT query_id, id, contains(d.text, 'tion')::BIGINT AS has_0, contains(d.text, 'token')::BIGINT AS has_1, contains(d.text, 'License')::BIGINT AS has_2 FROM bm JOIN d USING (id)")

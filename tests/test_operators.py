@@ -257,3 +257,11 @@ def test_sinks(spark, tmp_path):
     files.append_telemetry(events, str(tmp_path / "log"))
     files.append_telemetry(events, str(tmp_path / "log"))
     assert sorted((r["day"], r["count"]) for r in spark.read.json(str(tmp_path / "log")).groupBy("day").count().collect()) == [(20240102, 2), (20240103, 2)]
+
+
+def test_containing(spark):
+    """Documents that hold a passage, against a plain search: passages at the borders, over line breaks, short, empty, inside words."""
+    bodies = [(1, "a b c d e f g"), (2, "xa b c d ey"), (3, "a b\nc d e f"), (4, "a  b c d e"), (5, ""), (6, None), (7, "c d"), (8, "a b c d e a b c d e"), (9, "é b c d é")]
+    asked = [(1, "a b c d e"), (2, "c d"), (3, "b\nc d e f"), (4, ""), (5, None), (6, "a  b c d"), (7, "b c d e f g h"), (8, "é b c d é")]
+    got = evaluation.containing(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(bodies, "id long, body string")).collect()
+    assert sorted(map(tuple, got)) == [(q, i) for q, t in asked for i, b in bodies if t is not None and b is not None and t in b]
