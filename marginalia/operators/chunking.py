@@ -82,24 +82,23 @@ def split_recursive(df: DataFrame, id_col: str, size: int = 1024, overlap: int =
 def split_lines(df: DataFrame, size: int = 1000, text_col: str = "text") -> DataFrame:
     """Lines packed greedily into chunks of at most size characters; a longer line stands alone. Each line is looked at once, in Arrow batches."""
 
+    def pack(text: str) -> list[str]:
+        out, held, length = [], [], -1
+        for line in text.split("\n"):
+            if held and length + 1 + len(line) > size:
+                out.append("\n".join(held))
+                held, length = [], -1
+            held.append(line)
+            length += 1 + len(line)
+        return [*out, "\n".join(held)]
+
     @F.pandas_udf("array<string>")
     def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else ["\n".join(lines) for lines in _packed_lines(t.split("\n"), size)])
+        return texts.map(lambda t: None if t is None else pack(t))
 
     return df.select("*", F.posexplode(packed(text_col)).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-def _packed_lines(lines: list[str], size: int) -> Iterator[list[str]]:
-    held, length = [], -1
-    for line in lines:
-        if held and length + 1 + len(line) > size:
-            yield held
-            held, length = [], -1
-        held.append(line)
-        length += 1 + len(line)
-    yield held
-
-
 def split_parents(df: DataFrame, id_col: str, levels: int = 2, min_len: int = 200, text_col: str = "text", opening: str = "开篇") -> DataFrame:
     """Sections by Markdown headings of at most `levels`: id, section, heading, heading_level, content.
 
