@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, hard_negatives, language_id, lexical_rank, license_scan, line_dedup, mixing, near_dedup, ngram_join, secret_scan, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_lexical_rank": lexical_rank.op13_lexical_rank,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_lexical_rank": lexical_rank.OP13_SQL}

@@ -85,12 +85,12 @@ class Prefix:
         return mix((self.sums[end] - self.sums[begin]) * self.back[begin])
 
 
-def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and row of each run of non-white-space bytes."""
+def words(buf: np.ndarray, at: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and row of each run of bytes that are not blank; white space is, unless a mask says otherwise."""
     n = len(buf)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    blank = space_mask(buf)
+    blank = space_mask(buf) if blank is None else blank
     cut = np.zeros(n + 1, bool)
     cut[at] = True
     before, after = cut[:n].copy(), cut[1:].copy()

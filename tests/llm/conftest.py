@@ -38,6 +38,20 @@ def rows():
     return [(*r, None if r[1] is None else len(r[1]), 1, "x", "y", 0.5, 2, "k", 3) for r in out]
 
 
+VECTORS = "vec_id long, embedding array<float>, label int, score double, tile long, kind string"
+
+
+def vectors():
+    """Vectors with ties, repeated rows, a hot label, nulls, other lengths and components that are no number."""
+    rng, out = random.Random(3), []
+    for i in range(400):
+        v = [rng.choice((-0.5, -0.1, 0.0, 0.3, 0.7)) for _ in range(33)]
+        out.append((i, v, 1 if rng.random() < 0.4 else rng.randrange(10)))
+    out += [(50, out[50][1], 3), (50, out[50][1], out[50][2]), (60, out[50][1], 1), (None, out[50][1], 1), (None, out[100][1], 4)]
+    out += [(1000, None, 1), (1050, out[1][1], None), (1100, [0.1, None] * 16, 1), (1150, [float("nan")] * 33, 1), (1200, [float("inf")] * 33, 2), (1250, [], 1), (1300, out[2][1][:20], 5), (1350, out[3][1] * 2, 6), (None, None, None)]
+    return [(*r, 0.5, 1, "k") for r in out]
+
+
 ITEMS = 12
 
 
@@ -51,6 +65,7 @@ def tricky(spark, tmp_path_factory):
     docs.append((6010, "well " + edited.upper() + "\n of", "en", "src0", 1, 1, "", "", 0.0, 0, "", 0))
     spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(leak, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame(vectors(), VECTORS).repartition(3).write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(r[0], 1, int("idiot" in (r[1] or ""))) for r in docs if r[0] is not None] + [(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d
 
@@ -60,5 +75,6 @@ def empty(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], VECTORS).write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return d

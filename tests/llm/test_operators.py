@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import decontaminate, exact_dedup, graph, language_id, license_scan, line_dedup, mixing, near_dedup, secret_scan, suffix_dedup, toxicity, vectext
 from marginalia.llm.queries import QUERIES
 
-PER_ROW = [n for n in QUERIES if not n.startswith("op1_")]
+PER_ROW = [n for n in QUERIES if n.split("_")[0] not in ("op1", "op12", "op13")]
 
 
 def table(spark, d):
