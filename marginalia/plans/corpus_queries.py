@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vf
 from ..operators import chunking, index, structure
+from ..operators.stored_index import StoredIndex
 from ..sources import files
 from .registry import load, query
 
@@ -99,13 +102,18 @@ def faq_jsonl_load(spark, d):
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        import tempfile
+    return f"{files.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-        path = "file://" + tempfile.mkdtemp(prefix="spark-marginalia-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def stored_index(spark: SparkSession, d: str, name: str, rows: Callable[[], DataFrame]) -> StoredIndex:
+    """The index `name` of rows() made of the documents under d: built at its first use, stored in the shared folder, and opened there from then on while the table's files stay the same."""
+    file = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    mark = docs(spark, d).select(file.alias("f")).distinct().agg(F.sum(F.xxhash64("f").cast("decimal(20,0)"))).first()[0]
+    key = hashlib.md5(f"{d} {name} {mark}".encode()).hexdigest()
+    store = StoredIndex(spark, f"{files.shared_dir(spark)}/index-{name}-{key}", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not store.lines:
+        store.add(rows())
+    return store
 
 
 @query("chunk_scan_defaults", """SELECT doc_id, coalesce(CASE WHEN lang <> 'en' THEN n_chars END, 0)::BIGINT AS doc_page, coalesce(CASE WHEN source <> 'src1' THEN doc_id END, 0)::BIGINT AS chunk_index FROM documents""")
@@ -402,7 +410,7 @@ def corpus_token_stats(spark, d):
     return docs(spark, d).agg(F.count("*").alias("n_docs"), F.sum(F.size(tx.latin_tokens(F.col("text")))).alias("n_tokens"))
 
 
-@query("bm25_index", f"""WITH w AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY term),
+@query("bm25_index", f"""WITH w AS (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM w GROUP BY term),
  raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM df, (SELECT count(*) AS n FROM documents)), m AS (SELECT 0.25 * avg(r) AS least FROM raw) SELECT term, df, round(CASE WHEN r < 0 THEN least ELSE r END, 6) AS idf FROM raw, m""")
 def bm25_index(spark, d):
     return index.idf_table(index.build_bm25(docs(spark, d), "doc_id")).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -410,14 +418,53 @@ def bm25_index(spark, d):
 
 @query("bm25_topk", f"WITH {chunks_sql()}, d AS (SELECT id, chunk_text AS text FROM chunks), q AS (SELECT item_id AS query_id, text FROM benchmark), {bm25_sql(5)} SELECT query_id, id, score, rank FROM bm")
 def bm25_topk(spark, d):
-    return index.bm25_topk(asked(spark, d), index.build_bm25(chunks(spark, d), text_col="chunk_text"), k=5)
+    return stored_index(spark, d, "chunks", lambda: chunks(spark, d).select("id", F.col("chunk_text").alias("text"))).topk(asked(spark, d), 5)
+
+
+def document_index(spark, d) -> StoredIndex:
+    return stored_index(spark, d, "documents", lambda: docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+
+
+def revised(spark, d, run: int) -> DataFrame:
+    """id, text of the documents as the run-th ingest finds them: English ones first, then all, German ones then changed and Spanish ones gone."""
+    rows = docs(spark, d).select(F.col("doc_id").alias("id"), "text", "lang")
+    if run == 0:
+        return rows.filter("lang in ('en', 'de', 'es')").select("id", "text")
+    return rows.filter("lang in ('fr', 'de')").select("id", F.when(F.col("lang") == "de", F.concat(F.lit("zweite Fassung "), "text")).otherwise(F.col("text")).alias("text"))
+
+
+REVISED_SQL = "d AS (SELECT doc_id AS id, CASE WHEN lang = 'de' THEN 'zweite Fassung ' || text ELSE text END AS text FROM documents WHERE lang IN ('en', 'fr', 'de')), q AS (SELECT item_id AS query_id, text FROM benchmark)"
+
+
+def segmented(spark, d) -> StoredIndex:
+    """An index of two ingests: two segments, the second with changed and deleted documents."""
+    store = StoredIndex(spark, shared(spark, "segments"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    store.add(revised(spark, d, 0))
+    store.add(revised(spark, d, 1), gone=docs(spark, d).filter("lang = 'es'").select(F.col("doc_id").alias("id")))
+    return store
+
+
+@query("bm25_segments_topk", f"WITH {REVISED_SQL}, {bm25_sql(10)} SELECT query_id, id, score, rank FROM bm")
+def bm25_segments_topk(spark, d):
+    """Search over segments equals search over an index of the final documents."""
+    return segmented(spark, d).topk(asked(spark, d), 10)
+
+
+@query("bm25_segments_compacted", f"WITH {REVISED_SQL}, w AS (SELECT id, unnest({TOKENS}) AS term FROM d), p AS (SELECT term, id, count(*) AS tf FROM w GROUP BY term, id) SELECT term, count(*) AS df, sum(tf)::BIGINT AS n, md5(min(id) || ' ' || max(id)) AS ids FROM p GROUP BY term")
+def bm25_segments_compacted(spark, d):
+    """Postings after compaction and the removal of old files are those of the final documents."""
+    store = segmented(spark, d)
+    store.compact()
+    store.vacuum()
+    counted = store.index().postings.groupBy("term").agg(F.count("*").alias("m"), F.sum("tf").alias("n"), F.md5(F.concat_ws(" ", F.min("id"), F.max("id"))).alias("ids"))
+    return store.index().terms.join(counted, "term", "full").select("term", F.when(F.col("m") == F.col("df"), F.col("df")).alias("df"), "n", "ids")
 
 
 DOC_HITS = f"d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS query_id, text FROM benchmark), {bm25_sql(10)}"
 
 
 def doc_hits(spark, d, k: int = 10) -> DataFrame:
-    return index.bm25_topk(asked(spark, d), index.build_bm25(docs(spark, d), "doc_id"), k=k)
+    return document_index(spark, d).topk(asked(spark, d), k)
 
 
 @query("fulltext_and", f"""WITH d AS (SELECT doc_id AS id, text FROM documents), q AS (SELECT item_id AS query_id, text FROM benchmark), {bm25_sql(1)}, n AS (SELECT query_id, count(*) AS n FROM qf GROUP BY query_id),
@@ -435,7 +482,7 @@ def highlight_hits(spark, d):
 @query("dedup_parent", f"WITH {DOC_HITS}, p AS (SELECT query_id, id, score, source FROM bm JOIN documents ON doc_id = id QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id) = 1) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p QUALIFY rank <= 5")
 def dedup_parent(spark, d):
     parents = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("parent_key"))
-    return index.bm25_topk(asked(spark, d), index.build_bm25(docs(spark, d), "doc_id"), parents, k=5).select("query_id", "id", "score", "rank")
+    return document_index(spark, d).topk(asked(spark, d), 5, parents=parents).select("query_id", "id", "score", "rank")
 
 
 @query("embed_hash")

@@ -2,60 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions import text as tx
-from ..operators import index, telemetry
+from ..operators import telemetry
+from ..operators.stored_index import StoredIndex
 from ..sources import files
 
 
-class Versions:
-    """Versioned tables of a job: a new version is written beside the old one and named last, so a failed or repeated batch changes nothing.
-
-    Versions are numbered on from the last one named, whatever checkpoint a batch comes from; a batch is known by
-    its checkpoint and number, and is not applied twice. One job at a time may write.
-    """
-
-    LOG = "version string, job string, batch long"
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def read(self, name: str, schema: str) -> DataFrame:
-        found = self.current()
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{found}/{name}") if found else self.spark.createDataFrame([], schema)
-
-    def current(self) -> str | None:
-        """Name of the last finished version: the greatest one with a mark."""
-        log = self.log()
-        return log and log.agg(F.max("version")).first()[0]
-
-    def log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self.LOG).json(f"{self.path}/log")
-        except Exception as e:  # no log yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-
-    def applied(self, job: str, batch: int) -> bool:
-        log = self.log()
-        return log is not None and log.filter((F.col("job") == job) & (F.col("batch") == batch)).limit(1).count() > 0
-
-    def write(self, job: str, batch: int, tables: dict[str, DataFrame]) -> None:
-        last = self.current()
-        version = f"{int(last.split('-')[0]) + 1 if last else 0:012d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self.spark.createDataFrame([(version, job, batch)], self.LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
-
-
 CORPUS = "doc_name string, ext string, chunk_index long, chunk_text string"
 SEEN = "doc_name string, ext string, hash string"
 POSTINGS = "term string, id string, tf long, dl long"
@@ -73,23 +33,62 @@ def ingest(docs: DataFrame, seen: DataFrame, corpus: DataFrame, splitter) -> tup
     return kept, known, changed
 
 
-def ingest_stream(stream: DataFrame, path: str, checkpoint: str, splitter) -> StreamingQuery:
-    """Streaming ingest of documents into corpus, seen and text index under path; only touched documents are tokenised. Runs what is there and ends."""
-    store = Versions(stream.sparkSession, path)
+class Versions(StoredIndex):
+    """Corpus, remembered hashes and text index of a job as segments under one log, so that a batch changes all or none.
+
+    A batch is known by its checkpoint and number, and is not applied twice; whatever checkpoint it comes from, its
+    segments come after all that are named. One job at a time may write.
+    """
+
+    MORE = {"chunks": (CORPUS, "doc_name"), "seen": (SEEN, "doc_name")}
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 8, **options) -> None:
+        super().__init__(spark, path, "string", buckets=buckets, more=self.MORE, **options)
+
+    def live_seen(self) -> DataFrame:
+        """doc_name, ext, hash, seq: the last hash of each document and its segment."""
+        return self.table("seen").groupBy("doc_name", "ext").agg(F.max_by("hash", "seq").alias("hash"), F.max("seq").alias("seq"))
+
+    def live(self, name: str) -> DataFrame:
+        if name == "seen":
+            return self.live_seen().drop("seq")
+        if name == "chunks":
+            return self.table("chunks").join(self.live_seen().drop("hash"), ["doc_name", "ext", "seq"]).drop("seq")
+        return super().live(name)
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The live rows of corpus, seen, postings, terms or stats."""
+        columns = StructType.fromDDL(schema).names
+        if not self.lines:
+            return self.spark.createDataFrame([], schema)
+        return (self.index().stats if name == "stats" else self.live("chunks" if name == "corpus" else name)).select(*columns)
+
+    def replace(self, docs: DataFrame, splitter, job: str = "", batch: int = 0, parse: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+        """Documents(doc_name, ext, text) that changed replace what is there, corpus and index in one segment; whether any did.
+
+        A document is known by the hash of its text as it came; parse, if any, cleans it before it is cut. One without
+        chunks is remembered too. Only hashes are read of what is stored, and the postings of segments that hold a changed document.
+        """
+        changed = files.changed_documents(docs.dropDuplicates(["doc_name", "ext"]), self.live_seen()).persist()
+        try:
+            if not changed.limit(1).count():
+                return False
+            key = F.concat_ws("", "doc_name", "ext").alias("id")
+            cut = splitter(parse(changed) if parse else changed).select("doc_name", "ext", "chunk_index", "chunk_text").persist()
+            self.add(cut.groupBy(key).agg(joined_chunks().alias("text")), changed.select(key), job, batch, {"chunks": cut, "seen": changed})
+            cut.unpersist()
+            return True
+        finally:
+            changed.unpersist()
+
+
+def ingest_stream(stream: DataFrame, path: str, checkpoint: str, splitter, parse: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Streaming ingest of documents into corpus, seen and text index under path: each batch writes a segment of the documents that changed. Runs what is there and ends."""
 
     def batch(docs: DataFrame, n: int) -> None:
-        if store.applied(checkpoint, n):
-            return
-        docs = docs.persist()
-        corpus, seen = store.read("corpus", CORPUS), store.read("seen", SEEN)
-        new_corpus, new_seen, changed = ingest(docs, seen, corpus, splitter)
-        key = F.concat_ws("", "doc_name", "ext").alias("id")
-        old_texts = corpus.join(changed.select("doc_name", "ext"), ["doc_name", "ext"], "left_semi").groupBy(key).agg(joined_chunks().alias("text"))
-        new_texts = splitter(changed).groupBy(key).agg(joined_chunks().alias("text"))
-        old = index.Bm25Index(store.read("postings", POSTINGS), store.read("terms", TERMS), store.read("stats", STATS))
-        new = index.update_bm25(old, old_texts, new_texts)
-        store.write(checkpoint, n, {"corpus": new_corpus, "seen": new_seen, "postings": new.postings, "terms": new.terms, "stats": new.stats.select(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))})
-        docs.unpersist()
+        store = Versions(docs.sparkSession, path)
+        if not store.applied(checkpoint, n):
+            store.replace(docs, splitter, checkpoint, n, parse)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
