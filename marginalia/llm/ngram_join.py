@@ -39,6 +39,8 @@ from .vectext import U64
 
 SLOTS = 1 << 20  # counters in each of the two rows of the sketch
 SMALL, LEAF, FAN = 64, 16, 8
+PART = 1 << 19  # bytes of text that a worker looks at at once
+WORDS = 1 << 19  # words of bitmaps that it compares at once
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _STEP = U64(0xD6E8FEB86659FD93)
@@ -80,7 +82,7 @@ def commonness(docs: DataFrame, width: int, floor: float) -> np.ndarray:
     """A number for each slot of the sketch: 0 for shares of up to `floor` occurrences a document, one more with each doubling."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for part in vectext.parts(batches, "text", 1 << 20):
+        for part in vectext.parts(batches, "text", PART):
             yield np.concatenate(_slots(shingles(part.column("text"), width)[0]))
 
     n = docs.count()
@@ -105,7 +107,7 @@ _SIGNED = "doc_id long, row long, t1 long, t2 long, k1 long, k2 long, n long, bi
 def _signed(sent, width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_, number, met = sent.value, TaskContext.get().partitionId() << 34, set()
-        for part in vectext.parts(batches, "text", 1 << 20):
+        for part in vectext.parts(batches, "text", PART):
             keys, sizes, bits, prefix = [], [], [], []
             for s in sets_of(part.column("text"), width):
                 n = len(s)
@@ -116,7 +118,7 @@ def _signed(sent, width: int, percent: int):
                     bits.append(None)
                     prefix.append(None)
                     continue
-                if len(met) < 1 << 16:
+                if len(met) < 1 << 14:
                     met.add(key)
                 a, b = _slots(s)
                 order = np.argsort(np.minimum(common_[a], common_[b]), kind="stable")[: n + 1 + (-percent * n) // 100]
@@ -178,11 +180,11 @@ class Members:
         size = end - begin
         own = np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         rest = np.repeat(end, size) - own - 1
-        done = np.cumsum(rest)
+        done, most = np.cumsum(rest), WORDS // self.words.shape[1]
         lo = 0
         while lo < len(own):
             base = done[lo] - rest[lo]
-            hi = max(lo + 1, int(np.searchsorted(done, base + (1 << 16), "right")))
+            hi = max(lo + 1, int(np.searchsorted(done, base + most, "right")))
             i = np.repeat(own[lo:hi], rest[lo:hi])
             j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - rest[lo:hi] - base, rest[lo:hi])
             yield self.possible(i, j)
@@ -191,7 +193,7 @@ class Members:
     def middle(self, count: int) -> np.ndarray:
         """The members nearest to the majority of all bits."""
         total = np.zeros(self.words.shape[1] * 64, np.int64)
-        step = max(1, (1 << 22) // len(total))
+        step = max(1, 8 * WORDS // len(total))
         for lo in range(0, len(self.n), step):
             total += np.unpackbits(np.ascontiguousarray(self.words[lo : lo + step]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         most = np.packbits(2 * total > len(self.n), bitorder="little").view(U64)
@@ -231,7 +233,7 @@ class Tree:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Possible pairs of members, by traversal of the tree against itself."""
-        top = len(self.levels) - 1
+        top, most = len(self.levels) - 1, min(1 << 12, WORDS // self.members.words.shape[1])
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, i, j = stack.pop()
@@ -247,8 +249,8 @@ class Tree:
             b = (j[:, None] * fan + np.tile(np.arange(fan), fan)).ravel()
             ok = (a < below) & (b < below) & ((a < b) | ((a == b) & (level > 1)))
             a, b = a[ok], b[ok]
-            for lo in range(0, len(a), 1 << 14):
-                stack.append((level - 1, a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]))
+            for lo in range(0, len(a), most):
+                stack.append((level - 1, a[lo : lo + most], b[lo : lo + most]))
 
 
 def _ordered(m: Members) -> Members:
@@ -306,9 +308,9 @@ def _candidates(percent: int, most: int, leaders: int):
             rows = np.flatnonzero(own | guest)
             words = np.empty((len(rows), w // 8), U64)
             is_guest = guest[rows]
-            words[~is_guest] = raw[(at[rows[~is_guest]][:, None] + np.arange(w))].view(U64)
+            words[~is_guest] = raw[np.repeat(own, width)].view(U64).reshape(-1, w // 8)
             if is_guest.any():
-                two = raw[(at[rows[is_guest]][:, None] + np.arange(2 * w))].view(U64)
+                two = raw[np.repeat(guest, width)].view(U64).reshape(-1, w // 4)
                 words[is_guest] = two[:, : w // 8] | two[:, w // 8 :]
             m = Members(bucket[rows], node[rows], root[rows], n[rows], words, is_guest, block[rows], percent)
             begin = vectext.runs(group[rows])
@@ -322,7 +324,7 @@ def _candidates(percent: int, most: int, leaders: int):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 1 << 13:
+            if sum(b.num_rows for b in held) < 1 << 12:
                 continue
             part = pa.Table.from_batches(held).combine_chunks()
             last = np.ones(part.num_rows, bool)
@@ -357,7 +359,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     """(a, b, overlap, total) of pairs(a, b) whose sets, made of texts(node, text), reach the similarity."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in vectext.parts(batches, "x", 1 << 20):
+        for part in vectext.parts(batches, "x", PART // 2):
             x, y = sets_of(part.column("x"), width), sets_of(part.column("y"), width)
             size = np.array([len(s) + len(t) for s, t in zip(x, y, strict=True)], np.int64)
             both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)], np.int64)
