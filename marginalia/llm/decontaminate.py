@@ -95,12 +95,19 @@ class Index:
         item = self.item[each]
         diagonal = np.repeat(where - at[row], times) - self.place[each]
         band = diagonal // (self.edits[item] + 1)
-        group = np.repeat(row, times) * len(self.ids) + item
+        group, known = np.repeat(row, times) * len(self.ids) + item, None
         low, high = int(band.min()) - 1, int(band.max())
-        span = int(self.size.max())
-        key = (group * (high - low + 1) + band - low) * span + self.place[each]
-        key.sort()
-        kind = key[vectext.runs(key)] // span  # an item's q-gram counts once, however often the text repeats it
+        span, most_key = int(self.size.max()), 1 << 62
+        if (int(group.max()) + 1) * (high - low + 1) * span >= most_key:  # numbers of the pairs that occur fit where those of all pairs don't
+            known, group = np.unique(group, return_inverse=True)
+        kind = group * (high - low + 1) + band - low
+        if (int(group.max()) + 1) * (high - low + 1) * span < most_key:
+            key = kind * span + self.place[each]
+            key.sort()
+            kind = key[vectext.runs(key)] // span  # an item's q-gram counts once, however often the text repeats it
+        else:
+            order = np.lexsort((self.place[each], kind))
+            kind = kind[order][vectext.runs_of_pairs(kind[order], self.place[each][order])]
         first = vectext.runs(kind)
         kind, n = kind[first], np.diff(np.append(first, len(kind)))  # half bands; a band is a half and the next one
         group, band = kind // (high - low + 1), kind % (high - low + 1) + low
@@ -111,6 +118,7 @@ class Index:
         first = vectext.runs(joined)
         count, kind = np.add.reduceat(total, first), joined[first]
         group, band = kind // (high - low + 1), kind % (high - low + 1) + low
+        group = group if known is None else known[group]
         item = group % len(self.ids)
         good = count >= self.least[item]
         return group[good] // len(self.ids), item[good], (band * (self.edits[item] + 1))[good]
