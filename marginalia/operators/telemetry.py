@@ -18,13 +18,18 @@ def latency_rollup(events: DataFrame, kind: str = "event_type", latency: str = "
     return events.groupBy(kind).agg(F.count("*").alias("n"), F.round(F.sum(latency), 4).alias("total"), F.round(F.avg(latency), 4).alias("mean"))
 
 
+def with_cost(events: DataFrame, prices: DataFrame) -> DataFrame:
+    """Adds cost to events(model, prompt_tokens, completion_tokens) by the price list, one row a model; unknown models have the price of 'default'. A stream or a batch; Spark picks the join by the list's size."""
+    fallback = prices.filter("model = 'default'").agg(F.first("p_in").alias("d_in"), F.first("p_out").alias("d_out"))  # one row
+    p, c = F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0))
+    priced = events.join(prices.select("model", "p_in", "p_out"), "model", "left").crossJoin(F.broadcast(fallback))
+    return priced.withColumn("cost", (p * F.coalesce("p_in", "d_in") + c * F.coalesce("p_out", "d_out")) / 1000).drop("p_in", "p_out", "d_in", "d_out")
+
+
 def token_cost_rollup(events: DataFrame, prices: DataFrame, sessions: str = "session_id") -> DataFrame:
     """Totals by model of events(model, prompt_tokens, completion_tokens, session): tokens, cost by the price list ('default' for unknown models), mean tokens a session."""
-    fallback = F.broadcast(prices.filter("model = 'default'").select(F.col("p_in").alias("d_in"), F.col("p_out").alias("d_out")))
     p, c = F.coalesce("prompt_tokens", F.lit(0)), F.coalesce("completion_tokens", F.lit(0))
-    priced = events.join(F.broadcast(prices), "model", "left").crossJoin(fallback)
-    cost = (p * F.coalesce("p_in", "d_in") + c * F.coalesce("p_out", "d_out")) / 1000
-    out = priced.groupBy("model").agg(F.sum(p).alias("prompt_tokens"), F.sum(c).alias("completion_tokens"), F.round(F.sum(cost), 4).alias("cost"), F.countDistinct(sessions).alias("n_sessions"))
+    out = with_cost(events, prices).groupBy("model").agg(F.sum(p).alias("prompt_tokens"), F.sum(c).alias("completion_tokens"), F.round(F.sum("cost"), 4).alias("cost"), F.countDistinct(sessions).alias("n_sessions"))
     return out.withColumn("tokens_per_session", F.floor((F.col("prompt_tokens") + F.col("completion_tokens")) / F.greatest("n_sessions", F.lit(1))).cast("long"))
 
 

@@ -437,9 +437,14 @@ def latency_rollup(spark, d):
 
 
 def usage(spark, d) -> DataFrame:
+    return usage_of(load(spark, d, "events")).select("model", "prompt_tokens", "completion_tokens", F.col("user_id").alias("session_id"))
+
+
+def usage_of(events: DataFrame) -> DataFrame:
+    """Adds model, prompt_tokens, completion_tokens to a batch or stream of events."""
     k = F.get_json_object("props", "$.k").cast("long")
     model = F.when(F.col("event_type") == "click", "gpt-4").when(F.col("event_type") == "view", "deepseek-chat").otherwise(F.col("event_type"))
-    return load(spark, d, "events").select(model.alias("model"), k.alias("prompt_tokens"), F.when(F.col("event_type") != "error", k * 2).alias("completion_tokens"), F.col("user_id").alias("session_id"))
+    return events.withColumns({"model": model, "prompt_tokens": k, "completion_tokens": F.when(F.col("event_type") != "error", k * 2)})
 
 
 @query("token_cost_rollup", """SELECT model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, round(sum((p * i + c * o) / 1000), 4) AS cost, count(DISTINCT user_id) AS n_sessions, floor((sum(p) + sum(c)) / greatest(count(DISTINCT user_id), 1))::BIGINT AS tokens_per_session FROM (

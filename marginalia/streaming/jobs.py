@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 from pyspark.sql.types import StructType
 
 from ..functions import text as tx
-from ..operators import telemetry
+from ..operators import history, telemetry
 from ..operators.stored_index import StoredIndex
 from ..sources import files
 
@@ -97,23 +100,107 @@ def joined_chunks():
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_text"))), lambda x: x.chunk_text), "\n")
 
 
-def tail_sessions(stream: DataFrame, n: int = 10) -> DataFrame:
-    """The last n messages of each session so far, by (created_at, id), from stream(id, session_id, role, content, created_at long).
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MESSAGE = "created_at long, id long, role string, content string"
+_FIELDS = ("created_at", "id", "role", "content")
+
+
+class SessionTail(StatefulProcessor):
+    """State of one session: its last n messages as a list, and the timer that ends an idle session."""
+
+    def __init__(self, n: int, idle_ms: int | None) -> None:
+        self.n, self.idle = n, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.tail = handle.getListState("tail", MESSAGE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        order = lambda m: (m[0], m[1], m[2] or "", m[3] or "")
+        last, latest = list(self.tail.get()), 0
+        for pdf in rows:  # as many pieces as Spark likes; only n messages stay of each
+            last = sorted(set(map(tuple, last)) | set(zip(*(pdf[f].tolist() for f in _FIELDS), strict=True)), key=order)[-self.n :]
+            if self.idle is not None:
+                latest = max(latest, int(pdf["at"].max().timestamp() * 1000))
+        self.tail.put(last)
+        if self.idle is not None:
+            timers = list(self.handle.listTimers())
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max([*timers, latest + self.idle]))
+        yield pd.DataFrame([(key[0], i + 1, *m, False) for i, m in enumerate(last)], columns=["session_id", "pos", *_FIELDS, "expired"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = list(self.tail.get())
+        self.tail.clear()
+        yield pd.DataFrame([(key[0], i + 1, *m, True) for i, m in enumerate(last)], columns=["session_id", "pos", *_FIELDS, "expired"])
 
-    State is the n latest messages a session; a late message never pushes out a newer one.
+    def close(self) -> None:
+        pass
+
+
+def session_tails(stream: DataFrame, n: int = 10, idle_ms: int | None = None, late: str = "1 hour") -> DataFrame:
+    """The last n messages of each session so far, by (created_at, id), from stream(id, session_id, role, content, created_at long): session_id, pos, the message, expired.
+
+    Update mode: each batch gives the whole tail of the sessions it touches. State lives in RocksDB, n messages a session. A late
+    message never pushes out a newer one; a message sent twice counts once; a null time or id counts as 0.
+    With idle_ms the stream has a timestamp `at`, too: once the watermark, `late` behind the latest message of all, is so far beyond a
+    session's last message, the session gives its tail once more, marked expired, and leaves the state; it starts anew if it goes
+    on. Messages behind the watermark are left out then, as their session may be gone.
     """
-    fields = ("created_at", "id", "role", "content")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = f"session_id {dict(stream.dtypes)['session_id']}, pos long, {MESSAGE}, expired boolean"
+    stream = stream.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("created_at", "id")})
+    rows = stream.select("session_id", *_FIELDS) if idle_ms is None else stream.filter("at is not null").select("session_id", *_FIELDS, "at").withWatermark("at", late)
+    return rows.groupBy("session_id").transformWithStateInPandas(SessionTail(n, idle_ms), schema, "update", "None" if idle_ms is None else "EventTime")
+
+
+def tail_sessions(stream: DataFrame, n: int = 10) -> DataFrame:
+    """session_tails of sessions that never end."""
+    return session_tails(stream, n).drop("expired")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get, strict=True)) if state.exists else []
-        for pdf in batches:
-            held = sorted(set(held) | set(zip(*(pdf[f].tolist() for f in fields), strict=True)))[-n:]
-        state.update(tuple(list(c) for c in zip(*held, strict=True)))
-        yield pd.DataFrame([(key[0], i + 1, *row) for i, row in enumerate(held)], columns=["session_id", "pos", *fields])
 
-    kinds = "created_at long, id long, role string, content string"
-    kept = "created_at array<long>, id array<long>, role array<string>, content array<string>"
-    return stream.groupBy("session_id").applyInPandasWithState(update, f"session_id long, pos long, {kinds}", kept, "update", "NoTimeout")
+TOTALS = "since timestamp, n long, total double, prompt_tokens long, completion_tokens long, cost double"
+_NUMBERS = ("latency", "prompt_tokens", "completion_tokens", "cost")
+
+
+class Counters(StatefulProcessor):
+    """State of one kind: sums of what came after its last reset."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", TOTALS)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.sums.get() if self.sums.exists() else (None, 0, 0.0, 0, 0, 0.0)
+        since, sums, parts = held[0], np.array(held[1:], object), []
+        reset = None if since is None else pd.Timestamp(since)
+        for pdf in rows:
+            again = pdf.loc[pdf["reset"], "ts"].max()
+            if pd.notna(again) and (reset is None or again > reset):
+                reset, sums = again, np.array((0, 0.0, 0, 0, 0.0), object)
+            parts.append(pdf.loc[~pdf["reset"], ["ts", *_NUMBERS]])
+        for p in parts:  # numbers of one batch of one kind
+            own = p if reset is None else p[p["ts"] > reset]
+            sums = sums + np.array((len(own), float(own["latency"].sum()), int(own["prompt_tokens"].sum()), int(own["completion_tokens"].sum()), float(own["cost"].sum())), object)
+        n, total, prompt, completion, cost = sums
+        self.sums.update((None if reset is None else reset.to_pydatetime(), int(n), float(total), int(prompt), int(completion), float(cost)))
+        yield pd.DataFrame({"kind": [key[0]], "since": [reset], "n": [n], "total": [total], "prompt_tokens": [prompt], "completion_tokens": [completion], "cost": [cost]}).astype({"since": "datetime64[ns]", "n": "int64", "total": "float64", "prompt_tokens": "int64", "completion_tokens": "int64", "cost": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
+def usage_counters(stream: DataFrame, prices: DataFrame) -> DataFrame:
+    """Running calls, latency, tokens and cost by kind of stream(kind, ts, latency, model, prompt_tokens, completion_tokens, reset): kind, since, n, total, prompt_tokens, completion_tokens, cost.
+
+    Prices(model, p_in, p_out) are a static table joined to the stream; unknown models have the price of 'default'. A row with reset
+    sets its kind to zero: rows of that kind up to its time no longer count, also where they come later. A reset that comes after
+    rows with a later time takes these with it, as a counter keeps sums only. Null numbers count as 0.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    priced = telemetry.with_cost(stream.withColumn("reset", F.coalesce("reset", F.lit(False))), prices)
+    rows = priced.select("kind", F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("latency").cast("double"), F.lit(0.0)).alias("latency"), *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("prompt_tokens", "completion_tokens")], F.coalesce("cost", F.lit(0.0)).alias("cost"), "reset")
+    return rows.groupBy("kind").transformWithStateInPandas(Counters(), f"kind string, {TOTALS}", "update", "None")
 
 
 def running_counters(stream: DataFrame) -> DataFrame:
@@ -121,20 +208,31 @@ def running_counters(stream: DataFrame) -> DataFrame:
     return telemetry.latency_rollup(stream)
 
 
-def last_state(rows: DataFrame, order: str = "batch") -> DataFrame:
-    """Of the sink's updates, those of each session's last batch."""
-    last = rows.groupBy("session_id").agg(F.max(order).alias(order))
-    return rows.join(last, ["session_id", order]).drop(order)
+def last_state(rows: DataFrame, order: str = "batch", key: str = "session_id") -> DataFrame:
+    """Of the sink's updates, those of each key's last batch."""
+    last = rows.groupBy(key).agg(F.max(order).alias(order))
+    return rows.join(last, [key, order]).drop(order)
 
 
 def with_batch(query_rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write updates with the number of their batch to path; runs what is there and ends."""
+    """Write updates to path, a folder for each batch: a batch that is run again replaces its folder, so each counts once. Runs what is there and ends."""
 
     def batch(df: DataFrame, n: int) -> None:
-        df.withColumn("batch", F.lit(n)).write.mode("append").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     return query_rows.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def telemetry_stream(events: DataFrame, path: str, checkpoint: str, ts: str = "timestamp") -> StreamingQuery:
+    """Append a stream of events as JSON lines in one folder a day. The file sink's log of batches makes each row count once, however often the query is stopped and restarted. Runs what is there and ends."""
+    daily = events.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyyMMdd"))
+    return daily.writeStream.format("json").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def history_stream(turns: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of turns(session_id, turn, question, answer) to a history as two rows each; every row once. Runs what is there and ends."""
+    return history.append_turns(turns).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
 def clean_for_corpus(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", tx.clean_text(F.col("text"), F.col("ext") == ".md"))
