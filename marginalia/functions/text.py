@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line ends that close a sentence, longest first.
@@ -30,6 +30,7 @@ QUERY_CLASSES = (
     ("relation", ("和", "与", "关系", "合作", "矛盾"), "hybrid", 0.8),
     ("explore", ("介绍一下", "说说", "讲讲", "什么是"), "doc", 0.6),
 )
+# Words that make an answer unsafe.
 BLOCKED_WORDS = ("反动", "推翻", "暴乱")
 
 
@@ -111,6 +112,30 @@ def clean_text(c: Column, is_markdown: Column | bool = False, rules: Iterable[tu
     return normalize_newlines(apply_corrections(denoise(F.when(md, c).otherwise(join_broken_lines(c, ends))), rules), md)
 
 
+def cleaned_with_hits(df: DataFrame, text_col: str = "text", is_markdown: Column | bool = False, rules: Iterable[tuple[str, str]] = (), ends: Sequence[str] = SENTENCE_ENDS) -> DataFrame:
+    """df with clean, as clean_text gives it, and hits: an array of (rule, hits), how often each noise rule and correction found something, in the order of the rules.
+
+    Every rule counts and replaces on what the rules before it have left, in one pass over the row.
+    """
+    md = F.lit(is_markdown) if isinstance(is_markdown, bool) else is_markdown
+    out, counts = df.withColumn("clean", F.when(md, F.col(text_col)).otherwise(join_broken_lines(F.col(text_col), ends))), []
+    for k, p in enumerate(NOISE):
+        out = out.withColumns({f"_n{k}": F.regexp_count("clean", F.lit(p)).cast("long"), "clean": F.regexp_replace("clean", p, "")})
+        counts.append((f"noise_{k:02d}", f"_n{k}"))
+    for k, (old, new) in enumerate((o, n) for o, n in rules if o):
+        found = (F.length("clean") - F.length(F.replace("clean", F.lit(old), F.lit("")))) / len(old)
+        out = out.withColumns({f"_c{k}": found.cast("long"), "clean": F.replace("clean", F.lit(old), F.lit(new))})
+        counts.append((f"correction_{k:02d}", f"_c{k}"))
+    hits = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(F.col(c), F.lit(0)).alias("hits")) for name, c in counts])
+    return out.withColumns({"clean": normalize_newlines(F.col("clean"), md), "hits": hits}).drop(*[c for _, c in counts])
+
+
+def rule_hits(cleaned: DataFrame) -> DataFrame:
+    """rule, hits, n_docs of cleaned_with_hits: how often each rule found something, and in how many rows. An aggregate with map-side combine."""
+    each = cleaned.select(F.explode("hits").alias("h")).select("h.rule", "h.hits")
+    return each.groupBy("rule").agg(F.sum("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("n_docs"))
+
+
 def markdown_tidy(c: Column) -> Column:
     c = F.regexp_replace(c, r"\n{4,}", "\n\n\n")
     c = F.regexp_replace(c, r"(?m)[ \t\r]+$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,21 +12,41 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+def _joined_units(units: Column, first: Column, count: int) -> Column:
+    """Units first .. first + count - 1 as one text; each is fetched by its place."""
+    if count > 64:
+        return F.array_join(F.slice(units, first + 1, count), "")
+    return F.concat(*[F.coalesce(F.get(units, first + j), F.lit("")) for j in range(count)])
+
+
 def split_chars(df: DataFrame, size: int = 150, overlap: int = 30, text_col: str = "text") -> DataFrame:
-    """Windows of `size` characters that step by size - overlap; the last ends at the text's end. Adds chunk_index, chunk_text."""
+    """Windows of `size` characters that step by size - overlap; the last ends at the text's end. Adds chunk_index, chunk_text.
+
+    One pass cuts the text into steps, and a window is a few steps put together: the time grows with the text's length, and a chunk
+    row holds the text only where it is asked for.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text_col) - size) / float(step))).cast("int")
-    at = df.filter(F.length(text_col) > 0).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    return at.withColumn("chunk_text", F.substring(F.col(text_col), F.col("chunk_index") * step + 1, F.lit(size))).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    rows = df.drop("chunk_index", "chunk_text")
+    cut = rows.filter(F.length(text_col) > 0).withColumn("_units", F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(_joined_units(F.col("_units"), i, -(-size // step)), 1, size))
+    return cut.select(*[F.col(f"`{c}`") for c in rows.columns], F.posexplode(windows).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def split_tokens(df: DataFrame, size: int = 512, overlap: int = 128, text_col: str = "text", tokenizer=tx.tokenize, joiner: str = " ") -> DataFrame:
-    """Windows of `size` tokens; tokenizer maps a Column to an array of tokens."""
+    """Windows of `size` tokens; tokenizer maps a Column to an array of tokens without the control character U+0001.
+
+    The tokens are joined once and cut into units that size and step are multiples of, so that a window is a few units put together.
+    """
     step = size - overlap
-    tokens = df.withColumn("_tokens", tokenizer(F.col(text_col))).filter(F.size("_tokens") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("_tokens") - size) / float(step))).cast("int")
-    at = tokens.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), last)))
-    return at.withColumn("chunk_text", F.array_join(F.slice("_tokens", F.col("chunk_index") * step + 1, F.lit(size)), joiner)).withColumn("chunk_index", F.col("chunk_index").cast("long")).drop("_tokens")
+    unit, mark, rows = math.gcd(size, step), "\x01", df.drop("chunk_index", "chunk_text")
+    tokens = rows.withColumn("_tokens", tokenizer(F.col(text_col))).filter(F.size("_tokens") > 0)
+    tokens = tokens.withColumn("_last", F.greatest(F.lit(0), F.ceil((F.size("_tokens") - size) / float(step))).cast("int"))
+    units = F.regexp_extract_all(F.concat(F.array_join("_tokens", mark), F.lit(mark)), F.lit(f"(?:[^{mark}]*{mark}){{1,{unit}}}"), F.lit(0))
+    tokens = tokens.withColumn("_units", units)
+    whole = lambda i: _joined_units(F.col("_units"), i * (step // unit), size // unit)
+    windows = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.replace(F.rtrim(whole(i), F.lit(mark)), F.lit(mark), F.lit(joiner)))
+    return tokens.select(*[F.col(f"`{c}`") for c in rows.columns], F.posexplode(windows).alias("chunk_index", "chunk_text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 def _pieces(text: str, separators: Sequence[str], size: int) -> Iterator[str]:
@@ -100,11 +121,11 @@ def split_lines(df: DataFrame, size: int = 1000, text_col: str = "text") -> Data
 
 
 def split_parents(df: DataFrame, id_col: str, levels: int = 2, min_len: int = 200, text_col: str = "text", opening: str = "开篇") -> DataFrame:
-    """Sections by Markdown headings of at most `levels`: id, section, heading, heading_level, content.
+    """Sections by Markdown headings of at most `levels`, indented or not: id, section, heading, heading_level, content.
 
     Text before the first heading is section 0 with level 0; sections shorter than min_len go unless of level 1.
     """
-    mark = rf"^(#{{1,{levels}}})[ \t]+(.*)$"
+    mark = rf"^[ \t]*(#{{1,{levels}}})[ \t]+(.*)$"
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     w = Window.partitionBy(id_col).orderBy("pos")
     heads = lines.withColumn("level", F.length(F.regexp_extract("line", mark, 1))).withColumn("section", F.sum((F.col("level") > 0).cast("int")).over(w).cast("long"))
@@ -135,13 +156,15 @@ def context_header(doc: Column, path: Column) -> Column:
 
 
 def split_pdr(df: DataFrame, id_col: str, doc_col: str, size: int = 512, overlap: int = 128, min_len: int = 200, tokenizer=tx.tokenize) -> DataFrame:
-    """Children with their parents: sections with '# path' on top; a parent shorter than twice size is its own child."""
+    """Children with their parents: sections with '# path' on top; a parent shorter than twice size is its own child. chunk_index is the place in the whole document."""
     parents = heading_paths(split_parents(df, id_col, min_len=min_len), id_col).join(df.select(id_col, F.col(doc_col).alias("doc_name")), id_col)
     parents = parents.withColumn("parent_text", F.concat(F.lit("# "), F.col("path"), F.lit("\n\n"), F.col("content"))).withColumn("parent_id", F.sha2(F.concat_ws("\u0001", "doc_name", "parent_text"), 256))
     small = F.length("parent_text") < 2 * size
     alone = parents.filter(small).withColumn("chunk_index", F.lit(0).cast("long")).withColumn("chunk_text", F.col("parent_text"))
     cut = split_tokens(parents.filter(~small), size, overlap, "parent_text", tokenizer)
-    return alone.unionByName(cut).withColumn("contextual_header", context_header(F.col("doc_name"), F.col("path")))
+    place = Window.partitionBy(id_col).orderBy("section", "chunk_index")
+    numbered = alone.unionByName(cut).withColumn("chunk_index", (F.row_number().over(place) - 1).cast("long"))
+    return numbered.withColumn("contextual_header", context_header(F.col("doc_name"), F.col("path")))
 
 
 def enrich_chunks(df: DataFrame) -> DataFrame:
@@ -155,3 +178,10 @@ def dedup_chunks(df: DataFrame, doc_col: str = "doc_name", text_col: str = "enri
     """First chunk of each text within a document; ordinals keep their gaps."""
     w = Window.partitionBy(doc_col, F.md5(text_col)).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def ingest_report(cut: DataFrame, doc_col: str = "doc_name", id_col: str = "doc_id", text_col: str = "chunk_text") -> DataFrame:
+    """doc_name, n_docs, n_chunks, n_after: documents, chunks and distinct chunks within a document of each name, of one pass over the chunks."""
+    each = cut.groupBy(doc_col, id_col, F.md5(text_col).alias("h")).agg(F.count("*").alias("n"))
+    per = each.groupBy(doc_col, id_col).agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_after"))
+    return per.groupBy(F.col(doc_col).alias("doc_name")).agg(F.count("*").alias("n_docs"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_after").alias("n_after"))

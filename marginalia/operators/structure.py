@@ -102,9 +102,13 @@ def assemble_ordered(spine: DataFrame, manifest: DataFrame, parts: DataFrame, id
     return found.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "md"))), lambda x: x.md), "\n\n").alias("text"))
 
 
-def document_quality(df: DataFrame, text_col: str = "text", images: str | None = None, script: str = "[一-龥]", min_chars: int = 3000, min_share: float = 0.15, scan_images: int = 50, scan_chars: int = 5000) -> DataFrame:
-    """Adds total_chars, script_chars, headings, share, valid, reason; the first rule that fails gives the reason."""
+def document_quality(df: DataFrame, text_col: str = "text", images: str | None = None, script: str = "[一-龥]", min_chars: int = 3000, min_share: float = 0.15, scan_images: int = 50, scan_chars: int = 5000, files: str | None = None) -> DataFrame:
+    """Adds total_chars, script_chars, headings, share, valid, reason; the first rule that fails gives the reason. With files, an array column of file names, n_html and n_images, too."""
     n = F.length(text_col).cast("long")
+    if files:
+        named = lambda p: F.coalesce(F.size(F.filter(files, lambda f: F.lower(f).rlike(p))), F.lit(0)).cast("long")
+        df = df.withColumns({"n_html": named(r"\.x?html?$"), "n_images": named(r"\.(jpe?g|png|gif|svg|webp)$")})
+        images = images or "n_images"
     pictures = F.col(images) if images else F.lit(0)
     out = df.withColumns({"total_chars": n, "script_chars": F.regexp_count(text_col, F.lit(script)).cast("long"), "headings": F.regexp_count(text_col, F.lit(r"(?m)^#{1,4}\s")).cast("long")})
     out = out.withColumn("share", F.when(F.col("total_chars") > 0, F.col("script_chars") / F.col("total_chars")).otherwise(0.0))

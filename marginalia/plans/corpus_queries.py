@@ -8,7 +8,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import schemas
 from ..functions import text as tx
 from ..functions import vectors as vf
 from ..operators import chunking, index, structure
@@ -87,7 +89,7 @@ def doc_name_from_path(spark, d):
     return load(spark, d, "pages").select("page_id", tx.doc_name(path).alias("doc_name"), tx.doc_ext(path).alias("ext"))
 
 
-@query("faq_jsonl_load")
+@query("faq_jsonl_load", "SELECT text AS question, text AS answer, CASE item_id % 4 WHEN 0 THEN 'unknown' ELSE 'bench' END AS source_doc, true AS good FROM benchmark WHERE item_id % 4 IN (0, 1) UNION ALL SELECT replace('{broken ' || text, chr(10), ' '), NULL, NULL, false FROM benchmark WHERE item_id % 4 = 3")
 def faq_jsonl_load(spark, d):
     """Benchmark items written as JSON lines in both shapes, with blank and broken lines among them, read back."""
     items = load(spark, d, "benchmark")
@@ -118,8 +120,13 @@ def stored_index(spark: SparkSession, d: str, name: str, rows: Callable[[], Data
 
 @query("chunk_scan_defaults", """SELECT doc_id, coalesce(CASE WHEN lang <> 'en' THEN n_chars END, 0)::BIGINT AS doc_page, coalesce(CASE WHEN source <> 'src1' THEN doc_id END, 0)::BIGINT AS chunk_index FROM documents""")
 def chunk_scan_defaults(spark, d):
-    rows = docs(spark, d).select("doc_id", F.when(F.col("lang") != "en", F.col("n_chars")).alias("doc_page"), F.when(F.col("source") != "src1", F.col("doc_id")).alias("chunk_index"))
-    return rows.select("doc_id", F.coalesce("doc_page", F.lit(0)).cast("long").alias("doc_page"), F.coalesce("chunk_index", F.lit(0)).cast("long").alias("chunk_index"))
+    """A stored chunk table without some pages and indexes, read with defaults."""
+    path = shared(spark, "chunks")
+    page, at = F.when(F.col("lang") != "en", F.col("n_chars")).cast("int"), F.when(F.col("source") != "src1", F.col("doc_id")).cast("int")
+    empty = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schemas.CHUNKS)}
+    known = {"id": F.col("doc_id").alias("id"), "chunk_text": F.coalesce("text", F.lit("")).alias("chunk_text"), "doc_name": F.coalesce("source", F.lit("")).alias("doc_name"), "doc_page": page.alias("doc_page"), "chunk_index": at.alias("chunk_index")}
+    files.append_corpus(docs(spark, d).select(*(empty | known).values()), path)
+    return files.read_chunks(spark, path).select(F.col("id").alias("doc_id"), F.col("doc_page").cast("long").alias("doc_page"), F.col("chunk_index").cast("long").alias("chunk_index"))
 
 
 @query("corpus_full_refresh", "SELECT source AS doc_name, doc_id, md5(text) AS hash FROM documents")
@@ -167,10 +174,65 @@ def ingest_skip_unchanged(spark, d):
 @query("ingest_report", f"""WITH {chunks_sql()} SELECT source AS doc_name, count(DISTINCT d.doc_id) AS n_docs, sum(n_all)::BIGINT AS n_chunks, sum(n_kept)::BIGINT AS n_after FROM documents d
  LEFT JOIN (SELECT doc_id, count(*) AS n_all FROM cut GROUP BY doc_id) a USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_kept FROM chunks GROUP BY doc_id) k USING (doc_id) GROUP BY source""")
 def ingest_report(spark, d):
-    cut = chunking.split_chars(docs(spark, d).select("doc_id", "source", "text"), 800, 100)
-    per = cut.groupBy("source", "doc_id", F.md5("chunk_text").alias("h")).agg(F.count("*").alias("n"))
-    per = per.groupBy("source", "doc_id").agg(F.sum("n").alias("n_chunks"), F.count("*").alias("n_after"))
-    return per.groupBy(F.col("source").alias("doc_name")).agg(F.count("*").alias("n_docs"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_after").alias("n_after"))
+    return chunking.ingest_report(chunking.split_chars(docs(spark, d).select("doc_id", "source", "text"), 800, 100), "source")
+
+
+@query("corpus_scan_files", "SELECT item_id, '.txt' AS ext, md5(text || chr(10)) AS digest FROM benchmark")
+def corpus_scan_files(spark, d):
+    """A folder with a text file for each benchmark item, written and scanned; files of other kinds are passed over."""
+    path, items = shared(spark, "folder"), load(spark, d, "benchmark")
+    items.select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(f"{path}/books")
+    items.write.json(f"{path}/notes")
+    found = files.scan_corpus(spark, path)
+    return found.select(F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id"), "ext", F.md5("text").alias("digest"))
+
+
+@query("corpus_append", "SELECT source AS doc_name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT source, doc_id FROM documents UNION ALL SELECT source, doc_id FROM documents WHERE lang = 'fr') GROUP BY source")
+def corpus_append(spark, d):
+    """Two batches appended to one corpus folder."""
+    path, rows = shared(spark, "append"), docs(spark, d).select(F.col("source").alias("doc_name"), "doc_id")
+    files.append_corpus(rows, path)
+    files.append_corpus(docs(spark, d).filter("lang = 'fr'").select(F.col("source").alias("doc_name"), "doc_id"), path)
+    return spark.read.schema(rows.schema).parquet(path).groupBy("doc_name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query("corpus_replace_buckets", "SELECT 'd' || doc_id % 500 AS doc_name, count(*) AS n, min(CASE WHEN doc_id % 500 < 40 THEN 'new' ELSE 'old' END) AS version, md5(min(text)) AS least FROM documents WHERE doc_id % 500 >= 40 OR lang = 'en' GROUP BY 1")
+def corpus_replace_buckets(spark, d):
+    """A corpus in buckets on disk; a change replaces 40 documents' rows by English ones and rewrites the touched buckets only."""
+    path = shared(spark, "buckets")
+    rows = docs(spark, d).select(F.concat(F.lit("d"), (F.col("doc_id") % 500).cast("string")).alias("doc_name"), "doc_id", "lang", "text")
+    files.overwrite_corpus(rows.withColumn("version", F.lit("old")), path, 16)
+    empty = rows.filter("doc_id % 500 < 40").select("doc_name").distinct()  # documents whose rows all go still take part by name
+    files.replace_buckets(spark, rows.filter("doc_id % 500 < 40 and lang = 'en'").withColumn("version", F.lit("new")), path, 16, names=empty)
+    return files.read_buckets(spark, path).groupBy("doc_name").agg(F.count("*").alias("n"), F.min("version").alias("version"), F.md5(F.min("text")).alias("least"))
+
+
+@query("clean_corrections_file", "SELECT doc_id, replace(replace(replace(text, 'the ', 'THE '), 'que', 'QUE'), 'QUE ', 'que-') AS clean FROM documents")
+def clean_corrections_file(spark, d):
+    """Corrections from a JSON file over several lines, applied in its order."""
+    path = shared(spark, "rules")
+    lines = ['{', '  "replacements": [', *[f'    {{"old": "{o}", "new": "{n}", "note": ""}}{"," if k < len(RULES) - 1 else ""}' for k, (o, n) in enumerate(RULES)], '  ]', '}']
+    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
+    rules = files.load_corrections(spark, path).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "old", "new"))), lambda r: F.struct(r.old, r.new)).alias("rules"))  # one row
+    return docs(spark, d).crossJoin(F.broadcast(rules)).select("doc_id", tx.apply_rules(F.col("text"), F.col("rules")).alias("clean"))
+
+
+@query("backfill_embedded", "SELECT doc_id, length(text)::DOUBLE AS size, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents WHERE lang <> 'en' OR NOT contains(text, 'token')")
+def backfill_embedded(spark, d):
+    """English texts lack vectors; a model loaded once a task makes them in batches and fails on some texts, whose rows go, while the others of such a batch are made one by one."""
+    size = F.array(F.length("text").cast("float"), F.length(F.regexp_replace("text", "[^ ]", "")).cast("float"))
+    rows = docs(spark, d).select("doc_id", "lang", "text", F.when(F.col("lang") != "en", size).alias("chunk_vector"))
+    full = files.backfill_batched(rows, "text", _counting_model)
+    return full.select("doc_id", F.col("chunk_vector")[0].cast("double").alias("size"), F.col("chunk_vector")[1].cast("double").alias("blanks"))
+
+
+def _counting_model():
+    def model(texts):
+        if any("token" in t for t in texts):
+            raise ValueError("a text that the model can't take")
+        return [[len(t), t.count(" ")] for t in texts]
+
+    return model
 
 
 # --- predicates and projections -----------------------------------------------------------------
@@ -298,6 +360,26 @@ def clean_pipeline(spark, d):
     return docs(spark, d).select("doc_id", F.md5(tx.clean_text(noisy_(), False, RULES[:1], ENDS)).alias("digest"))
 
 
+def _hit_sql() -> str:
+    step, parts, names = "j", [], []
+    for k, p in enumerate(NOISE_SQL):
+        parts.append(f"h{k} AS (SELECT *, len(regexp_extract_all(t{k}, '{p}'))::BIGINT AS n{k}, regexp_replace(t{k}, '{p}', '', 'g') AS t{k + 1} FROM {step})")
+        names.append((f"noise_{k:02d}", f"n{k}"))
+        step = f"h{k}"
+    last = f"t{len(NOISE_SQL)}"
+    rows = " UNION ALL ".join([*[f"SELECT '{n}' AS rule, sum({c})::BIGINT AS hits, count(*) FILTER ({c} > 0) AS n_docs FROM {step}" for n, c in names], f"SELECT 'correction_00', sum((length({last}) - length(replace({last}, 'the ', ''))) // 4)::BIGINT, count(*) FILTER (contains({last}, 'the ')) FROM {step}"])
+    return ", ".join(parts) + " " + rows
+
+
+@query("clean_rule_hits", f"""WITH l AS (SELECT doc_id, i, {trim_sql('line')} AS line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT doc_id, {NOISY_SQL} AS t FROM documents))),
+ k AS (SELECT *, regexp_matches(line, '[.!?]$')::INT AS e FROM l WHERE line <> ''), g AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS para FROM k),
+ p AS (SELECT doc_id, para, string_agg(line, '' ORDER BY i) AS t FROM g GROUP BY doc_id, para), j AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY para) AS t0 FROM p GROUP BY doc_id), {_hit_sql()}""")
+def clean_rule_hits(spark, d):
+    """How often every cleaning rule finds something, counted while it cleans."""
+    noisy = docs(spark, d).select("doc_id", noisy_().alias("text"))
+    return tx.rule_hits(tx.cleaned_with_hits(noisy, rules=RULES[:1], ends=ENDS))
+
+
 # --- structure and quality -----------------------------------------------------------------------
 
 
@@ -354,7 +436,12 @@ def heading_path(spark, d):
     return chunking.heading_paths(chunking.split_parents(books(spark, d), "doc_id"), "doc_id").select("doc_id", "section", "path")
 
 
-@query("split_pdr")
+@query("split_pdr", f"""WITH {PARENTS_SQL}, hp AS (SELECT doc_id, section, content, CASE WHEN heading_level > 1 AND top IS NOT NULL THEN top || ' > ' || heading ELSE heading END AS path
+  FROM (SELECT *, last_value(CASE WHEN heading_level = 1 THEN heading END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM parents)),
+ pt AS (SELECT doc_id, section, source, path, '# ' || path || chr(10) || chr(10) || content AS parent_text FROM hp JOIN documents USING (doc_id)), tk AS (SELECT *, {TOKENS.replace('text', 'parent_text')} AS ts FROM pt WHERE length(parent_text) >= 256),
+ cut AS (SELECT doc_id, section, source, path, parent_text, 0 AS i, parent_text AS chunk_text FROM pt WHERE length(parent_text) < 256 UNION ALL
+  SELECT doc_id, section, source, path, parent_text, i, array_to_string(ts[i * 96 + 1 : i * 96 + 128], ' ') FROM (SELECT *, unnest(range(0, greatest(0, ceil((len(ts) - 128) / 96.0))::BIGINT + 1)) AS i FROM tk WHERE len(ts) > 0))
+ SELECT doc_id, section, sha256(source || chr(1) || parent_text) AS parent_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, i) - 1 AS chunk_index, chunk_text, '以下内容出自《' || source || '》' || path || '：' AS contextual_header FROM cut""")
 def split_pdr(spark, d):
     return chunking.split_pdr(books(spark, d), "doc_id", "source", 128, 32, tokenizer=tx.latin_tokens).select("doc_id", "section", "parent_id", "chunk_index", "chunk_text", "contextual_header")
 
@@ -374,7 +461,8 @@ def split_recursive(spark, d):
     return chunking.split_recursive(docs(spark, d), "doc_id")
 
 
-@query("split_lines")
+@query("split_lines", """WITH p AS (SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {'done': []::VARCHAR[], 'cur': x}), lambda a, x: CASE WHEN length(a.cur) + 1 + length(x.cur) > 1000 THEN {'done': list_append(a.done, a.cur), 'cur': x.cur} ELSE {'done': a.done, 'cur': a.cur || chr(10) || x.cur} END) AS r FROM documents WHERE text IS NOT NULL),
+ c AS (SELECT doc_id, list_append(r.done, r.cur) AS cs FROM p) SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS chunk_text FROM c""")
 def split_lines(spark, d):
     return chunking.split_lines(docs(spark, d).select("doc_id", "text")).select("doc_id", "chunk_index", "chunk_text")
 
@@ -407,7 +495,8 @@ def tokenize_corpus(spark, d):
 
 @query("corpus_token_stats", f"SELECT count(*) AS n_docs, sum(len({TOKENS}))::BIGINT AS n_tokens FROM documents")
 def corpus_token_stats(spark, d):
-    return docs(spark, d).agg(F.count("*").alias("n_docs"), F.sum(F.size(tx.latin_tokens(F.col("text")))).alias("n_tokens"))
+    rows = docs(spark, d).select(F.col("text").alias("chunk_text"), F.lit(None).cast("string").alias("parent_text"), F.col("source").alias("doc_name"))
+    return files.corpus_stats(rows, tokenizer=tx.latin_tokens).select(F.col("n_chunks").alias("n_docs"), "n_tokens")
 
 
 @query("bm25_index", f"""WITH w AS (SELECT unnest(list_distinct({TOKENS})) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM w GROUP BY term),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as tx
+from ..operators.embedding import batched_embed
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,10 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scan_corpus(spark: SparkSession, path: str, suffixes: Iterable[str] = (".txt", ".md", ".html")) -> DataFrame:
-    """One row per file of the folder: doc_name, ext, text."""
+    """One row per file of the folder and those below it: doc_name, ext, text, path."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").text(path, wholetext=True)
-    place = F.input_file_name()
-    return files.select(tx.doc_name(place).alias("doc_name"), tx.doc_ext(place).alias("ext"), F.col("value").alias("text"))
+    place = F.col("_metadata.file_path")
+    return files.select(tx.doc_name(place).alias("doc_name"), tx.doc_ext(place).alias("ext"), F.col("value").alias("text"), place.alias("path"))
 
 
 def load_faq_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -80,17 +82,61 @@ def upsert_by_doc(existing: DataFrame, new: DataFrame, key: str = "doc_name") ->
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def replace_buckets(spark: SparkSession, new: DataFrame, path: str, buckets: int) -> None:
-    """upsert_by_doc on disk: only the buckets that new touches are rewritten."""
-    bucket = F.pmod(F.xxhash64("doc_name"), F.lit(buckets)).cast("int")
-    fresh = new.withColumn("doc_bucket", bucket)
-    touched = [r[0] for r in fresh.select("doc_bucket").distinct().collect()]  # at most `buckets` numbers
-    old = spark.read.parquet(path).filter(F.col("doc_bucket").isin(touched)) if touched else None
-    if old is not None:
-        merged = upsert_by_doc(old.select(*fresh.columns), fresh)
-        staged = f"{path}.staged"
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_name"), F.lit(buckets)).cast("int")
+
+
+def replace_buckets(spark: SparkSession, new: DataFrame, path: str, buckets: int, names: DataFrame | None = None) -> None:
+    """upsert_by_doc on disk: only the buckets that new touches are rewritten. The documents of names(doc_name) go, too.
+
+    1. The touched buckets as they shall be are staged under a name of their own. 2. A mark names the staging: from then on
+    the change counts. 3. The buckets are overwritten from it. 4. Mark and staging go. A run that dies before 2 has changed
+    nothing; one that dies later is finished by recover_buckets, which each change calls first, and read_buckets reads
+    the staged buckets meanwhile, never half-written ones. One job at a time may write.
+    """
+    recover_buckets(spark, path)
+    fresh = new.withColumn("doc_bucket", _bucket(buckets))
+    known = fresh.select("doc_name", "doc_bucket")
+    known = known if names is None else known.unionByName(names.select("doc_name", _bucket(buckets).alias("doc_bucket")))
+    touched = [r[0] for r in known.select("doc_bucket").distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    old = spark.read.parquet(path).filter(F.col("doc_bucket").isin(touched))
+    name = uuid.uuid4().hex
+    rest = old.select(*fresh.columns).join(known.select("doc_name").distinct(), "doc_name", "left_anti")
+    rest.unionByName(fresh).write.partitionBy("doc_bucket").parquet(f"{path}/_staged/{name}")
+    spark.createDataFrame([(name,)], "staged string").coalesce(1).write.mode("append").json(f"{path}/_replace")
+    recover_buckets(spark, path)
+
+
+def _staged(spark: SparkSession, path: str) -> str | None:
+    """The staging that is marked, if a change is not finished."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_replace")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return None
+    row = spark.read.schema("staged string").json(f"{path}/_replace").first()
+    return row and row[0]
+
+
+def recover_buckets(spark: SparkSession, path: str) -> None:
+    """Finish a change that is marked, and remove what unmarked ones have left. Done again, it does nothing."""
+    name = _staged(spark, path)
+    if name:
+        staged = spark.read.parquet(f"{path}/_staged/{name}")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
+    for left in ("_replace", "_staged"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{left}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The corpus: its buckets, those of a change that is marked but not finished from its staging."""
+    table, name = spark.read.parquet(path), _staged(spark, path)
+    if not name:
+        return table
+    staged = spark.read.schema(table.schema).parquet(f"{path}/_staged/{name}")
+    touched = [r[0] for r in staged.select("doc_bucket").distinct().collect()]  # at most as many as there are buckets
+    return table.filter(~F.col("doc_bucket").isin(touched)).unionByName(staged)
 
 
 def backfill_vectors(df: DataFrame, text_col: str, embed, vector_col: str = "chunk_vector") -> DataFrame:
@@ -100,6 +146,13 @@ def backfill_vectors(df: DataFrame, text_col: str, embed, vector_col: str = "chu
     return have.unionByName(made.filter(F.col(vector_col).isNotNull()))
 
 
+def backfill_batched(df: DataFrame, text_col: str, load_model, vector_col: str = "chunk_vector", batch_size: int = 8) -> DataFrame:
+    """backfill_vectors with a plug-in model, as embedding.batched_embed takes it: only rows without a vector are sent to it; rows that it fails on go."""
+    have = df.filter(F.col(vector_col).isNotNull())
+    made = batched_embed(df.filter(F.col(vector_col).isNull()).drop(vector_col), text_col, load_model, batch_size, vector_col)
+    return have.unionByName(made.filter(F.col(vector_col).isNotNull()))
+
+
 def changed_documents(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """docs(doc_name, ext, text) whose MD5 is not the one remembered for that full name."""
     hashed = docs.withColumn("hash", F.md5("text"))
@@ -130,6 +183,6 @@ def append_telemetry(events: DataFrame, path: str, ts: str = "timestamp") -> Non
     events.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyyMMdd")).write.mode("append").partitionBy("day").json(path)
 
 
-def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+def corpus_stats(chunks: DataFrame, text_col: str = "chunk_text", tokenizer=tx.tokenize) -> DataFrame:
     """One row: chunks, chunks with a parent, documents, tokens."""
-    return chunks.agg(F.count("*").alias("n_chunks"), F.count("parent_text").alias("n_parents"), F.countDistinct("doc_name").alias("n_documents"), F.sum(F.size(tx.tokenize(F.col(text_col)))).alias("n_tokens"))
+    return chunks.agg(F.count("*").alias("n_chunks"), F.count("parent_text").alias("n_parents"), F.countDistinct("doc_name").alias("n_documents"), F.sum(F.size(tokenizer(F.col(text_col)))).alias("n_tokens"))
