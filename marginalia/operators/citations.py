@@ -32,17 +32,24 @@ def fact_terms(sentence: Column, most: int = 15) -> Column:
     return F.slice(F.filter(F.array_distinct(F.concat(quoted, numbers, names)), lambda t: (F.length(t) >= 2) & ~F.array_contains(skip, t)), 1, most)
 
 
-def citation_support(df: DataFrame, terms: str = "terms", content: str = "content") -> DataFrame:
-    """Adds score and unmatched: the share of hard terms that the source has; core terms (three characters or more, or with ·) count first."""
-    generic = F.array(*[F.lit(w) for w in GENERIC])
-    df = df.withColumn("_all", F.array_except(terms, generic))
+def _supported(df: DataFrame) -> DataFrame:
+    """Adds score and unmatched to rows with _all, hard terms, and _hit, those that the source has; drops both."""
     core = lambda t: (F.length(t) >= 3) | F.contains(t, F.lit("·"))
-    df = df.withColumn("_hit", F.filter("_all", lambda t: F.contains(F.col(content), t)))
     n_core, hit_core = F.size(F.filter("_all", core)), F.size(F.filter("_hit", core))
     score = F.when(F.size("_all") == 0, 1.0).when(hit_core > 0, F.greatest(F.lit(0.5), hit_core / n_core)).otherwise(F.size("_hit") / F.size("_all"))
     return df.withColumn("score", F.round(score, 6)).withColumn("unmatched", F.array_except("_all", "_hit")).drop("_all", "_hit")
 
 
+def _hard(terms: Column) -> Column:
+    return F.array_except(terms, F.array(*[F.lit(w) for w in GENERIC]))
+
+
+def citation_support(df: DataFrame, terms: str = "terms", content: str = "content") -> DataFrame:
+    """Adds score and unmatched: the share of hard terms that the source has; core terms (three characters or more, or with ·) count first."""
+    df = df.withColumn("_all", _hard(F.col(terms)))
+    return _supported(df.withColumn("_hit", F.filter("_all", lambda t: F.contains(F.col(content), t))))
+
+
 def citation_missing(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """Cited (answer_id, ref_id) that sources(answer_id, ref_id, ..) lacks."""
     return cited_sentences(answers).select("answer_id", "ref_id").distinct().join(sources.select("answer_id", F.col("ref_id").cast("string").alias("ref_id")), ["answer_id", "ref_id"], "left_anti")
@@ -57,9 +64,14 @@ def verify_citations(answers: DataFrame, sources: DataFrame, threshold: float =
     relation = F.exists(F.array(*[F.lit(w) for w in RELATION]), lambda w: F.contains(F.col("answer"), w))
     limit = F.when(relation, F.greatest(F.lit(0.15), F.lit(threshold - 0.1))).otherwise(F.lit(threshold))
     known = sources.select("answer_id", F.col("ref_id").cast("string").alias("ref_id"), F.coalesce("content", F.lit("")).alias("content"), F.lit(True).alias("known"))
-    cited = cited_sentences(answers.select("answer_id", "answer", limit.alias("limit")), "limit").join(known, ["answer_id", "ref_id"], "left")
-    judged = citation_support(cited.withColumn("terms", extractor(F.col("sentence"))))
+    cited = cited_sentences(answers.select("answer_id", "answer", limit.alias("limit")), "limit").withColumn("_all", _hard(extractor(F.col("sentence"))))
+    # A source meets the sentences that cite it once, as a group; its text is gone before they are rows again.
+    met = cited.groupBy("answer_id", "ref_id").agg(F.first("limit").alias("limit"), F.collect_list(F.struct("pos", "sentence", "_all")).alias("cites")).join(known, ["answer_id", "ref_id"], "left")
+    found = F.transform("cites", lambda s: F.struct(s.pos.alias("pos"), s.sentence.alias("sentence"), s._all.alias("_all"), F.filter(s._all, lambda t: F.contains(F.col("content"), t)).alias("_hit")))
     short = F.length(tx.trimmed(F.col("content"))) < 20
+    met = met.select("answer_id", "ref_id", "limit", "known", short.alias("short"), F.explode(found).alias("s"))
+    judged = _supported(met.select("answer_id", "ref_id", "limit", "known", "short", "s.*"))
+    short = F.col("short")
     severity = F.when(F.col("known").isNull(), "CRITICAL").when(short, "WARNING").when(F.col("score") < 0.1, "CRITICAL").otherwise("WARNING")
     reason = F.when(F.col("known").isNull(), "unknown").when(short, "short").otherwise("unsupported")
     checked = F.col("known").isNotNull() & ~short

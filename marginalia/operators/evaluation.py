@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
+def containing(passages: DataFrame, docs: DataFrame, most_short: int = 100_000) -> DataFrame:
     """query_id, id of docs(id, body) whose body contains the text of passages(query_id, text); ids are unique on both sides.
 
     The second to fourth piece between single spaces of a passage stand in a body that holds it as they are, so
@@ -20,8 +23,34 @@ def containing(passages: DataFrame, docs: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(2), F.size("w") - 3), lambda i: F.xxhash64(F.slice("w", i, 3)))
     met = words.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select("query_id", "id")
     long = met.join(docs, "id").join(passages.select("query_id", "text"), "query_id")
-    short = docs.join(passages.filter("n < 5").select("query_id", "text"), F.contains("body", "text"))
-    return long.filter(F.contains("body", "text")).unionByName(short.select(*long.columns)).select("query_id", "id")
+    out, short = long.filter(F.contains("body", "text")).select("query_id", "id"), passages.filter("n < 5").select("query_id", "text")
+    parts = -(-short.count() // most_short)
+    for k in range(parts):
+        held = short.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k).toArrow()  # about most_short short texts
+        found = docs.select("id", "body").filter("body is not null").mapInArrow(_holders(held), out.schema)
+        out = out.unionByName(found)
+    return out
+
+
+def _holders(passages: pa.Table):
+    """query_id, id of the bodies that hold one of passages(query_id, text); the empty text is in all of them."""
+    by_text: dict[str, list] = {}
+    for q, t in zip(passages["query_id"].to_pylist(), passages["text"].to_pylist(), strict=True):
+        by_text.setdefault(t, []).append(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        finder, always = ahocorasick.Automaton(), by_text.get("", [])
+        for t, qs in by_text.items():
+            if t:
+                finder.add_word(t, qs)
+        finder.make_automaton()
+        for batch in batches:
+            rows = [(q, i) for i, body in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True) for q in {*always, *(q for _, qs in (finder.iter(body) if len(finder) else ()) for q in qs)}]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in rows], passages.schema.field("query_id").type), pa.array([i for _, i in rows], batch.schema.field("id").type)], names=["query_id", "id"])
+
+    return run
 
 
 def evaluate_per_query(hits: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
