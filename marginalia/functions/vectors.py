@@ -36,7 +36,10 @@ def let(value: Column, body) -> Column:
 
 def embed_hash(c: Column, dim: int = 64) -> Column:
     """Unit vector of token counts by hash slot: the default embedding, without a model."""
-    slots = F.transform(tx.tokenize(F.coalesce(c, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(held) - F.size(F.array_remove(held, i))).cast("double"))
+    # Tokens as even numbers and the end of each slot as an odd one, sorted: the places of the ends tell the counts.
+    slots = F.transform(tx.tokenize(F.coalesce(c, F.lit(""))), lambda t: 2 * F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    marked = F.array_sort(F.concat(slots, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: 2 * j + 1)))
+    ends = lambda held: F.filter(F.transform(held, lambda x, i: F.when(x % 2 == 1, i)), lambda i: i.isNotNull())
+    counts = lambda at: F.zip_with(at, F.concat(F.array(F.lit(-1)), F.slice(at, 1, dim - 1)), lambda x, y: (x - y - 1).cast("double"))
     unit = lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
-    return let(slots, lambda held: let(counts(held), unit))
+    return let(marked, lambda held: let(ends(held), lambda at: let(counts(at), unit)))

@@ -41,8 +41,8 @@ def route(queries: DataFrame, faq_hits: DataFrame, doc_hits: DataFrame, high: fl
 
 
 def map_outcome(df: DataFrame, codes: DataFrame) -> DataFrame:
-    """Adds status and message by error_code; unknown codes count as internal errors, no code as success."""
-    return df.join(F.broadcast(codes), "error_code", "left").withColumns({
+    """Adds status and message by error_code; unknown codes count as internal errors, no code as success. Spark picks the join by the size of codes."""
+    return df.join(codes, "error_code", "left").withColumns({
         "status": F.when(F.col("error_code").isNull(), 200).otherwise(F.coalesce("status", F.lit(500))),
         "message": F.when(F.col("error_code").isNull(), "ok").otherwise(F.coalesce("message", F.lit("internal error"))),
     })
