@@ -63,6 +63,17 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sums.select(["hash", "norm", "doc_id_min", "doc_id_count"]).rename_columns(["hash", "norm", "keep_id", "n"]).to_batches()
 
 
+def gathered(entry: DataFrame, most: int = 64) -> DataFrame:
+    """Entries of texts that came as more than `most` combined on, in tasks, by salt, then by text: each reaches its owner as one, however many parts hold it."""
+    many = common.stored(entry.groupBy("hash").agg(F.count("*").alias("m")).filter(F.col("m") > most).select("hash"), "exact-many")
+    if not many.limit(1).count():
+        return entry
+    hot, rest = entry.join(common.small_side(many), "hash"), entry.join(common.small_side(many), "hash", "left_anti")
+    for salts in (most, 1):
+        hot = hot.groupBy("hash", "norm", "bytes", F.pmod(F.xxhash64("keep_id", "n"), F.lit(salts)).alias("salt")).agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    return rest.unionByName(hot.select(*rest.columns))
+
+
 def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of entries in order of bucket and hash, the index rows: each hash's texts as a chain, by comparing bytes."""
     names, kinds = ["bucket", "depth", "hash", "text_sha256", "chain", "keep_id", "group_size"], [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
@@ -121,7 +132,7 @@ def build_index(docs: DataFrame, capacity: int = 4096, max_depth: int = 16, owne
     spark = docs.sparkSession
     norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.normalized(F.col("text")).alias("norm"))
     entry = norm.select(key(F.col("norm")).alias("hash"), "norm", "doc_id").mapInArrow(combined, "hash long, norm string, keep_id long, n long")
-    entry = common.stored(entry.withColumn("bytes", F.octet_length("norm")), "exact-entries")
+    entry = gathered(common.stored(entry.withColumn("bytes", F.octet_length("norm")), "exact-entries"))
     slot = F.shiftrightunsigned("hash", 64 - max_depth).cast("int").alias("slot")
     held = entry.groupBy("hash").agg(F.sum("bytes").alias("bytes")).groupBy(slot).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
     slots = directory({r["slot"]: r["n"] for r in held}, max_depth, capacity)

@@ -44,6 +44,9 @@ FULL = 8
 
 def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term hash, count) of lower-cased texts, sorted by row, then term."""
+    if len(column) > 1 << 16:  # a row's number has 16 bits below
+        each = [term_counts(column.slice(k, 1 << 16)) for k in range(0, len(column), 1 << 16)]
+        return np.concatenate([r + (k << 16) for k, (r, _, _) in enumerate(each)]), np.concatenate([t for _, t, _ in each]), np.concatenate([n for _, _, n in each])
     buf, at = vectext.text_bytes(column)
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
