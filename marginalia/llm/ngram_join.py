@@ -418,3 +418,12 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, floor: float = 1e-3
 
 def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(common.table(spark, sf_dir, "documents"))[0]
+
+
+OP11_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT DISTINCT r, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS x FROM d),
+ n AS (SELECT r, count(*) AS n FROM s GROUP BY r), k AS (SELECT list(r) AS rs FROM s GROUP BY x HAVING count(*) > 1), p AS (SELECT row_number() OVER () AS x, rs FROM k), u AS (SELECT x, unnest(rs) AS r FROM p),
+ o AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM u a JOIN u b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+ e AS (SELECT a, b FROM o JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * o >= 85 * (na.n + nb.n - o)), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ c AS (SELECT r, r AS root FROM d UNION SELECT l.b, c.root FROM c JOIN l ON l.a = c.r)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m.doc_id) AS component_id FROM c JOIN d ON d.r = c.root JOIN d m ON m.r = c.r LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id"""

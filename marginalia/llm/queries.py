@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_lexical_rank": lexical_rank.op13_lexical_rank,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_lexical_rank": lexical_rank.OP13_SQL}
+ORACLE_SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL, "op11_ngram_join": ngram_join.OP11_SQL, "op12_hard_negatives": hard_negatives.OP12_SQL, "op13_lexical_rank": lexical_rank.OP13_SQL}

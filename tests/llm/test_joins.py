@@ -229,7 +229,7 @@ def test_dictionary_confirms_bytes():
     assert lexical_rank.Dictionary([]).find(buf, begin, end)[0].tolist() == []
 
 
-@pytest.mark.parametrize("name", ["op12_hard_negatives", "op13_lexical_rank"])
+@pytest.mark.parametrize("name", ["op11_ngram_join", "op12_hard_negatives", "op13_lexical_rank"])
 def test_equals_sql(spark, small, name):
     c = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
