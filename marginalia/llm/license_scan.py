@@ -1,11 +1,13 @@
 """License scans (operator 2): conditional compression against license templates.
 
 A text's candidate blocks are the words around license wording, as far as a template reaches, over line
-breaks and comment marks. Templates whose words nearly all occur in a block are aligned with it word by
-word, and the exact differences (words missing, words added within the aligned stretch) are counted; the
-stretch is compressed alone and with the template as Zstandard raw dictionary, and the relative reduction
-in size must confirm it. The best template is taken and both rests of the block are searched again,
-until no template is confirmed.
+breaks and comment marks. A block is compressed alone and with each template as Zstandard raw dictionary; templates are
+ranked by the bytes that they save. Down this ranking the exact differences of wording (template words missing, words added
+within the aligned stretch) confirm or reject: the winner is the first template that differs in at most a share of its words
+and whose stretch loses a share of its compressed size; of those that save nearly as much (CLOSE bytes), the one with the
+fewest differences for its length. Templates that lack more words in a block than differences may amount to can't be confirmed
+and are not compressed with. Both rests of the block are searched again, until no template is confirmed. In an SPDX
+expression each name is confirmed as an identifier line of its own.
 
 Every whole text is scanned in Arrow batches by one map pass; nothing is shuffled. Templates are a
 fixed list in this module, so what tasks carry is bounded.
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common, vectext
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 # License names with notices and passages that state them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -47,6 +50,10 @@ TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -62,12 +69,16 @@ TEMPLATES = (
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    *((n, f"SPDX-License-Identifier: {n}") for n in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")),
+    *((n, f"SPDX-License-Identifier: {n}") for n in ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")),
     *((n, f"SPDX-License-Identifier: {n}{e}") for n in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0") for e in ("", "-only", "-or-later")),
     ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited."),
 )
 WORDING = r"(?i)licen[sc]e|spdx|copyright|permission\W+is\W+hereby|permission\W+to\W+use|redistribut|public\W+domain|all\W+rights\W+reserved"
 _WORDING = re.compile(WORDING)
+#: An SPDX expression after its first name.
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*\(*[A-Za-z0-9.+-]+((?:[ \t)(]+(?:AND|OR|WITH)[ \t(]+[A-Za-z0-9.+-]+)+)")
+#: Bytes of compressed size that are no difference between templates.
+CLOSE = 16
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 FOUND = "array<struct<license:string,begin:int,stop:int,reduction:double,n_missing:int,n_added:int,missing:string,added:string>>"
@@ -124,23 +135,33 @@ class Scanner:
         used = {i for b in same for i in range(b.b, b.b + b.size)}
         return [w for i, w in enumerate(words) if i not in kept], [own[i] for i in range(first, last) if i not in used], first, last
 
+    def ranked(self, block: str, have: Counter, most_share: float) -> list[tuple[int, int]]:
+        """(bytes saved, template) of a block, most first; without templates that lack too many of their words to be confirmed."""
+        some = [i for i, t in enumerate(self.words) if (self.counts[i] - have).total() <= most_share * len(t)]
+        if not some:
+            return []
+        data = block.encode("utf-8", "surrogatepass")
+        alone = len(self.alone.compress(data))
+        return sorted(((alone - len(self.given[i].compress(data)), i) for i in some), key=lambda r: (-r[0], r[1]))
+
     def best(self, text: str, words: list[tuple[str, int, int]], begin: int, end: int, least: float, most_share: float) -> tuple[int, int, dict] | None:
-        """The confirmed license of a word range with the fewest differences for its length, then the longest template, and the words that it takes."""
+        """The license of a word range that wins by the bytes its template saves, confirmed by the differences, and the words that it takes."""
         own = [w for w, _, _ in words[begin:end]]
-        have, matcher, best = Counter(own), difflib.SequenceMatcher(None, (), (), autojunk=False), None
-        for i, t in enumerate(self.words):
-            if (self.counts[i] - have).total() > most_share * len(t):
-                continue
+        matcher, best = difflib.SequenceMatcher(None, (), (), autojunk=False), None
+        for saved, i in self.ranked(text[words[begin][1] : words[end - 1][2]], Counter(own), most_share):
+            if best and saved < best[0] - CLOSE:
+                break
             if not matcher.b:
                 matcher.set_seq2(own)
-            diff = self.differences(matcher, i)
-            if not diff or len(diff[0]) + len(diff[1]) > most_share * len(t):
+            diff, size = self.differences(matcher, i), len(self.words[i])
+            if not diff or len(diff[0]) + len(diff[1]) > most_share * size:
                 continue
             first, last = words[begin + diff[2]][1], words[begin + diff[3] - 1][2]
-            reduction, key = self.reduction(text[first:last], i), ((len(diff[0]) + len(diff[1])) / len(t), -len(t), i)
-            if reduction >= least and (best is None or key < best[0]):
-                best = (key, begin + diff[2], begin + diff[3], {"license": self.templates[i][0], "begin": first, "stop": last, "reduction": round(reduction, 6), "n_missing": len(diff[0]), "n_added": len(diff[1]), "missing": " ".join(diff[0]), "added": " ".join(diff[1])})
-        return best and best[1:]
+            reduction, key = self.reduction(text[first:last], i), ((len(diff[0]) + len(diff[1])) / size, -size, i)
+            if reduction >= least and (best is None or key < best[1]):
+                found = {"license": self.templates[i][0], "begin": first, "stop": last, "reduction": round(reduction, 6), "n_missing": len(diff[0]), "n_added": len(diff[1]), "missing": " ".join(diff[0]), "added": " ".join(diff[1])}
+                best = (best[0] if best else saved, key, begin + diff[2], begin + diff[3], found)
+        return best and best[2:]
 
     def scan(self, text: str, least: float = 0.15, most_share: float = 0.15) -> tuple[list[dict], int]:
         """Confirmed licenses of a text and its number of blocks."""
@@ -153,6 +174,13 @@ class Scanner:
             if found:
                 out.append(found[2])
                 rest += [(begin, found[0]), (found[1], end)]
+        for m in _EXPRESSION.finditer(text):
+            for name in re.finditer(r"[A-Za-z0-9.+-]+", m[1]):
+                line = f"SPDX-License-Identifier: {name[0]}"
+                own = [(w[0].lower(), w.start(), w.end()) for w in _WORD.finditer(line)]
+                place = m.start(1) + name.start()
+                if name[0] not in ("AND", "OR", "WITH") and (hit := self.best(line, own, 0, len(own), least, 0.0)):
+                    out.append(hit[2] | {"begin": place, "stop": place + len(name[0])})
         return sorted(out, key=lambda f: f["begin"]), len(spans)
 
 
