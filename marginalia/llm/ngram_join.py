@@ -9,7 +9,8 @@
    inner nodes hold the OR of their bitmaps, the range of sizes and the largest number of tokens that share bits. The tree is
    traversed against itself: a pair of nodes goes when its size ranges can't reach the similarity, when its common bits and
    shared tokens bound the overlap below what the smallest sizes need, or when both lie in one class already. Pairs of members
-   are bounded by the bits that one has and the other lacks. Buckets of up to SMALL members are one node.
+   are bounded by the bits that one has and the other lacks. Buckets of up to SMALL members are one node; the pairs of those of up to
+   FEW, which are most, are collected over all buckets before their bitmaps are compared.
 4. Pairs that are left are verified by the exact overlap of the whole sets, made from the texts again.
 5. Links give classes as connected components. A bucket with more pairs left than `most` a member, as in a large group of
    near copies, first lets all members meet its middle ones (nearest to the majority of the bits). Once their links have merged
@@ -26,6 +27,7 @@ result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +41,7 @@ from .vectext import U64
 
 SLOTS = 1 << 20  # counters in each of the two rows of the sketch
 SMALL, LEAF, FAN = 64, 16, 8
+FEW = 3  # nodes of a bucket whose pairs are listed at once
 PART = 1 << 19  # bytes of text that a worker looks at at once
 WORDS = 1 << 19  # words of bitmaps that it compares at once
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -133,26 +136,75 @@ def _signed(sent, width: int, percent: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (bucket, node) sorted by both: the distinct rows of buckets that hold several nodes."""
-    last = None  # a row that may go on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, node = (batch.column(c).to_numpy() for c in ("bucket", "node"))
-        if last is not None:
-            bucket, node = np.concatenate((last[0], bucket)), np.concatenate((last[1], node))
-            several = last[2]
-        else:
-            several = False
-        fresh = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])))
-        bucket, node = bucket[fresh], node[fresh]
-        same = bucket[1:] == bucket[:-1]
-        keep = np.concatenate(([several], same)) | np.concatenate((same, [False]))
-        last = bucket[-1:], node[-1:], bool(keep[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], names=["bucket", "node"])
-    if last is not None and last[2]:
-        yield pa.RecordBatch.from_arrays([pa.array(last[0]), pa.array(last[1])], names=["bucket", "node"])
+def _shared(few: int):
+    """Of (bucket, node) sorted by both: the pairs (node, other) of buckets of two to `few` nodes, and the distinct rows, without other, of larger ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_bucket = held_node = np.zeros(0, np.int64)  # the rows of a bucket that may go on
+        given = False  # that bucket is a large one, and its only row here was given out already
+        for batch in itertools.chain(batches, (None,)):
+            if batch is not None and not batch.num_rows:
+                continue
+            own = [held_bucket, held_node] if batch is None else [np.concatenate((h, batch.column(c).to_numpy())) for h, c in ((held_bucket, "bucket"), (held_node, "node"))]
+            bucket, node = (x[vectext.runs_of_pairs(*own)] for x in own)
+            if not len(bucket):
+                continue
+            begin = vectext.runs(bucket)
+            size = np.diff(np.append(begin, len(bucket)))
+            large, closed = size > few, np.ones(len(begin), bool)
+            large[0] |= given
+            closed[-1] = batch is None
+            row = np.flatnonzero(np.repeat(large, size))
+            row = row[row > 0] if given else row
+            i, j = [row], [np.full(len(row), -1)]
+            for n in range(2, few + 1):
+                first = begin[(size == n) & closed & ~large]
+                for x, y in itertools.combinations(range(n), 2):
+                    i.append(first + x)
+                    j.append(first + y)
+            i, j = np.concatenate(i), np.concatenate(j)
+            alone = j < 0
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[i]), pa.array(node[i]), pa.array(node[j], mask=alone)], names=["bucket", "node", "other"])
+            given = bool(large[-1])
+            at = len(bucket) - 1 if given else begin[-1]
+            held_bucket, held_node = bucket[at:], node[at:]
+
+    return run
+
+
+def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, bitmaps as words) for each width."""
+    raw, at = vectext.text_bytes(column)
+    width = np.diff(at)
+    for w in np.unique(width).tolist():
+        yield np.flatnonzero(width == w), raw[np.repeat(width == w, width)].view(U64).reshape(-1, w // 8)
+
+
+def _bounded(percent: int):
+    """Of pairs (a, b, n, bits, other_n, other_bits) those whose sizes and bitmaps allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in vectext.parts(batches, "bits", 8 * WORDS // 4):
+            keep = np.zeros(part.num_rows, bool)
+            n, m = part.column("n").to_numpy(), part.column("other_n").to_numpy()
+            place = np.zeros(part.num_rows, np.int64)
+            for rows, x in _words(part.column("bits")):
+                place[rows] = np.arange(len(rows))
+                for others, y in _words(part.column("other_bits")):
+                    both, _, at = np.intersect1d(rows, others, assume_unique=True, return_indices=True)
+                    if not len(both):
+                        continue
+                    p, q = x[place[both]], y[at]
+                    while p.shape[1] > q.shape[1]:
+                        p = p[:, : p.shape[1] // 2] | p[:, p.shape[1] // 2 :]
+                    while q.shape[1] > p.shape[1]:
+                        q = q[:, : q.shape[1] // 2] | q[:, q.shape[1] // 2 :]
+                    lack = [np.bitwise_count(u & ~v).sum(1, dtype=np.int64) for u, v in ((p, q), (q, p))]
+                    overlap = np.minimum(n[both] - lack[0], m[both] - lack[1])
+                    keep[both] = 100 * overlap >= percent * (n[both] + m[both] - overlap)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
 class Members:
@@ -384,11 +436,17 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, floor: float = 1e-3
     nodes = signed.filter("n > 0").groupBy("k1", "k2").agg(first, F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = common.stored(nodes.select("k1", "k2", "least", "copies", F.col("f.row").alias("node"), "f.n", "f.bits", "f.prefix", "f.t1", "f.t2"), "ngram-nodes")
     rows = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-    shared = common.stored(rows.mapInArrow(_shared, "bucket long, node long"), "ngram-buckets")
-    marks = nodes.select("node", "n", "bits")
+    buckets = common.stored(rows.mapInArrow(_shared(FEW), "bucket long, node long, other long"), "ngram-buckets")
+    marks, shared = nodes.select("node", "n", "bits"), buckets.filter("other is null").select("bucket", "node")
+    # Most buckets are a few nodes, and a pair meets in many of them: these pairs are made distinct before bitmaps are fetched.
+    met = buckets.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    met = met.join(marks.withColumnRenamed("node", "a"), "a").join(marks.select(F.col("node").alias("b"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits")), "b")
+    met = met.filter(100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")).select("a", "b", "n", "bits", "other_n", "other_bits")
+    few = common.stored(met.mapInArrow(_bounded(percent), "a long, b long"), "ngram-few")
     member, done, links, roots = shared.join(marks, "node").withColumn("root", F.col("node")), None, None, None
     while True:
-        found = common.stored(candidates(member, percent, most, leaders, block), "ngram-pairs")
+        new = candidates(member, percent, most, leaders, block)
+        found = common.stored(new if done is not None else new.unionByName(few.withColumn("open", F.lit(False))).distinct(), "ngram-pairs")
         pairs = found.filter("not open").select("a", "b")
         if done is not None:
             pairs = common.stored(pairs.join(done, ["a", "b"], "left_anti"), "ngram-pairs")
@@ -396,8 +454,9 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, floor: float = 1e-3
             needed = common.stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "t1", "t2"), "node"), "ngram-needed")
             texts = docs.select("t1", "t2", "text").join(common.small_side(needed), ["t1", "t2"]).select("node", "text").dropDuplicates(["node"])
             new = common.stored(verified(pairs, common.stored(texts, "ngram-texts"), width, percent), "ngram-links")
-            links, done = new if links is None else links.unionByName(new), pairs if done is None else done.unionByName(pairs)
+            links = new if links is None else links.unionByName(new)
             roots = common.stored(graph.components(links.select("a", "b"), "ngram-roots"), "ngram-classes")
+        done = pairs if done is None else done.unionByName(pairs)
         open_ = common.stored(found.filter("open").select(F.col("a").alias("bucket")), "ngram-open")
         if not open_.limit(1).count():
             break

@@ -106,11 +106,39 @@ def test_tree_loses_no_pair():
 
 
 def test_shared_over_batches():
-    b, n = [1, 1, 1, 2, 3, 3, 4, 5, 5, 5], [7, 7, 7, 7, 7, 8, 1, 2, 2, 3]
-    for cut in range(1, 10):
-        parts = [pa.RecordBatch.from_arrays([pa.array(b[k : k + cut]), pa.array(n[k : k + cut])], names=["bucket", "node"]) for k in range(0, 10, cut)]
-        got = [(r["bucket"], r["node"]) for p in ngram_join._shared(iter(parts)) for r in p.to_pylist()]
-        assert got == [(3, 7), (3, 8), (5, 2), (5, 3)]
+    """Buckets of one node go, small ones give pairs, large ones their nodes, wherever a batch ends."""
+    rng = random.Random(9)
+    rows = sorted((b, rng.randrange(6)) for b in range(12) for _ in range(rng.randrange(9)))
+    members, pairs = set(), set()
+    for b in range(12):
+        nodes = sorted({n for c, n in rows if c == b})
+        if len(nodes) > 3:
+            members |= {(b, n) for n in nodes}
+        else:
+            pairs |= {(b, x, y) for k, x in enumerate(nodes) for y in nodes[k + 1 :]}
+    assert members and pairs
+    for cut in (1, 2, 3, 5, 7, 100):
+        parts = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + cut]]), pa.array([r[1] for r in rows[k : k + cut]])], names=["bucket", "node"]) for k in range(0, len(rows), cut)]
+        got = [(r["bucket"], r["node"], r["other"]) for p in ngram_join._shared(3)(iter(parts)) for r in p.to_pylist()]
+        assert sorted((b, n) for b, n, o in got if o is None) == sorted(members)
+        assert sorted(r for r in got if r[2] is not None) == sorted(pairs)
+    assert list(ngram_join._shared(3)(iter([]))) == []
+
+
+def test_bounds_of_pairs_over_widths():
+    """No pair of the similarity is lost, also where the bitmaps have different widths."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (250, 256, 260, 300, 500, 513, 560, 4000, 4700):
+        base = rng.integers(0, 1 << 62, 5000).astype(np.uint64)
+        sets += [np.unique(base[:n]), np.unique(base[: int(n * 0.88)]), np.unique(np.concatenate((base[: int(n * 0.95)], base[4990:])))]
+    i, j = np.triu_indices(len(sets), 1)
+    size = np.array([len(s) for s in sets])
+    bits = [ngram_join.bitmap(s, ngram_join.bitmap_bits(len(s))) for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(size[i]), pa.array([bits[k] for k in i]), pa.array(size[j]), pa.array([bits[k] for k in j])], names=["a", "b", "n", "bits", "other_n", "other_bits"])
+    got = {(r["a"], r["b"]) for p in ngram_join._bounded(85)(iter([batch])) for r in p.to_pylist()}
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (size[a] + size[b] - o)}
+    assert len(want) > 10 and want <= got and len(got) < len(i) / 3
 
 
 @pytest.mark.parametrize("shape", [(1, 1, 1), (5, 7, 3), (64, 64, 64), (70, 33, 129), (200, 65, 100), (0, 4, 4), (40, 0, 40)])
