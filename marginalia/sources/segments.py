@@ -72,6 +72,8 @@ class SegmentTables:
         table = "segments_" + hashlib.md5(f"{place} {columns} {key}".encode()).hexdigest()
         if not self.spark.catalog.tableExists(table):
             self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}, seq BIGINT) USING parquet PARTITIONED BY (seq) CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+            if self.spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive":  # which keeps a list of partitions
+                self.spark.catalog.recoverPartitions(table)
         return table
 
     def table(self, name: str, seqs: list[int] | None = None, gen: int | None = None) -> DataFrame:
