@@ -166,6 +166,8 @@ def _search(index_of, carry: list[str]):
                     found[r][i] = hit
             spans = [[{"item_id": index.ids[i], "begin": b, "stop": e, "edits": n} for i, (n, b, e) in sorted(f.items())] for f in found]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(spans, kind)], names=[*carry, "_found"])
+        del index
+        vectext.settle()
 
     return run
 

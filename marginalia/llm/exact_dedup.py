@@ -61,6 +61,7 @@ def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in vectext.parts(batches, "norm", 4 << 20):
         sums = pa.Table.from_batches([part]).group_by(["hash", "norm"]).aggregate([("doc_id", "min"), ("doc_id", "count", pc.CountOptions(mode="all"))])
         yield from sums.select(["hash", "norm", "doc_id_min", "doc_id_count"]).rename_columns(["hash", "norm", "keep_id", "n"]).to_batches()
+    vectext.settle()
 
 
 def gathered(entry: DataFrame, most: int = 64) -> DataFrame:

@@ -90,6 +90,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in vectext.parts(batches, "text", 1 << 19):
         for k in range(0, part.num_rows, 1 << 16):
             yield part.slice(k, 1 << 16)
+    vectext.settle()
 
 
 class Weights:

@@ -132,6 +132,7 @@ def _signed(sent, width: int, percent: int):
             k1, k2 = np.array(keys, np.int64).reshape(-1, 2).T
             columns = [part.column("doc_id"), pa.array(rows), part.column("t1"), part.column("t2"), pa.array(k1), pa.array(k2), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "t1", "t2", "k1", "k2", "n", "bits", "prefix"])
+        vectext.settle()
 
     return run
 
@@ -417,6 +418,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             both = np.array([len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y, strict=True)], np.int64)
             out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(both), pa.array(size - both)], names=["a", "b", "overlap", "total"])
             yield out.filter(pa.array(100 * both >= percent * (size - both)))
+        vectext.settle()
 
     x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     y = x.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")

@@ -6,7 +6,9 @@ sliding minima are NumPy passes over that buffer, so no per-word Python object i
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,13 @@ def parts(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -
         yield from _cut(pa.concat_batches(held) if len(held) > 1 else held[0], column, most)
 
 
+def settle() -> None:
+    """Give memory that this worker no longer uses back to the machine; a worker is kept for later tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _cut(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     _, at = text_bytes(batch.column(column))
     begin = 0
