@@ -88,9 +88,10 @@ def test_line_dedup(spark):
     assert sum(r["kept"] for r in lines.collect()) == len(set(got.values()))
 
 
-@pytest.mark.parametrize("least", [2, 10**9])
-def test_line_dedup_against_brute_force(spark, monkeypatch, least):
-    """Short and long lines, groups of near copies and chains; with all keys heavy and with none."""
+@pytest.mark.parametrize(("least", "most"), [(2, 256), (10**9, 256), (2, 8)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, least, most):
+    """Short and long lines, groups of near copies and chains; with all keys heavy and with none; buckets whole and split."""
+    monkeypatch.setattr(line_dedup, "rest_pairs", lambda *a, f=line_dedup.rest_pairs: f(*a, most))
     rng = random.Random(9)
     lines = {f"short line a{i:02d}" for i in range(40)} | {f"n{i}" for i in range(30)} | {f"number {i:04d} of a group" for i in range(0, 300, 7)}
     for _ in range(60):
@@ -109,6 +110,26 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, least):
     assert len(set(want.values())) < len(lines) - 90 and found.count() < len(links)
 
 
+def test_line_dedup_rests_keep_all_close_pairs(spark):
+    """Every pair within the budget shares a bucket after each split, and lines that share most of their text do not all meet."""
+    rng = random.Random(12)
+    lines = sorted({f"https://www.example.org/items/{rng.randrange(10**12):012d}" for _ in range(600)})
+    twins = [x[:-5] + ("z" if k % 2 else "") + x[-4:] for k, x in enumerate(lines[:40])]
+    every = list(enumerate([*lines, *twins]))
+    df = spark.createDataFrame(every, "line_id long, line string")
+    points, at = line_dedup.points_of(pa.array([x for _, x in every]))
+    row, key, role = line_dedup.tuples(points, at, 2, 10)
+    mark = line_dedup.marks(line_dedup.letter_counts(points, at)[row], role)
+    sub = [(int(k.view(np.int64)), int(r), int(r), m.tobytes()) for g in range(5) for r, k, m in zip(row, vectext.mix(key + (line_dedup.letter_counts(points, at)[row] & line_dedup.share_mask(g, 5)) * line_dedup._A + line_dedup.nth(g)), mark, strict=True)]
+    member = spark.createDataFrame(sub, "bucket long, node long, root long, mark binary")
+    got = {(r["a"], r["b"]) for r in line_dedup.rest_pairs(member, df, 2, 10, 40).collect()}
+    whole = {(r["a"], r["b"]) for r in line_dedup.graph.pairs_apart(member, line_dedup._worth(2)).collect()}
+    assert {(k, len(lines) + k) for k in range(40)} <= got and got <= whole and len(got) < len(whole) / 4
+    left = [(every[a][1], every[b][1]) for a, b in whole - got if abs(len(every[a][1]) - len(every[b][1])) <= 2]
+    close = [x for k in range(0, len(left), 512) if (x := int((line_dedup.banded_distances(*map(list, zip(*left[k : k + 512], strict=True)), 2) <= 2).sum()))]
+    assert not close
+
+
 def test_line_dedup_long_lines(spark):
     """Lines of a megabyte that differ at both ends are compared whole."""
     words = " ".join(f"w{i}" for i in range(150_000))
