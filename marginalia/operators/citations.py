@@ -130,5 +130,9 @@ def renumber_citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
 def issue_report(issues: DataFrame) -> DataFrame:
     """answer_id, report: one line an issue, in order."""
-    line = F.format_string("[%s] [%s] %s %.2f", "severity", "ref_id", "reason", "score")
+    # A tie of the third digit goes by the binary value, as C's printf has it; Java's rounds the decimal digits up.
+    ties = F.array(*[F.lit(f"{(2 * n + 1) / 200:.2f}") for n in range(100)])
+    tie = F.col("score").between(0, 1) & (F.round("score", 3) == F.col("score")) & (F.round(F.col("score") * 1000) % 10 == 5)
+    score = F.when(tie, F.get(ties, F.floor(F.round(F.col("score") * 1000) / 10).cast("int"))).otherwise(F.format_string("%.2f", "score"))
+    line = F.format_string("[%s] [%s] %s %s", "severity", "ref_id", "reason", score)
     return issues.groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref_id", line.alias("x")))), lambda v: v.x), "\n").alias("report"))

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.operators import citations
 
 
 def test_case_letter_by_letter(spark):
@@ -15,3 +16,13 @@ def test_case_letter_by_letter(spark):
     c = duckdb.connect()
     assert got.pop(-1) == (None, None)
     assert got == {i: c.execute("SELECT upper(?), lower(?)", [t, t]).fetchone() for i, t in enumerate(texts)}
+
+
+def test_report_rounds_ties_as_sql(spark):
+    """issue_report: 1/8 is a tie in binary and goes to the even digit; other scores go by their binary value."""
+    scores = sorted({round(n / m, 6) for m in range(1, 16) for n in range(m + 1)} | {(2 * n + 1) / 200 for n in range(100)} | {0.0, 1.0, 0.994999, 0.125001})
+    issues = spark.createDataFrame([(i, 0, "1", "WARNING", "unsupported", s) for i, s in enumerate(scores)], "answer_id long, pos long, ref_id string, severity string, reason string, score double")
+    got = {r["answer_id"]: r["report"] for r in citations.issue_report(issues).collect()}
+    assert got[scores.index(0.125)].endswith(" 0.12")
+    c = duckdb.connect()
+    assert got == {i: c.execute("SELECT format('[{}] [{}] {} {:.2f}', 'WARNING', '1', 'unsupported', ?::DOUBLE)", [s]).fetchone()[0] for i, s in enumerate(scores)}
