@@ -120,3 +120,27 @@ def test_ingest_replaces_in_segments(spark, tmp_path):
     store.compact()
     assert rows_of(store.read("corpus", jobs.CORPUS)) == [("a", ".txt", 0, "eight"), ("c", ".txt", 0, "seven"), ("d", ".md", 0, "nine")]
     assert store.applied(str(tmp_path / "check"), 0) and not store.applied(str(tmp_path / "other"), 0)
+
+
+def test_search_by_document(spark, tmp_path, monkeypatch):
+    """The best of a task equal the best of all scores, in small blocks, with any floor, many segments and a null id; no score is shuffled but the best."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from marginalia.operators import index, stored_index
+
+    rng = np.random.default_rng(4)
+    texts = [(i if i else None, " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 60)) if x < 400)) for i in range(300)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    queries = spark.createDataFrame([(f"q{i}", " ".join(f"w{x}" for x in rng.integers(1, 60, 8)) + " w1 w1") for i in range(9)] + [("none", "zzz"), ("no text", None)], "query_id string, text string")
+    store = stored_index.StoredIndex(spark, f"file://{tmp_path}/by-document", buckets=3)
+    store.add(df)
+    for block, floor in ((1 << 21, 0.1), (40, 0.1), (40, -9.0)):
+        monkeypatch.setattr(stored_index, "BLOCK", block)
+        found = store.topk(queries, 7, floor)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "keys=[query_id" not in plan.split("MapInArrow")[0]
+        want = index.best(store.score(queries).filter(F.col("score") >= floor), 7)
+        key = lambda r: (r["query_id"], r["id"], round(r["score"], 5), r["rank"])
+        assert sorted(map(key, found.collect()), key=repr) == sorted(map(key, want.collect()), key=repr)
+        store.add(df.filter("id % 3 = 1").withColumn("text", F.concat("text", F.lit(" w2 w3"))), df.filter("id % 7 = 2").select("id"))
