@@ -144,3 +144,16 @@ def test_search_by_document(spark, tmp_path, monkeypatch):
         key = lambda r: (r["query_id"], r["id"], round(r["score"], 5), r["rank"])
         assert sorted(map(key, found.collect()), key=repr) == sorted(map(key, want.collect()), key=repr)
         store.add(df.filter("id % 3 = 1").withColumn("text", F.concat("text", F.lit(" w2 w3"))), df.filter("id % 7 = 2").select("id"))
+
+
+def test_all_terms_by_the_rarest(spark):
+    """Only documents with the rarest term of a query meet its other terms; an unknown term leaves nothing, a null id is an id."""
+    from marginalia.operators import index
+
+    texts = [(i if i else None, "a b" + " c" * (i % 2) + (" d" if i % 10 == 0 else "")) for i in range(60)]
+    built = index.build_bm25(spark.createDataFrame(texts, "id long, text string"))
+    queries = spark.createDataFrame([(1, "a d"), (2, "b c a a"), (3, "a x"), (4, "")], "query_id long, text string")
+    found = index.fulltext_and(queries, built, 50)
+    assert "_term" in found._jdf.queryExecution().executedPlan().toString()
+    got = {q: [r["id"] for r in sorted((r for r in found.collect() if r["query_id"] == q), key=lambda r: r["rank"])] for q in (1, 2, 3, 4)}
+    assert got == {1: [None, 10, 20, 30, 40, 50], 2: list(range(1, 60, 2)), 3: [], 4: []}
