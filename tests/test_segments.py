@@ -157,3 +157,9 @@ def test_all_terms_by_the_rarest(spark):
     assert "_term" in found._jdf.queryExecution().executedPlan().toString()
     got = {q: [r["id"] for r in sorted((r for r in found.collect() if r["query_id"] == q), key=lambda r: r["rank"])] for q in (1, 2, 3, 4)}
     assert got == {1: [None, 10, 20, 30, 40, 50], 2: list(range(1, 60, 2)), 3: [], 4: []}
+
+
+def test_streams_have_as_many_buckets_as_shuffles(spark, tmp_path):
+    from marginalia.streaming import jobs
+
+    assert jobs.Versions(spark, f"file://{tmp_path}/versions").buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
