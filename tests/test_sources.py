@@ -89,6 +89,16 @@ def test_rule_hits_in_the_same_pass(spark, tmp_path):
     assert tx.rule_hits(cleaned)._jdf.queryExecution().executedPlan().toString().count("Scan ") == 1
 
 
+def test_rule_hits_search_each_text_once(spark):
+    """Each rule searches a text once, and nothing below the count of hits cleans it for a filter."""
+    df = spark.createDataFrame([("RN(7) and RN(8) x\n@a (Page#2)====== b",), (None,), ("",)], "text string").repartition(2)
+    found = tx.rule_hits(tx.cleaned_with_hits(df))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(tx.NOISE[0]) == 1 and plan.count("={5,}") == 1
+    hits = {r["rule"]: (r["hits"], r["n_docs"]) for r in found.collect()}
+    assert (hits["noise_00"], hits["noise_03"], hits["noise_05"], hits["noise_10"]) == ((2, 1), (1, 1), (1, 1), (0, 0)) and len(hits) == len(tx.NOISE)
+
+
 def test_indented_headings_and_document_ordinals(spark):
     body = "word " * 300
     df = spark.createDataFrame([(1, "d", f"open {body}\n  # A\n{body}\n\t## B\n{body}")], "id long, doc string, text string")
