@@ -32,12 +32,11 @@ def fact_terms(sentence: Column, most: int = 15) -> Column:
     return F.slice(F.filter(F.array_distinct(F.concat(quoted, numbers, names)), lambda t: (F.length(t) >= 2) & ~F.array_contains(skip, t)), 1, most)
 
 
-def _supported(df: DataFrame) -> DataFrame:
-    """Adds score and unmatched to rows with _all, hard terms, and _hit, those that the source has; drops both."""
+def _score(terms: Column, hit: Column) -> Column:
+    """Support of a sentence with these hard terms by a source that has those of hit."""
     core = lambda t: (F.length(t) >= 3) | F.contains(t, F.lit("·"))
-    n_core, hit_core = F.size(F.filter("_all", core)), F.size(F.filter("_hit", core))
-    score = F.when(F.size("_all") == 0, 1.0).when(hit_core > 0, F.greatest(F.lit(0.5), hit_core / n_core)).otherwise(F.size("_hit") / F.size("_all"))
-    return df.withColumn("score", F.round(score, 6)).withColumn("unmatched", F.array_except("_all", "_hit")).drop("_all", "_hit")
+    n_core, hit_core = F.size(F.filter(terms, core)), F.size(F.filter(hit, core))
+    return F.round(F.when(F.size(terms) == 0, 1.0).when(hit_core > 0, F.greatest(F.lit(0.5), hit_core / n_core)).otherwise(F.size(hit) / F.size(terms)), 6)
 
 
 def _hard(terms: Column) -> Column:
@@ -47,7 +46,8 @@ def _hard(terms: Column) -> Column:
 def citation_support(df: DataFrame, terms: str = "terms", content: str = "content") -> DataFrame:
     """Adds score and unmatched: the share of hard terms that the source has; core terms (three characters or more, or with ·) count first."""
     df = df.withColumn("_all", _hard(F.col(terms)))
-    return _supported(df.withColumn("_hit", F.filter("_all", lambda t: F.contains(F.col(content), t))))
+    df = df.withColumn("_hit", F.filter("_all", lambda t: F.contains(F.col(content), t)))
+    return df.withColumn("score", _score(F.col("_all"), F.col("_hit"))).withColumn("unmatched", F.array_except("_all", "_hit")).drop("_all", "_hit")
 
 
 def citation_missing(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -63,20 +63,20 @@ def verify_citations(answers: DataFrame, sources: DataFrame, threshold: float =
     """
     relation = F.exists(F.array(*[F.lit(w) for w in RELATION]), lambda w: F.contains(F.col("answer"), w))
     limit = F.when(relation, F.greatest(F.lit(0.15), F.lit(threshold - 0.1))).otherwise(F.lit(threshold))
-    known = sources.select("answer_id", F.col("ref_id").cast("string").alias("ref_id"), F.coalesce("content", F.lit("")).alias("content"), F.lit(True).alias("known"))
+    text = F.coalesce("content", F.lit(""))
+    known = sources.select("answer_id", F.col("ref_id").cast("string").alias("ref_id"), text.alias("content"), (F.length(tx.trimmed(text)) < 20).alias("short"))
     cited = cited_sentences(answers.select("answer_id", "answer", limit.alias("limit")), "limit").withColumn("_all", _hard(extractor(F.col("sentence"))))
-    # A source meets the sentences that cite it once, as a group; its text is gone before they are rows again.
+    # A source meets the sentences that cite it once, as a group. All that asks its text is done there: what is
+    # asked of it after the sentences are rows again is asked for each of them, with a copy of the text.
     met = cited.groupBy("answer_id", "ref_id").agg(F.first("limit").alias("limit"), F.collect_list(F.struct("pos", "sentence", "_all")).alias("cites")).join(known, ["answer_id", "ref_id"], "left")
-    found = F.transform("cites", lambda s: F.struct(s.pos.alias("pos"), s.sentence.alias("sentence"), s._all.alias("_all"), F.filter(s._all, lambda t: F.contains(F.col("content"), t)).alias("_hit")))
-    short = F.length(tx.trimmed(F.col("content"))) < 20
-    met = met.select("answer_id", "ref_id", "limit", "known", short.alias("short"), F.explode(found).alias("s"))
-    judged = _supported(met.select("answer_id", "ref_id", "limit", "known", "short", "s.*"))
+    checked, none = F.coalesce(~F.col("short"), F.lit(False)), F.array().cast("array<string>")
+    hits = F.transform("cites", lambda s: F.struct(s.pos.alias("pos"), s.sentence.alias("sentence"), s._all.alias("_all"), F.when(checked, F.filter(s._all, lambda t: F.contains(F.col("content"), t))).otherwise(none).alias("_hit")))
+    judged = F.transform(hits, lambda s: F.struct(s.pos.alias("pos"), s.sentence.alias("sentence"), F.when(checked, _score(s._all, s._hit)).otherwise(0.0).alias("score"), F.when(checked, F.array_except(s._all, s._hit)).otherwise(none).alias("unmatched")))
+    found = met.select("answer_id", "ref_id", "short", F.explode(F.filter(judged, lambda s: ~checked | (s.score < F.col("limit")))).alias("s"))
     short = F.col("short")
-    severity = F.when(F.col("known").isNull(), "CRITICAL").when(short, "WARNING").when(F.col("score") < 0.1, "CRITICAL").otherwise("WARNING")
-    reason = F.when(F.col("known").isNull(), "unknown").when(short, "short").otherwise("unsupported")
-    checked = F.col("known").isNotNull() & ~short
-    return judged.filter(~checked | (F.col("score") < F.col("limit"))).select(
-        "answer_id", "pos", "ref_id", "sentence", severity.alias("severity"), F.when(checked, F.col("score")).otherwise(0.0).alias("score"), reason.alias("reason"), F.when(checked, F.col("unmatched")).otherwise(F.array().cast("array<string>")).alias("unmatched"))
+    severity = F.when(short.isNull(), "CRITICAL").when(short, "WARNING").when(F.col("s.score") < 0.1, "CRITICAL").otherwise("WARNING")
+    reason = F.when(short.isNull(), "unknown").when(short, "short").otherwise("unsupported")
+    return found.select("answer_id", "s.pos", "ref_id", "s.sentence", severity.alias("severity"), "s.score", reason.alias("reason"), "s.unmatched")
 
 
 def repair_citations(answers: DataFrame, sources: DataFrame, issues: DataFrame, least: float = 0.5, extractor=fact_terms) -> DataFrame:

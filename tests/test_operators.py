@@ -9,6 +9,7 @@ from marginalia.functions import text as tx
 from marginalia.functions import vectors as vf
 from marginalia.operators import chunking, citations, evaluation, fusion, history, index, routing, structure
 from marginalia.operators import vector_search as vs
+from marginalia.plans import answer_queries
 from marginalia.sources import files
 from marginalia.streaming import jobs
 
@@ -265,3 +266,14 @@ def test_containing(spark):
     asked = [(1, "a b c d e"), (2, "c d"), (3, "b\nc d e f"), (4, ""), (5, None), (6, "a  b c d"), (7, "b c d e f g h"), (8, "é b c d é")]
     got = evaluation.containing(spark.createDataFrame(asked, "query_id long, text string"), spark.createDataFrame(bodies, "id long, body string")).collect()
     assert sorted(map(tuple, got)) == [(q, i) for q, t in asked for i, b in bodies if t is not None and b is not None and t in b]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_verified_rows_carry_no_source_text(spark, small):
+    """What is asked of a source's text is asked once, below the step that makes rows of the sentences that cite it."""
+    plan = _plan(answer_queries.issues(spark, small)).split("\n")
+    rows = next(k for k, line in enumerate(plan) if "Generate explode(" in line)
+    assert not any("content" in line for line in plan[:rows]) and "content" in "".join(plan[rows:])
