@@ -82,13 +82,14 @@ def verify_citations(answers: DataFrame, sources: DataFrame, threshold: float =
 def repair_citations(answers: DataFrame, sources: DataFrame, issues: DataFrame, least: float = 0.5, extractor=fact_terms) -> DataFrame:
     """answer_id, ref_id, new_id: for critical ids, the other source with the largest share of the terms of the first sentence that cites it."""
     critical = issues.filter("severity = 'CRITICAL'").select("answer_id", "ref_id").distinct()
-    first = cited_sentences(answers).join(critical, ["answer_id", "ref_id"]).groupBy("answer_id", "ref_id").agg(F.min_by("sentence", "pos").alias("sentence"))
-    terms = first.withColumn("terms", extractor(F.col("sentence"))).filter(F.size("terms") > 0)
+    # First sentences before the join: map-side minima, so that the others are not shuffled.
+    first = cited_sentences(answers).groupBy("answer_id", "ref_id").agg(F.min_by("sentence", "pos").alias("sentence"))
+    terms = first.join(critical, ["answer_id", "ref_id"]).withColumn("terms", extractor(F.col("sentence"))).filter(F.size("terms") > 0)
     other = sources.select("answer_id", F.col("ref_id").cast("string").alias("new_id"), "content")
     share = F.round(F.size(F.filter("terms", lambda t: F.contains(F.col("content"), t))) / F.size("terms"), 6)
-    tried = terms.join(other, "answer_id").filter("new_id != ref_id").withColumn("share", share).filter(F.col("share") >= least)
+    tried = terms.join(other, "answer_id").filter("new_id != ref_id").select("answer_id", "ref_id", "new_id", share.alias("share"))
     w = Window.partitionBy("answer_id", "ref_id").orderBy(F.col("share").desc(), F.col("new_id").cast("long"))
-    return tried.withColumn("n", F.row_number().over(w)).filter("n = 1").select("answer_id", "ref_id", "new_id")
+    return tried.withColumn("n", F.row_number().over(w)).filter((F.col("n") == 1) & (F.col("share") >= least)).select("answer_id", "ref_id", "new_id")
 
 
 def sanitize_answers(answers: DataFrame, issues: DataFrame, repairs: DataFrame) -> DataFrame:

@@ -277,3 +277,11 @@ def test_verified_rows_carry_no_source_text(spark, small):
     plan = _plan(answer_queries.issues(spark, small)).split("\n")
     rows = next(k for k, line in enumerate(plan) if "Generate explode(" in line)
     assert not any("content" in line for line in plan[:rows]) and "content" in "".join(plan[rows:])
+
+
+def test_repair_reads_each_source_once(spark, small):
+    """A share is computed once, and first sentences are found before the join with critical ids."""
+    issues = spark.createDataFrame([(1, "4", "CRITICAL")], "answer_id long, ref_id string, severity string")
+    plan = _plan(citations.repair_citations(answer_queries.answers(spark, small), answer_queries.sources(spark, small), issues))
+    assert plan.count("filter(terms") == 1
+    assert plan.index("LeftSemi" if "LeftSemi" in plan else "Join Inner, ((answer_id") < plan.index("min_by(")
