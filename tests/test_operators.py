@@ -285,3 +285,8 @@ def test_repair_reads_each_source_once(spark, small):
     plan = _plan(citations.repair_citations(answer_queries.answers(spark, small), answer_queries.sources(spark, small), issues))
     assert plan.count("filter(terms") == 1
     assert plan.index("LeftSemi" if "LeftSemi" in plan else "Join Inner, ((answer_id") < plan.index("min_by(")
+
+
+def test_sanitize_finds_issues_once(spark, small):
+    """The issues are kept; of the plan that remains, only the repair cuts answers into sentences."""
+    assert _plan(answer_queries.citation_sanitize(spark, small)).count("posexplode(split(answer") == 1
