@@ -20,8 +20,8 @@ Buckets that still hold many lines of other classes than their largest are split
 the shared segment: that rest is within the same budget, so it is cut into segments again, round by round (`rest_pairs`).
 
 Result: one row per line of each document with its class, the first line (by doc_id, place) of which
-stays, and n_links, the verified links of its text that join the class (links with leaders and between
-classes; other pairs within a class are implied). Lines are known by 96 bits of hash; the edit join
+stays, and n_links, how many different lines are within its text's budget. Links with leaders and between classes
+make the classes; as no link leaves a class, all are then counted within these (`count_links`). Lines are known by 96 bits of hash; the edit join
 groups and compares the lines themselves.
 
 Defined results: null and blank texts and lines have no row; a null doc_id sorts last; of the places of a
@@ -301,25 +301,105 @@ def trimmed(x: str, y: str, edits: int) -> tuple[str, str]:
     return x[k : len(x) - e], y[k : len(y) - e]
 
 
-def _verify(edits: int, per_edit: int, cells: int = 1 << 20):
+def distances(both: list[tuple[str, str]], edits: int, cells: int = 1 << 20) -> np.ndarray:
+    """Edit distances of pairs; edits + 1 where larger. Like lengths together, in matrices of bounded size."""
+    both = [trimmed(x, y, edits) for x, y in both]
+    wide = np.array([max(len(x), len(y)) for x, y in both])
+    order, got, k = np.argsort(wide, kind="stable"), np.zeros(len(both), np.int64), 0
+    while k < len(order):
+        n = max(1, min(512, cells // (int(wide[order[min(k + 511, len(order) - 1)]]) + 16)))
+        o = order[k : k + n]
+        got[o] = banded_distances([both[i][0] for i in o], [both[i][1] for i in o], edits)
+        k += n
+    return got
+
+
+def _verify(edits: int, per_edit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in vectext.parts(batches, "x", 1 << 18):
             both = list(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True))
             most = budget(np.array([min(len(x), len(y)) for x, y in both]), edits, per_edit)
-            both = [trimmed(x, y, edits) for x, y in both]
-            wide = np.array([max(len(x), len(y)) for x, y in both])
-            order, got, k = np.argsort(wide, kind="stable"), np.zeros(len(both), np.int64), 0
-            while k < len(order):  # like lengths together, in matrices of bounded size
-                n = max(1, min(512, cells // (int(wide[order[min(k + 511, len(order) - 1)]]) + 16)))
-                o = order[k : k + n]
-                got[o] = banded_distances([both[i][0] for i in o], [both[i][1] for i in o], edits)
-                k += n
+            got = distances(both, edits)
             out = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(got)], names=["a", "b", "edits"])
             yield out.filter(pa.array(got <= most))
 
     return run
 
 
+_GROUP = ("root", "share", "key", "p", "q")
+
+
+def _by_share(edits: int):
+    """Lines of large classes once for each share of their letter counts; the others once, as share -1."""
+    shares = 2 * edits + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in vectext.parts(batches, "line", 1 << 20):
+            large = part.column("large").to_numpy(zero_copy_only=False).astype(bool)
+            letters = letter_counts(*points_of(part.column("line")))
+            row = np.concatenate((np.flatnonzero(~large), np.repeat(np.flatnonzero(large), shares)))
+            share = np.concatenate((np.full(int((~large).sum()), -1), np.tile(np.arange(shares), int(large.sum()))))
+            key = np.where(share < 0, U64(0), letters[row] & np.array([*(share_mask(g, shares) for g in range(shares)), U64(0)], U64)[share])
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column("root").take(take), pa.array(share, pa.int32()), pa.array(key.view(np.int64)), part.column("node").take(take), part.column("line").take(take)], names=["root", "share", "key", "node", "line"])
+
+    return run
+
+
+def _link_counts(edits: int, per_edit: int):
+    """(node, n_links) of groups (root, share, key, p, q) in sorted partitions: the links of each line within its group."""
+    shares = 2 * edits + 1
+
+    def counts(part: pa.RecordBatch) -> pa.RecordBatch:
+        n, lines, (points, at) = part.num_rows, part.column("line").to_pylist(), points_of(part.column("line"))
+        letters, size, found = letter_counts(points, at), np.diff(at), np.zeros(part.num_rows, np.int64)
+        share, p, q, block = (part.column(c).to_numpy() for c in ("share", "p", "q", "block"))
+        new = np.ones(n, bool)
+        new[1:] = np.logical_or.reduce([(x := part.column(c).to_numpy())[1:] != x[:-1] for c in _GROUP])
+        begin = np.flatnonzero(new)
+        rest = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n))) - np.arange(n) - 1
+        done, lo = np.cumsum(rest), 0
+        while lo < n:
+            base = done[lo] - rest[lo]
+            hi = max(lo + 1, int(np.searchsorted(done, base + (1 << 18), "right")))
+            i = np.repeat(np.arange(lo, hi), rest[lo:hi])
+            j = i + 1 + np.arange(len(i)) - np.repeat(done[lo:hi] - rest[lo:hi] - base, rest[lo:hi])
+            keep = ((p[i] == q[i]) | (block[i] != block[j])) & (np.abs(size[i] - size[j]) <= edits) & close(letters[i], letters[j], edits)
+            i, j = i[keep], j[keep]
+            differ = letters[i] ^ letters[j]
+            first = np.ones(len(i), bool)  # a pair counts at the first share in which it agrees
+            for g in range(shares - 1):
+                first &= (share[i] <= g) | (differ & share_mask(g, shares) != 0)
+            i, j = i[first], j[first]
+            for k in range(0, len(i), 1 << 13):
+                a, b = i[k : k + (1 << 13)], j[k : k + (1 << 13)]
+                ok = distances([(lines[x], lines[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)], edits) <= budget(np.minimum(size[a], size[b]), edits, per_edit)
+                found += np.bincount(a[ok], minlength=n) + np.bincount(b[ok], minlength=n)
+            lo = hi
+        return pa.RecordBatch.from_arrays([part.column("node"), pa.array(found)], names=["node", "n_links"]).filter(pa.array(found > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < 1 << 12 and sum(b.nbytes for b in held) < 1 << 21:
+                continue
+            part = pa.concat_batches(held)
+            last = np.ones(part.num_rows, bool)
+            for c in _GROUP:
+                x = part.column(c).to_numpy()
+                last &= x == x[-1]
+            cut = part.num_rows - int(last.sum())
+            if cut:
+                yield counts(part.slice(0, cut))
+            held = [part.slice(cut)]
+        held = [b for b in held if b.num_rows]
+        if held:
+            yield counts(pa.concat_batches(held))
+
+    return run
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line of all lines that are not blank."""
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -466,6 +546,27 @@ def edit_links(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, per_par
     return links, roots
 
 
+def count_links(lines: DataFrame, roots: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 512, size: int = 1 << 20) -> DataFrame:
+    """(node, n_links) of lines(line_id, line) in roots(node, root), classes that no link leaves: how many other lines are within a line's budget.
+
+    All lines of a class meet. Those of classes over `block` lines meet only where they agree in a share of their
+    letter counts, as all pairs within max_edits do in one. Groups over `block` lines or `size` characters are
+    dealt in blocks, each pair of blocks a group, so pairs exist in no table; of those looked at by letter counts, only close ones are compared.
+    """
+    large = common.stored(roots.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("root", F.lit(True).alias("large")), "line-large-classes")
+    each = roots.join(common.small_side(large), "root", "left").select("node", "root", F.coalesce("large", F.lit(False)).alias("large"))
+    each = lines.select(F.col("line_id").alias("node"), "line").join(common.small_side(common.stored(each, "line-rooted")), "node")
+    member = each.select("root", "large", "node", "line").mapInArrow(_by_share(max_edits), "root long, share int, key long, node long, line string")
+    member = common.stored(member, "line-shares", "zstd")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum(F.length("line")) / size)).cast("int")
+    dealt = common.stored(member.groupBy("root", "share", "key").agg(parts.alias("parts")).filter("parts > 1"), "line-dealt")
+    met = member.join(common.small_side(dealt), ["root", "share", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = met.withColumn("block", F.pmod(F.xxhash64("node", F.lit(11)), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("root", "share", "key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "node", "line")
+    found = met.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_link_counts(max_edits, per_edit), "node long, n_links long")
+    return found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 def classify_lines(docs: DataFrame, max_edits: int = 2, per_edit: int = 10) -> tuple[DataFrame, DataFrame]:
     """(lines, links) of docs(doc_id, text).
 
@@ -477,8 +578,7 @@ def classify_lines(docs: DataFrame, max_edits: int = 2, per_edit: int = 10) -> t
     unique = found.filter(F.length("line") >= per_edit).groupBy("line").agg(F.lit(1).alias("n")).select("line", *names, F.monotonically_increasing_id().alias("line_id"))
     unique = common.stored(unique, "line-unique", "zstd")
     links, roots = edit_links(unique, max_edits, per_edit)
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    roots = common.stored(roots.join(ends, "node").select(F.col("node").alias("line_id"), "root", "n_links"), "line-classes")
+    roots = common.stored(roots.join(count_links(unique, roots, max_edits, per_edit), "node", "left").select(F.col("node").alias("line_id"), "root", "n_links"), "line-classes")
     known = common.stored(unique.select("line_id", "node", "node2").join(common.small_side(roots.select("line_id")), "line_id", "left_semi"), "line-known")
     named = roots.join(known, "line_id").join(known.select(F.col("line_id").alias("root"), F.col("node").alias("top"), F.col("node2").alias("top2")), "root")
     named = common.stored(named.select("node", "node2", "top", "top2", "n_links"), "line-named")

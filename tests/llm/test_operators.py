@@ -110,6 +110,17 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, least, most):
     assert len(set(want.values())) < len(lines) - 90 and found.count() < len(links)
 
 
+@pytest.mark.parametrize(("block", "size"), [(512, 1 << 20), (8, 1 << 20), (8, 150)])
+def test_line_dedup_counts_all_links(spark, monkeypatch, block, size):
+    """n_links is the number of different lines within the budget, in small classes, in large ones and in blocks of these."""
+    monkeypatch.setattr(line_dedup, "count_links", lambda *a, f=line_dedup.count_links: f(*a, block, size))
+    lines = sorted({f"number {i:04d} of a group" for i in range(0, 300, 7)} | {f"short line a{i:02d}" for i in range(40)} | {f"{'ab' * k} a tail {'xyz'[:k % 4]}" for k in range(4, 12)})
+    _, links = line_classes(lines, lambda n: min(2, n // 10))
+    want = Counter(x for pair in links for x in pair)
+    rows = line_dedup.classify_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)] * 2, "doc_id long, text string"))[0].collect()
+    assert {lines[r["doc_id"]]: r["n_links"] for r in rows} == {x: want[x] for x in lines} and max(want.values()) > 20
+
+
 def test_line_dedup_rests_keep_all_close_pairs(spark):
     """Every pair within the budget shares a bucket after each split, and lines that share most of their text do not all meet."""
     rng = random.Random(12)
