@@ -13,7 +13,7 @@
 4. Pairs that are left are verified by the exact overlap of the whole sets, made from the texts again.
 5. Links give classes as connected components. A bucket with more pairs left than `most` a member, as in a large group of
    near copies, first lets all members meet its middle ones (nearest to the majority of the bits). Once their links have merged
-   classes, it is traversed again, with four times the allowance, until it has no pair of different classes left that
+   classes, it is traversed again, with bitmaps eight times as wide and four times the allowance, until it has no pair of different classes left that
    wasn't verified. So no link between classes is lost, and a group of near copies stays linear.
 
 A bucket of over `block` members is dealt in blocks, each pair of blocks a tree of its own. Nothing is collected but counters of fixed size.
@@ -134,6 +134,19 @@ def _signed(sent, width: int, percent: int):
     return run
 
 
+def _wide(width: int):
+    """Bitmaps of 8 to 16 bits a shingle, for members of the buckets that are looked at again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in vectext.parts(batches, "text", PART):
+            sets = sets_of(part.column("text"), width)
+            n = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n, pa.int64()), pa.array([bitmap(s, 8 * bitmap_bits(len(s))) for s in sets], pa.binary())], names=["node", "n", "bits"])
+        vectext.settle()
+
+    return run
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (bucket, node) sorted by both: the distinct rows of buckets that hold several nodes."""
     last = None  # a row that may go on
@@ -388,7 +401,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, floor: float = 1e-3
     rows = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
     shared = common.stored(rows.mapInArrow(_shared, "bucket long, node long"), "ngram-buckets")
     marks = nodes.select("node", "n", "bits")
-    member, done, links, roots = shared.join(marks, "node").withColumn("root", F.col("node")), None, None, None
+    member, done, links, roots, wide = shared.join(marks, "node").withColumn("root", F.col("node")), None, None, None, None
     while True:
         found = common.stored(candidates(member, percent, most, leaders, block), "ngram-pairs")
         pairs = found.filter("not open").select("a", "b")
@@ -403,7 +416,12 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, floor: float = 1e-3
         open_ = common.stored(found.filter("open").select(F.col("a").alias("bucket")), "ngram-open")
         if not open_.limit(1).count():
             break
-        member = shared.join(common.small_side(open_), "bucket").join(marks, "node")
+        again = common.stored(shared.join(common.small_side(open_), "bucket"), "ngram-again")
+        if wide is None:  # later rounds look at fewer of these members
+            needed = common.stored(again.select("node").distinct().join(nodes.select("node", "t1", "t2"), "node"), "ngram-needed")
+            texts = docs.select("t1", "t2", "text").join(common.small_side(needed), ["t1", "t2"]).select("node", "text").dropDuplicates(["node"])
+            wide = common.stored(texts.mapInArrow(_wide(width), "node long, n long, bits binary"), "ngram-wide")
+        member = again.join(wide, "node")
         member = member.withColumn("root", F.col("node")) if roots is None else member.join(common.small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         most *= 4
     if links is None:

@@ -238,3 +238,28 @@ def test_equals_sql(spark, small, name):
     names = [x[0] for x in r.description]
     want = sorted(r.fetchall())
     assert sorted(tuple(x[k] for k in names) for x in QUERIES[name](spark, small).collect()) == want
+
+
+def test_ngram_large_group_below_the_threshold(spark, monkeypatch):
+    """Texts whose small bitmaps can't tell that they are too far apart are told by wide ones, not by their texts."""
+    from marginalia.llm import ngram_join
+
+    met, rng = [], random.Random(4)
+    texts = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(5, 115), 2):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *a: met.append(pairs.count()) or verified(pairs, *a))
+    rows = ngram_join.link(spark.createDataFrame([*enumerate(texts), (300, texts[7])], "doc_id long, text string"))[0].collect()
+    sets = [{tuple(x[k : k + 4]) for k in range(117)} for x in (t.split() for t in texts)]
+    top = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and top[i] != top[j]:
+                lo, hi = sorted((top[i], top[j]))
+                top = [lo if x == hi else x for x in top]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate([*top, top[7]]))
+    assert sum(met) < 5000
