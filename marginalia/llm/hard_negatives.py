@@ -2,12 +2,13 @@
 
 1. Rows become tiles: up to TILE vectors of a partition, sorted by label, as one binary matrix of the
    narrowest integer type. Anchors become tiles of their own. Nothing is shuffled to make them.
-2. Anchor tiles meet candidate tiles in blocks: candidate tiles are dealt into groups, anchor tiles are
-   copied to each group, so that a task streams pairs of tiles of a few hundred kB.
+2. Anchor tiles are dealt into slices, candidate tiles into groups; each pair of a slice and a group is a cell,
+   in the shape that copies the fewest tiles. Cells are shuffled, never joined, so that no copy goes through the
+   driver. A task holds a cell's anchor tiles and streams its candidate tiles past them.
 3. Two tiles are multiplied by Strassen's recursion: odd sides get a zero row or column, seven products
    of halves replace eight, down to LEAF. All sums are int64 sums; they wrap modulo 2**64, so a score is
    exact whenever it fits in a long, whatever the intermediate sums do.
-4. First pass: tiles that share a label (joined by it). Each anchor keeps a heap of its best rows of the
+4. First pass: rows of two tiles that share a label. Each anchor keeps a heap of its best rows of the
    same label. Second pass: all pairs of tiles, but those of one and the same label; each anchor and
    positive keeps a heap of the best rows of other labels within its window. Both passes together multiply
    an anchor about once with each row.
@@ -23,7 +24,8 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from . import common
 TILE, LEAF = 256, 32
 #: Sorts a null id behind all others.
 LAST = np.iinfo(np.int64).max
-_TILES = "tile long, ids binary, labels binary, kinds array<long>, dim int, width int, vectors binary"
+_TILES = "tile long, ids binary, labels binary, dim int, width int, vectors binary"
 
 
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
@@ -101,8 +103,8 @@ def tiles(rows: DataFrame, size: int = TILE, factor: int = 256) -> DataFrame:
             while n - lo >= size or (last and n > lo):
                 cut = slice(lo, min(lo + size, n))
                 w = _width(m[cut])
-                one = ([number], [ids[cut].tobytes()], [labels[cut].tobytes()], [np.unique(labels[cut]).tolist()], [dim], [w], [m[cut].astype(f"i{w}").tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["tile", "ids", "labels", "kinds", "dim", "width", "vectors"])
+                one = ([number], [ids[cut].tobytes()], [labels[cut].tobytes()], [dim], [w], [m[cut].astype(f"i{w}").tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["tile", "ids", "labels", "dim", "width", "vectors"])
                 number, lo = number + 1, cut.stop
             held, n = ([(ids[lo:], labels[lo:], m[lo:])], n - lo) if n > lo else ([], 0)
 
@@ -122,12 +124,15 @@ def tiles(rows: DataFrame, size: int = TILE, factor: int = 256) -> DataFrame:
 
 
 class Side:
-    """A tile from columns of a batch of pairs."""
+    """A tile from row i of a batch; as copies, if it outlives the batch."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, prefix: str) -> None:
-        got = lambda c: batch.column(prefix + c)[i]
-        self.ids, self.labels = (np.frombuffer(got(c).as_buffer(), np.int64) for c in ("ids", "labels"))
-        self.m = np.frombuffer(got("vectors").as_buffer(), f"i{got('width').as_py()}").reshape(len(self.ids), got("dim").as_py())
+    def __init__(self, batch: pa.RecordBatch, i: int, own: bool = False) -> None:
+        got = lambda c: batch.column(c)[i]
+        kept = lambda m: m.copy() if own else m
+        self.tile = got("tile").as_py()
+        self.ids, self.labels = (kept(np.frombuffer(got(c).as_buffer(), np.int64)) for c in ("ids", "labels"))
+        self.m = kept(np.frombuffer(got("vectors").as_buffer(), f"i{got('width').as_py()}")).reshape(len(self.ids), got("dim").as_py())
+        self.kinds = np.unique(self.labels)
 
     def part(self, label: int) -> slice:
         return slice(int(np.searchsorted(self.labels, label)), int(np.searchsorted(self.labels, label, "right")))
@@ -160,30 +165,51 @@ class Heaps:
         self.floor[slot[full]] = score[full]
 
 
-#: Anchor tiles whose heaps a task holds at once.
-OPEN_TILES = 64
+#: Anchor tiles that a slice has on average at most; pairs of tiles that a cell should have at most.
+OPEN_TILES, CELL_TILES = 64, 1 << 14
 
 
-def _heaps(keep: int, scored, slots):
-    """For sorted pairs of tiles: heaps of what scored(batch, i, heaps) gives, one row an entry."""
+def _grid(n_a: int, n_c: int, cells: int) -> tuple[int, int]:
+    """(slices of anchor tiles, groups of candidate tiles), about `cells` cells: an anchor tile is copied to each group, a candidate tile to each slice."""
+    cells = max(min(cells, n_a * n_c), -(-n_a * n_c // CELL_TILES))
+    slices = max(1, min(n_a, round(math.sqrt(cells * n_a / max(1, n_c)))), -(-n_a // OPEN_TILES))
+    return slices, max(1, min(n_c, -(-cells // slices)))
+
+
+def _cells(a: DataFrame, c: DataFrame, slices: int, groups: int) -> DataFrame:
+    """Tiles with their cell: each task has whole cells one after another, the anchor tiles of a cell (side 0) before its candidate tiles (side 1)."""
+    dealt = lambda n: F.pmod(F.xxhash64("tile"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_to")
+    asked = a.select("*", each(groups)).withColumn("cell", dealt(slices) * groups + F.col("_to")).withColumn("side", F.lit(0))
+    met = c.select("*", each(slices)).withColumn("cell", F.col("_to") * groups + dealt(groups)).withColumn("side", F.lit(1))
+    both = asked.drop("_to").unionByName(met.drop("_to"), allowMissingColumns=True)
+    # The number is given, else few large tasks are made of cells that are small, but much work.
+    return both.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "side")
+
+
+def _heaps(keep: int, per: int, opened: Callable, scored: Callable):
+    """Of cells: heaps, `per` an anchor, of what scored(anchor tile, what opened(batch, i) gives of it, candidate tile, heaps) merges; one row an entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Heaps] = {}
+        cell, held = None, []
 
-        def out(tile: int) -> pa.RecordBatch:
-            h = held.pop(tile)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h.slot), tile)), pa.array(h.slot), pa.array(h.score), pa.array(h.id)], names=["tile", "slot", "score", "id"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for a, _, h in held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h.slot), a.tile)), pa.array(h.slot), pa.array(h.score), pa.array(h.id)], names=["tile", "slot", "score", "id"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                tile = batch.column("a_tile")[i].as_py()
-                if tile not in held:
-                    if len(held) >= OPEN_TILES:
-                        yield out(next(iter(held)))
-                    held[tile] = Heaps(slots(batch, i), keep)
-                scored(batch, i, held[tile])
-        for tile in list(held):
-            yield out(tile)
+                if (own := batch.column("cell")[i].as_py()) != cell:
+                    yield from out()
+                    cell, held = own, []
+                if batch.column("side")[i].as_py() == 0:
+                    a = Side(batch, i, True)
+                    held.append((a, opened(batch, i), Heaps(len(a.ids) * per, keep)))
+                    continue
+                c = Side(batch, i)
+                for a, more, h in held:
+                    scored(a, more, c, h)
+        yield from out()
 
     return run
 
@@ -198,23 +224,26 @@ def _best(heaps: DataFrame, keep: int) -> DataFrame:
 
 
 def _positives(keep: int):
-    def scored(batch: pa.RecordBatch, i: int, heaps: Heaps) -> None:
-        a, c = Side(batch, i, "a_"), Side(batch, i, "c_")
-        label = batch.column("kind")[i].as_py()
-        own, other = a.part(label), c.part(label)
-        s = products(a.m[own], c.m[other])
-        row, col = np.nonzero(s >= heaps.floor[own, None])
-        heaps.merge(row + own.start, s[row, col], c.ids[other][col])
+    def scored(a: Side, _, c: Side, heaps: Heaps) -> None:
+        for label in np.intersect1d(a.kinds, c.kinds, True):
+            own, other = a.part(label), c.part(label)
+            s = products(a.m[own], c.m[other])
+            row, col = np.nonzero(s >= heaps.floor[own, None])
+            heaps.merge(row + own.start, s[row, col], c.ids[other][col])
 
-    return _heaps(keep, scored, lambda batch, i: len(batch.column("a_ids")[i].as_buffer()) // 8)
+    return _heaps(keep, 1, lambda batch, i: None, scored)
 
 
 def _negatives(keep: int, per: int):
     """Slots are anchor * per + positive; the windows of a tile come as arrays of slot, lowest and highest score."""
 
-    def scored(batch: pa.RecordBatch, i: int, heaps: Heaps) -> None:
-        a, c = Side(batch, i, "a_"), Side(batch, i, "c_")
-        slot, low, high = (batch.column(k)[i].values.to_numpy() for k in ("slots", "lows", "highs"))
+    def opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+        return tuple(batch.column(k)[i].values.to_numpy().copy() for k in ("slots", "lows", "highs"))
+
+    def scored(a: Side, window: tuple[np.ndarray, ...], c: Side, heaps: Heaps) -> None:
+        if len(a.kinds) == 1 and np.array_equal(a.kinds, c.kinds):
+            return
+        slot, low, high = window
         s, anchor = products(a.m, c.m), slot // per
         same = a.labels[:, None] == c.labels
         for k in range(per):  # the k-th positive of all anchors at once
@@ -227,7 +256,7 @@ def _negatives(keep: int, per: int):
             if len(row):
                 heaps.merge(slot[at][row], own[row, col], c.ids[col])
 
-    return _heaps(keep, scored, lambda batch, i: len(batch.column("a_ids")[i].as_buffer()) // 8 * per)
+    return _heaps(keep, per, opened, scored)
 
 
 def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, factor: int = 256, size: int = TILE) -> DataFrame:
@@ -242,16 +271,10 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     c = common.stored(tiles(pick(rows), size, factor), "negatives-candidates")
     some = anchors.count()
     a = common.stored(tiles(pick(anchors).repartition(max(1, -(-some // (4 * size)))), size, factor), "negatives-anchors")
-    groups = max(1, min(c.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # Dealt in blocks: every anchor tile goes to every group of candidate tiles, and each group streams past it.
-    named = lambda df, p: df.select(*[F.col(k).alias(p + k) for k in ("tile", "ids", "labels", "kinds", "dim", "width", "vectors")])
-    cand = named(c, "c_").withColumn("group", F.pmod(F.xxhash64("c_tile"), F.lit(groups)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-
-    alike = named(a, "a_").select("*", F.explode("a_kinds").alias("kind")).select("*", each).join(cand.select("*", F.explode("c_kinds").alias("kind")), ["group", "kind"])
+    slices, groups = _grid(a.count(), c.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # One more, as an anchor finds itself; it is one of several equal entries (score, id), so any of these may go.
-    found = _best(alike.mapInArrow(_positives(positives + 1), _ENTRY), positives + 1)
-    own = common.stored(a.select("tile", "ids", "labels", "dim", "width", "vectors").mapInArrow(_own, "tile long, slot long, anchor_id long, own long"), "negatives-own")
+    found = _best(_cells(a, c, slices, groups).mapInArrow(_positives(positives + 1), _ENTRY), positives + 1)
+    own = common.stored(a.mapInArrow(_own, "tile long, slot long, anchor_id long, own long"), "negatives-own")
     w = Window.partitionBy("tile", "slot").orderBy("rank")
     me = (F.col("id") == F.col("anchor_id")) & (F.col("score") == F.col("own"))
     found = found.join(own, ["tile", "slot"]).withColumn("me", me & (F.sum(me.cast("int")).over(w) == 1)).filter("not me").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= positives)
@@ -263,10 +286,8 @@ def mine(rows: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int
     down, up = F.expr(f"{hundreds} * {high} + ({rest} * {high}) div 100"), F.expr(f"{hundreds} * {low} + ({rest} * {low} + 99) div 100")
     windows = found.select("tile", (F.col("slot") * positives + F.col("k") - 1).alias("slot"), up.alias("low"), down.alias("high")).filter("low <= high")
     windows = windows.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("slot", "low", "high"))).alias("w"))  # at most size * positives entries
-    windows = windows.select(F.col("tile").alias("a_tile"), F.col("w.slot").alias("slots"), F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
-    one = (F.size("a_kinds") == 1) & (F.col("a_kinds") == F.col("c_kinds"))
-    apart = named(a, "a_").join(windows, "a_tile").select("*", each).join(cand, "group").filter(~one)
-    got = _best(apart.mapInArrow(_negatives(negatives, positives), _ENTRY), negatives)
+    windows = windows.select("tile", F.col("w.slot").alias("slots"), F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
+    got = _best(_cells(a.join(windows, "tile"), c, slices, groups).mapInArrow(_negatives(negatives, positives), _ENTRY), negatives)
     got = got.select("tile", F.expr(f"slot div {positives}").alias("slot"), (F.col("slot") % positives + 1).cast("int").alias("k"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     shown = lambda c: F.when(F.col(c) != int(LAST), F.col(c)).alias(c)
     return got.join(found, ["tile", "slot", "k"]).select("anchor_id", shown("positive_id"), F.col("rank").cast("int").alias("rank"), shown("negative_id"), "positive_score", "negative_score")
@@ -276,10 +297,10 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each anchor's id and its score with itself."""
     for batch in batches:
         for i in range(batch.num_rows):
-            t = Side(batch, i, "")
+            t = Side(batch, i)
             n = len(t.ids)
             wide = t.m.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("tile")[i].as_py())), pa.array(np.arange(n)), pa.array(t.ids), pa.array((wide * wide).sum(1))], names=["tile", "slot", "anchor_id", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t.tile)), pa.array(np.arange(n)), pa.array(t.ids), pa.array((wide * wide).sum(1))], names=["tile", "slot", "anchor_id", "own"])
 
 
 def relabelled(embeddings: DataFrame) -> DataFrame:

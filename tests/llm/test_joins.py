@@ -156,6 +156,24 @@ def test_hard_negatives_in_small_tiles(spark, tricky):
     assert got == mined([tuple(r) for r in spark.read.parquet(f"{tricky}/embeddings.parquet").collect()])
 
 
+def test_hard_negatives_send_no_copies_to_the_driver(spark, tricky):
+    """Copies of tiles are shuffled: a broadcast would first collect all of them in the driver."""
+    rows = hard_negatives.relabelled(spark.read.parquet(f"{tricky}/embeddings.parquet"))
+    plan = hard_negatives.mine(rows, rows.filter("id % 50 = 0"), size=7)._jdf.queryExecution().executedPlan().toString().split("\n")
+    deep = [len(x) - len(x.lstrip(" :+-*()0123456789")) for x in plan]
+    for at in (i for i, x in enumerate(plan) if "BroadcastExchange" in x):
+        below = [x for i, x in enumerate(plan) if i > at and all(deep[j] > deep[at] for j in range(at + 1, i + 1))]
+        assert not any("explode" in x for x in below)
+    assert any("explode" in x for x in plan)
+
+
+def test_hard_negatives_copy_few_tiles():
+    for anchors, rows, cells in ((52, 2448, 2400), (1, 9, 48), (9, 400, 400), (0, 5, 8), (5000, 250000, 4000)):
+        slices, groups = hard_negatives._grid(anchors, rows, cells)
+        assert anchors * groups + rows * slices <= 2.5 * (max(cells, anchors * rows / hard_negatives.CELL_TILES) * max(1, anchors) * rows) ** 0.5 + rows
+        assert anchors <= slices * hard_negatives.OPEN_TILES and slices * groups >= min(cells, anchors * rows)
+
+
 def test_heaps_merge_in_any_order():
     rng = np.random.default_rng(4)
     slot, score, ids = rng.integers(0, 5, 400), rng.integers(-4, 5, 400), rng.integers(0, 90, 400)
