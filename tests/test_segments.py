@@ -163,3 +163,43 @@ def test_streams_have_as_many_buckets_as_shuffles(spark, tmp_path):
     from marginalia.streaming import jobs
 
     assert jobs.Versions(spark, f"file://{tmp_path}/versions").buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ingest_leaves_no_shuffles(spark, tmp_path):
+    """Texts are dealt once, nothing is cached, and a job's shuffles are gone when it ends; of several rows of a document that with the smallest hash counts."""
+    import hashlib
+    import time
+    from pathlib import Path
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffles = lambda: {f: f.stat().st_size for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+    text = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(120))
+    schema = "doc_name string, ext string, text string"
+    rows = [(f"d{i}", ".txt", text(i)) for i in range(200)] + [("d3", ".txt", "another"), ("d4", ".txt", None), ("d5", ".txt", text(5)), (None, ".txt", "no name")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    there = shuffles()
+    split = lambda df: chunking.split_chars(df, 800, 100)
+    jobs.ingest_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "check"), split).awaitTermination()
+    for _ in range(50):
+        if not (left := {f: n for f, n in shuffles().items() if f not in there}):
+            break
+        time.sleep(0.2)
+    assert sum(left.values()) < 0.05 * sum(len(r[2] or "") for r in rows)
+    store = jobs.Versions(spark, str(tmp_path / "store"))
+    seen = {(r["doc_name"], r["hash"]) for r in store.read("seen", jobs.SEEN).collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert len(seen) == 201 and {("d3", min(md5(text(3)), md5("another"))), ("d4", None), ("d5", md5(text(5))), (None, md5("no name"))} <= seen
+    third = {r["chunk_text"] for r in store.read("corpus", jobs.CORPUS).filter("doc_name = 'd3'").collect()}
+    assert third == ({"another"} if md5("another") < md5(text(3)) else {r["chunk_text"] for r in split(spark.createDataFrame(rows[3:4], schema)).collect()})
+
+
+def test_postings_in_parts(spark, tmp_path, monkeypatch):
+    from marginalia.operators import stored_index
+
+    monkeypatch.setattr(stored_index, "PART_TOKENS", 4)
+    store = StoredIndex(spark, str(tmp_path / "index"), buckets=2)
+    store.add(frame(spark, ROWS))
+    same_index(store, frame(spark, ROWS))
+    store.add(frame(spark, [(2, "x b c d e f g h"), (9, "a")]), gone=frame(spark, [(None, "")]).select("id"))
+    same_index(store, frame(spark, [(2, "x b c d e f g h"), (9, "a"), *[r for r in ROWS if r[0] not in (2, None)]]))
+    assert len(list((tmp_path / "index" / "g0" / "postings").glob("seq=*/*.parquet"))) > 4
