@@ -194,6 +194,8 @@ def test_ingest_leaves_no_shuffles(spark, tmp_path):
 
 
 def test_postings_in_parts(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
     from marginalia.operators import stored_index
 
     monkeypatch.setattr(stored_index, "PART_TOKENS", 4)
@@ -202,4 +204,6 @@ def test_postings_in_parts(spark, tmp_path, monkeypatch):
     same_index(store, frame(spark, ROWS))
     store.add(frame(spark, [(2, "x b c d e f g h"), (9, "a")]), gone=frame(spark, [(None, "")]).select("id"))
     same_index(store, frame(spark, [(2, "x b c d e f g h"), (9, "a"), *[r for r in ROWS if r[0] not in (2, None)]]))
-    assert len(list((tmp_path / "index" / "g0" / "postings").glob("seq=*/*.parquet"))) > 4
+    found = list((tmp_path / "index" / "g0" / "postings").glob("seq=*/*.parquet"))
+    assert len(found) > 4
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in found} == {"ZSTD"}
